@@ -31,7 +31,7 @@ def unpacked(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.nda
 
 
 class Outbox:
-    """Collects (key, doc, place) of one task and sends them by key, or by doc where the answer is known.
+    """Collects (key, doc, place) of one task, doc and place not negative, and sends them by key, or by doc where the answer is known.
 
     A key that the outbox holds twice is known to be repeated: all its places are answered at once, and
     only one unanswered row (doc -1) goes out, so that others with the key learn of it. So a key has at most a

@@ -100,8 +100,8 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
     """Remove each word covered by a window of ``window`` words that also starts anywhere else.
 
     Anchors of ``window - period + 1`` words are hashed at positions that lie, modulo ``period``, in a
-    difference cover. Two equal windows share an anchor at one offset below ``period``, so a window
-    can be repeated only if every anchor in it is. Those candidates are extended to the whole window
+    difference cover. Two equal windows share an anchor at one offset below ``period`` at least, so a
+    window can be repeated only if an anchor in it is. Those candidates are extended to the whole window
     by their own hash, which decides. Four packed exchanges: anchors by hash, answers with texts by row, windows
     by hash, answers with texts by row. A key that a sender holds twice is answered there, so no
     receiver gets more than a row for each sender and key, whatever the number of copies.
@@ -112,7 +112,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
     """
     cover = difference_cover(period)
     anchor = window - period + 1
-    base = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select(F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = exchange_width(base)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
                 marks[places + 1] = 1
                 total = np.cumsum(marks)
                 starts = np.arange(len(words) - window + 1)
-                at = starts[total[starts + period] - total[starts] == len(cover)]
+                at = starts[total[starts + period] > total[starts]]
                 if len(at):
                     box.add(window_hashes(word_hashes(words, table), window)[at], key, at)
             if box.full():
