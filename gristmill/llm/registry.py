@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, spm, substring
+from . import jaccard, langid, packing, quality, spm, substring
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_windows_removed(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_packing, op7_sentencepiece, op9_substring_dedup, op10_quality)
+    found = (op1_language_id, op2_packing, op7_sentencepiece, op8_jaccard_join, op9_substring_dedup, op10_quality)
     return {f.__name__: f for f in found}
 
 
