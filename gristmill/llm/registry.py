@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, quality, spm, substring, topk
+from . import jaccard, langid, packing, pii, quality, spm, substring, topk
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_packing, op3_exact_topk, op7_sentencepiece, op8_jaccard_join, op9_substring_dedup, op10_quality)
+    found = (op1_language_id, op2_packing, op3_exact_topk, op4_pii, op7_sentencepiece, op8_jaccard_join, op9_substring_dedup, op10_quality)
     return {f.__name__: f for f in found}
 
 
