@@ -290,3 +290,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 3
     first = comp.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = comp.join(first, "label").select("node", "component_id")
     return rows.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row of the smallest doc_id stays, once.
+
+    Rows without doc_id stay unless they link to one that has it. Ids of removed rows are broadcast only up to ``broadcast_rows``.
+    """
+    found = written(join(docs, size, percent))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return kept
+    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)

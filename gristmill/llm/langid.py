@@ -13,6 +13,8 @@ from .common import batch_of
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 UNDETERMINED = "und"
+#: Margins below this are too narrow to accept.
+MIN_MARGIN = 0.001
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -75,7 +77,7 @@ class Classifier:
         return self.coders[best][0], min(1.0, max(0.0, (second - sizes[best]) / second))
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.004, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """doc_id, lang_pred, score (relative margin, 0 to 1) and accepted for every row, from its text alone.
 
     Null texts and texts without a letter are ``und`` with score 0 and not accepted; margins under
@@ -91,3 +93,16 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             yield batch_of(SCHEMA, [b.column(0), names, scores, [n != UNDETERMINED and s >= min_margin for n, s in found]])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+
+
+def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is predicted with a margin that isn't narrow. No shuffle."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Classifier(dictionaries)
+        for b in batches:
+            found = [model.predict(t.as_py()) for t in b.column(place)]
+            yield b.filter(pa.array([n != UNDETERMINED and s >= min_margin for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -31,34 +31,33 @@ def difference_cover(period: int) -> list[int]:
     return [0]
 
 
-MESSAGE = "bucket int, keys binary, docs binary, places binary, rows binary, texts binary"
-_TEXTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("rows", pa.binary()), ("texts", pa.binary())])
+MESSAGE = "bucket int, keys binary, docs binary, places binary, texts binary"
+_TEXTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("texts", pa.binary())])
 
 
 def packed_texts(docs: DataFrame, width: int, flush_bytes: int = 16_000_000) -> DataFrame:
-    """Row keys, doc_ids and texts, compressed in blocks: one for each receiving bucket and stretch of input."""
+    """Rows (key, then the columns to carry, text first) in compressed Arrow blocks: one for each receiving bucket and stretch of input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        coder = zstandard.ZstdCompressor(level=1)
-        held: dict[int, list[tuple[int, int | None, bytes]]] = {}
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            rows = []
-            for bucket, own in sorted(held.items()):
-                facts = np.array([(k, i or 0, i is None, len(t)) for k, i, t in own], np.int64)
-                rows.append((bucket, None, None, None, facts.tobytes(), coder.compress(b"".join(t for _, _, t in own))))
+            rows, own = [], pa.Table.from_batches(held).combine_chunks()
             held.clear()
+            buckets = doc_bucket(own.column(0).to_numpy(), width)
+            for bucket in np.unique(buckets).tolist():
+                block, sink = own.take(pa.array(np.flatnonzero(buckets == bucket))), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as to:
+                    to.write_table(block)
+                rows.append((bucket, None, None, None, sink.getvalue().to_pybytes()))
             return batch_of(_TEXTS, [*map(list, zip(*rows))])
 
         for b in batches:
-            keys = b.column(0).to_numpy()
-            for key, bucket, doc, t in zip(keys.tolist(), doc_bucket(keys, width).tolist(), b.column(1).to_pylist(), b.column(2)):
-                text = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                held.setdefault(bucket, []).append((key, doc, text))
-                size += len(text)
+            step = max(1, int(b.num_rows * min(1.0, flush_bytes / max(1, b.nbytes))))
+            for s in range(0, b.num_rows, step):
+                held.append(part := b.slice(s, step))
+                size += part.nbytes
                 if size >= flush_bytes:
                     yield out()
                     size = 0
@@ -68,25 +67,21 @@ def packed_texts(docs: DataFrame, width: int, flush_bytes: int = 16_000_000) ->
     return docs.mapInArrow(run, MESSAGE)
 
 
-def delivered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bytes, np.ndarray]]:
-    """(row key, doc_id, text, places) of every text that came to this task, in an order that doesn't depend on arrival."""
-    import zstandard
-
-    coder, answers, blocks = zstandard.ZstdDecompressor(), [], []
+def delivered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Record batches of the rows that came to this task, each with the places of every row, in an order that doesn't depend on arrival."""
+    answers, blocks = [], []
     for b in batches:
-        for _, _, d, p, r, t in zip(*(c.to_pylist() for c in b.columns)):
-            blocks.append((r, t)) if r is not None else answers.append((b"", d, p))
+        for _, _, d, p, t in zip(*(c.to_pylist() for c in b.columns)):
+            answers.append((b"", d, p)) if t is None else blocks.append(t)
     _, docs, places = unpacked(answers)
+    del answers
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
-    for rows, texts in sorted(blocks):
-        facts = np.frombuffer(rows, np.int64).reshape(-1, 4)
-        data = coder.decompress(texts)
-        first, last = np.searchsorted(docs, facts[:, 0], "left"), np.searchsorted(docs, facts[:, 0], "right")
-        at = 0
-        for (key, doc, null, n), s, e in zip(facts.tolist(), first.tolist(), last.tolist()):
-            yield key, None if null else doc, data[at : at + n], places[s:e]
-            at += n
+    for block in sorted(blocks):
+        for b in pa.ipc.open_stream(block):
+            keys = b.column(0).to_numpy()
+            first, last = np.searchsorted(docs, keys, "left").tolist(), np.searchsorted(docs, keys, "right").tolist()
+            yield b, [places[s:e] for s, e in zip(first, last)]
 
 
 def word_hashes(words: list[bytes], table: WordHashes) -> np.ndarray:
@@ -96,7 +91,7 @@ def word_hashes(words: list[bytes], table: WordHashes) -> np.ndarray:
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21, with_text: bool = False) -> DataFrame:
+def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21, rows_too: bool = False) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts anywhere else.
 
     Anchors of ``window - period + 1`` words are hashed at positions that lie, modulo ``period``, in a
@@ -107,12 +102,16 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
     receiver gets more than a row for each sender and key, whatever the number of copies.
 
     Null and empty texts and those shorter than the window lose nothing; rows with the same doc_id (or none)
-    are judged one by one, and equal rows count as places of their own. Other columns are not read. The kept
-    text comes too ``with_text``. Hashes have 64 bits; words are compared by nothing else.
+    are judged one by one, and equal rows count as places of their own. With ``rows_too`` the rows of docs come
+    back instead, all columns, with the kept words joined by one space as text (texts that lose nothing stay as they are); else
+    other columns are not read. Hashes have 64 bits; words are compared by nothing else.
     """
     cover = difference_cover(period)
     anchor = window - period + 1
-    base = docs.select(F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rest = [c for c in docs.columns if c != "text"]
+    key = F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1).alias("_key")
+    base = docs.select(key, "text", *rest) if rows_too else docs.select(key, "text", F.col("doc_id").cast("long").alias("doc_id"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     width = exchange_width(base)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +130,11 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, box = WordHashes(), Outbox(width)
-        for key, _, text, places in delivered(batches):
-            if len(places):
-                words = text.split()
+        for b, found in delivered(batches):
+            for key, t, places in zip(b.column(0).to_pylist(), b.column(1), found):
+                if not len(places):
+                    continue
+                words = words_of(t.as_py())
                 marks = np.zeros(len(words) + 1, np.int32)
                 marks[places + 1] = 1
                 total = np.cumsum(marks)
@@ -141,37 +142,37 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
                 at = starts[total[starts + period] > total[starts]]
                 if len(at):
                     box.add(window_hashes(word_hashes(words, table), window)[at], key, at)
-            if box.full():
-                yield from sent(box)
+                if box.full():
+                    yield from sent(box)
         yield from sent(box)
 
-    names = [c.split()[0] for c in REMOVED.split(", ")] + ["text"] * with_text
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text)
-
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        for _, doc, text, places in delivered(batches):
-            words = text.split()
-            kept = words
-            if len(places):
-                edges = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edges, places, 1)
-                np.add.at(edges, places + window, -1)
-                kept = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
-            joined = b" ".join(kept)
-            row = (doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
-            out.append((*row, joined.decode("utf-8", "surrogatepass") if len(kept) < len(words) else text.decode("utf-8", "surrogatepass")) if with_text else row)
-            size += len(text)
-            if len(out) >= 5000 or size >= 16_000_000:
-                yield batch_of(schema, [*map(list, zip(*out))])
-                out, size = [], 0
-        if out:
-            yield batch_of(schema, [*map(list, zip(*out))])
-
-    def with_texts(answers: DataFrame) -> DataFrame:
-        empty = [F.lit(None).cast("binary").alias(c) for c in ("rows", "texts")]
-        return exchanged(answers.select("*", *empty).unionByName(packed_texts(base, width)), width)
-
-    found = repeated_places(base.select("key", "text").mapInArrow(anchors, PACKED), width)
-    windows = repeated_places(with_texts(found).mapInArrow(candidates, PACKED), width)
-    return with_texts(windows).mapInArrow(removed, REMOVED + ", text string" * with_text).select(*names)
+        for b, found in delivered(batches):
+            counts, gone, digests, texts = [], [], [], []
+            for t, places in zip(b.column(1), found):
+                text = t.as_py()
+                words = words_of(text)
+                kept = words
+                if len(places):
+                    edges = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(edges, places, 1)
+                    np.add.at(edges, places + window, -1)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
+                joined = b" ".join(kept)
+                counts.append(len(words))
+                gone.append(len(words) - len(kept))
+                digests.append(hashlib.sha256(joined).hexdigest())
+                texts.append(joined.decode("utf-8", "surrogatepass") if len(kept) < len(words) else text)
+            if rows_too:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(1).type), *b.columns[2:]], names=b.schema.names[1:])
+            else:
+                yield batch_of(schema, [b.column(2), counts, gone, digests])
+
+    def with_texts(answers: DataFrame, rows: DataFrame) -> DataFrame:
+        return exchanged(answers.withColumn("texts", F.lit(None).cast("binary")).unionByName(packed_texts(rows, width)), width)
+
+    narrow = base.select("_key", "text")
+    found = repeated_places(narrow.mapInArrow(anchors, PACKED), width)
+    windows = repeated_places(with_texts(found, narrow).mapInArrow(candidates, PACKED), width)
+    done = with_texts(windows, base)
+    return done.mapInArrow(removed, base.drop("_key").schema).select(docs.columns) if rows_too else done.mapInArrow(removed, REMOVED)
