@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, pii, quality, spm, substring, topk
+from . import gru, jaccard, langid, packing, pii, quality, quotes, spm, substring, topk
 from .common import held_out, table
 
 
@@ -35,6 +35,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.likelihoods(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
+def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -52,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_packing, op3_exact_topk, op4_pii, op7_sentencepiece, op8_jaccard_join, op9_substring_dedup, op10_quality)
+    found = (op1_language_id, op2_packing, op3_exact_topk, op4_pii, op5_gru_lm, op6_quote_linking, op7_sentencepiece, op8_jaccard_join, op9_substring_dedup, op10_quality)
     return {f.__name__: f for f in found}
 
 
