@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, written
-from .spm import grouped
 
 #: The pre-tokenisation pattern of the byte-level vocabulary, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -20,47 +20,47 @@ WHITE = "\t-\r \x85\xa0  -     　"
 SPECIAL = "<|endoftext|>"
 
 
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in the vocabulary: itself if printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class ByteBPE(dict):
     """White-space chunk -> its ids as little-endian uint32; a chunk is cut as the whole text would be.
 
-    Two tables, chunks and pre-tokens, each emptied at ``most`` entries. A text that holds a special
-    token's string goes to the library whole.
+    Merges, ids and pattern are those of the tokenizer file; new chunks are merged by the faster of the two
+    libraries that know this format, and the tests hold the ids against the other. The table is emptied at
+    ``most`` entries. A text that holds a special token's string goes whole to the library that knows special tokens.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 300_000):
+    def __init__(self, tokenizer_file: str, most: int = 400_000):
         import re
 
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most, self.tokens = most, {}
+        self.most = most
         self.model = Tokenizer.from_file(tokenizer_file)
+        raw = byte_characters()
+        ranks = {bytes(raw[c] for c in t): i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t != SPECIAL}
+        self._merge = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self._cut = regex.compile(PATTERN).findall
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = [*chunks.difference(self)]
-        if len(self) + len(new) > self.most:
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            new = [*chunks]
-        cut = [self._cut(c) for c in new]
-        wanted = {t for c in cut for t in c}
-        missing = [*wanted.difference(self.tokens)]
-        if len(self.tokens) + len(missing) > self.most:
-            self.tokens.clear()
-            missing = [*wanted]
-        for t, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False)):
-            self.tokens[t] = np.array(e.ids, "<u4").tobytes()
-        held = self.tokens
-        for c, parts in zip(new, cut):
-            self[c] = held[parts[0]] if len(parts) == 1 else b"".join([held[t] for t in parts])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._chunks(t) if t and SPECIAL not in t else None for t in texts]
-        self._learn({c for chunks in cut if chunks for c in chunks})
-        whole = lambda t: np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b""
-        return [whole(t) if chunks is None else b"".join([*map(self.__getitem__, chunks)]) for t, chunks in zip(texts, cut)]
+        found = self[chunk] = array("I", self._merge(chunk)).tobytes()
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if SPECIAL in text:
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([*map(self.__getitem__, self._chunks(text))])
 
 
 _TABLES: dict[str, ByteBPE] = {}
@@ -266,18 +266,16 @@ def tokenised(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
         ranks, fulls = [0] * capacity, 0
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows, at = [], 0
-            for texts in grouped(t.as_py() for t in b.column(1)):
-                for data in coder.encode(texts):
-                    data += b"\0\0\0\0"
-                    whole = len(data) // width
-                    crcs = [zlib.crc32(data[i * width : (i + 1) * width]) for i in range(whole)]
-                    tail = data[whole * width :]
-                    n = len(tail) // 4
-                    rows.append((ids[at], part, len(data) // 4, crcs, fulls, n, ranks[n], tail))
-                    ranks[n] += 1
-                    fulls += whole
-                    at += 1
+            rows = []
+            for doc, text in zip(ids, b.column(1)):
+                data = coder.encode(text.as_py()) + b"\0\0\0\0"
+                whole = len(data) // width
+                crcs = [zlib.crc32(data[i * width : (i + 1) * width]) for i in range(whole)]
+                tail = data[whole * width :]
+                n = len(tail) // 4
+                rows.append((doc, part, len(data) // 4, crcs, fulls, n, ranks[n], tail))
+                ranks[n] += 1
+                fulls += whole
             if rows:
                 yield batch_of(schema, [*map(list, zip(*rows))])
 
