@@ -1,0 +1,65 @@
+"""Excerpt blocks, warnings, prompts and refusals as text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.functions import text as T
+
+# Formats that a reader of the answers relies on.
+RULE, SEPARATOR = "=" * 60, "\n\n---\n\n"
+IDENTIFICATION_NOTE = "\nATTENTION : cette question porte sur une identification. La règle de sûreté ci-dessus s'applique impérativement.\n"
+
+
+def excerpt(hit: Column) -> Column:
+    """[id p.N] title (year) — section « s », a note on doubtful OCR, then the text."""
+    head = F.concat(
+        F.lit("["), hit["source_id"], F.lit(" p."), hit["page_from"].cast("string"), F.lit("] "), hit["title"],
+        F.when(hit["date"].isNotNull() & (hit["date"] != 0), F.concat(F.lit(" ("), hit["date"].cast("string"), F.lit(")"))).otherwise(""),
+        F.when(F.coalesce(hit["section"], F.lit("")) != "", F.concat(F.lit(" — section « "), hit["section"], F.lit(" »"))).otherwise(""),
+        F.when(hit["quality"] < 0.6, "  [texte océrisé de qualité incertaine]").otherwise(""))
+    return F.concat(head, F.lit("\n"), hit["text"])
+
+
+def excerpts(hits: DataFrame) -> DataFrame:
+    """(qid, excerpts): the blocks of each question's hits in rank order. hits has few rows for each question."""
+    row = F.struct("rank", "source_id", "page_from", "title", "date", "section", "quality", "text")
+    return hits.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), excerpt), SEPARATOR).alias("excerpts"))
+
+
+def prompts(questions: DataFrame, blocks: DataFrame, system: str, warnings: DataFrame | None = None) -> DataFrame:
+    """(qid, system, user): system text with the safety note for identification questions; warnings stand before the excerpts."""
+    from .rules import is_identification
+
+    rows = questions.join(blocks, "qid", "left")
+    rows = rows.join(warnings, "qid", "left") if warnings is not None else rows.withColumn("warning", F.lit(""))
+    head = F.when(F.coalesce("warning", F.lit("")) != "", F.concat("warning", F.lit(f"\n\n{RULE}\n\n"))).otherwise("")
+    user = F.concat(head, F.lit("EXTRAITS DISPONIBLES\n\n"), F.coalesce("excerpts", F.lit("")), F.lit(f"\n\n{RULE}\n\nQUESTION : "), "question", F.lit("\n\nRéponds uniquement à partir des extraits ci-dessus, en citant [identifiant p.numéro] après chaque affirmation."))
+    return rows.select("qid", F.when(is_identification(F.col("question")), system + IDENTIFICATION_NOTE).otherwise(system).alias("system"), user.alias("user"))
+
+
+def doctrine_warnings(found: DataFrame, rules: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(qid, warning): the outdated points with old and current doctrine, and the span of source dates."""
+    line = F.concat(F.when(F.col("critical"), "‼ ").otherwise("• "), "title", F.lit(" (changement vers "), F.col("pivot_year").cast("string"), F.lit(")\n   PÉRIMÉ  : "), T.flatten(F.col("old")), F.lit("\n   ACTUEL  : "), T.flatten(F.col("current")))
+    each = found.join(F.broadcast(rules.withColumnRenamed("id", "rule")), "rule").select("qid", "rank", line.alias("line"))
+    lists = each.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("lines"))
+    span = gaps.select("qid", F.concat(F.lit("Les extraits proviennent de sources publiées entre "), F.col("oldest").cast("string"), F.lit(" et "), F.col("newest").cast("string"), F.lit(".")).alias("span"))
+    return lists.join(span, "qid", "full_outer").select("qid", F.concat_ws("\n\n", F.lit("AVERTISSEMENT — DOCTRINES AYANT CHANGÉ"), "lines", "span").alias("warning"))
+
+
+def refusal(base: str, unknown: Column, coverage: Column, most: int = 6) -> Column:
+    """The refusal with the first unknown terms and the coverage in percent."""
+    named = F.array_join(F.transform(F.slice(unknown, 1, most), lambda t: F.concat(F.lit("« "), t, F.lit(" »"))), ", ")
+    more = F.concat(F.lit("\n\nAucun ouvrage indexé ne contient "), named, F.lit(". Couverture de la question : "), F.round(coverage * 100).cast("int").cast("string"), F.lit("%."))
+    return F.concat(F.lit(base), F.when(F.size(unknown) > 0, more).otherwise(""))
+
+
+def checklist_page(title: Column, body: Column, width: int = 74) -> Column:
+    bar = "━" * width
+    return F.concat(F.lit(f"{bar}\n  "), F.upper(title), F.lit(f"\n{bar}\n\n"), body, F.lit("\n"))
+
+
+def checklist_index(checklists: DataFrame) -> DataFrame:
+    """(name, line) of each checklist, the name padded to 20."""
+    return checklists.select("name", F.concat(F.lit("  "), F.rpad("name", 20, " "), F.lit(" "), "title").alias("line")).orderBy("name")
