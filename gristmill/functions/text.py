@@ -51,11 +51,22 @@ def fold(text: Column) -> Column:
     source, target, several = _fold_tables()
     plain = F.translate(low, source, target)
     table = F.from_json(F.lit(_json(several)), "map<string,string>")
-    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(several)) + "]"
+    wide = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges([ord(c) for c in several])) + "]"
     unfolded = F.when(plain.rlike(wide), F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")).otherwise(plain)
     return F.when(low.rlike("[^\\x00-\\x7f]"), unfolded).otherwise(low)
 
 
+def _ranges(codes: list[int], gap: int = 64) -> list[tuple[int, int]]:
+    """A few ranges that hold all codes; what lies between near ones is taken in."""
+    out: list[list[int]] = []
+    for c in sorted(codes):
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
 def _json(x: dict) -> str:
     import json
 

@@ -32,8 +32,13 @@ def sentences(answer: Column) -> Column:
     """Sentences of an answer, each with the citations that follow it; a citation's own dot cuts nothing."""
     found = F.regexp_extract_all(answer, F.lit("(" + CITATION.replace("(?i)", "").replace("([a-z0-9][", "(?:[A-Za-z0-9][").replace("._-]*)", "A-Z._-]*)").replace("(\\d+)", "\\d+") + ")"), 1)
     start = F.struct(answer.alias("text"), F.lit(0).alias("n"))
-    masked = F.aggregate(found, start, lambda a, c: F.struct(
-        F.concat(F.substring_index(a["text"], c, 1), F.lit("\0"), a["n"].cast("string"), F.lit("\0"), F.substr(a["text"], F.length(F.substring_index(a["text"], c, 1)) + F.length(c) + 1)).alias("text"), (a["n"] + 1).alias("n")), lambda a: a["text"])
+
+    def hide(a: Column, c: Column) -> Column:
+        at = F.position(c, a["text"])
+        rest = F.substr(a["text"], at + F.length(c))
+        return F.struct(F.concat(F.substr(a["text"], F.lit(1), at - 1), F.lit("\0"), a["n"].cast("string"), F.lit("\0"), rest).alias("text"), (a["n"] + 1).alias("n"))
+
+    masked = F.aggregate(found, start, hide, lambda a: a["text"])
     cut = F.regexp_extract_all(masked, F.lit(_SENTENCE), 1)
     pairs = F.transform(found, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     return F.transform(cut, lambda s: F.trim(F.aggregate(pairs, s, lambda a, p: F.replace(a, F.concat(F.lit("\0"), p["i"].cast("string"), F.lit("\0")), p["c"]))))
