@@ -118,18 +118,24 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
     log(n n_te / (n_t n_e)) / log(n / n_e) of the entity's information: 1 when the term never occurs without it.
     Terms whose share reaches ``disclosure`` with ``min_texts`` texts are generalised, from ``removal`` on removed.
     """
+    n = float(found.select("digest").distinct().count())
     entities = found.select("digest", F.explode(F.arrays_zip("spans", "near")).alias("x")).select("digest", F.xxhash64(F.col("x.spans.kind"), F.lower("x.spans.value")).alias("entity"), F.col("x.near").alias("near"))
-    with_entity = entities.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = entities.select("entity", "digest", F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_texts)
-    pairs = written(pairs.join(with_entity, "entity"))
+    with_entity = entities.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    near = written(entities.select("entity", "digest", F.explode("near").alias("term")).distinct())
+    near_any = near.select("digest", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_texts)
+    share = lambda n_t: F.log2(n * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    # a term stands in as many texts as it is near any entity in, at least: that bounds its share before the corpus is counted
+    pairs = written(pairs.join(with_entity, "entity").join(near_any, "term").where(share("n_near") >= disclosure))
     terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= broadcast_rows else terms
+    asked = terms.count()
+    if not asked:
+        return pairs.select("term", F.lit(0.0).alias("share"), F.lit("").alias("action"))
+    terms = F.broadcast(terms) if asked <= broadcast_rows else terms
     texts = docs.select(clean(F.col("text")).alias("text"))
     holds = texts.select(F.xxhash64("text").alias("digest"), F.explode(words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
     with_term = holds.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.broadcast(found.select("digest").distinct().agg(F.count("*").cast("double").alias("n")))
-    share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
-    scored = pairs.join(with_term, "term").crossJoin(n).where("n > n_e").select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share"))
+    scored = pairs.join(with_term, "term").select("term", share("n_t").alias("share")).groupBy("term").agg(F.max("share").alias("share"))
     return scored.where(F.col("share") >= disclosure).select("term", "share", F.when(F.col("share") >= removal, "remove").otherwise("generalise").alias("action"))
 
 
