@@ -175,6 +175,8 @@ class Trainer:
                 hs.append(h)
             _, dh = net.outputs(p, np.concatenate(hs), y[:, s : s + self.steps].T.ravel(), g)
             dh, carry = dh.reshape(len(hs), width, n), 0
+            inputs, ids = np.empty((len(hs), width, 3 * n), np.float32), np.empty((len(hs), width), np.int64)
+            states, sums = np.empty((len(hs), width, n), np.float32), np.empty((len(hs), width, 3 * n), np.float32)
             for i in reversed(range(len(hs))):
                 before, z, r, c, un, live = past[i]
                 d = dh[i] + carry
@@ -183,9 +185,13 @@ class Trainer:
                 dr = dc * un * r * (1 - r)
                 da = np.concatenate([dz, dr, dc], axis=1)
                 ds = np.concatenate([dz, dr, dc * r], axis=1)
-                np.add.at(g["x"], x[:, s + i], da)
-                g["u"] += before.T @ ds
+                inputs[i], ids[i], states[i], sums[i] = da, x[:, s + i], before, ds
                 carry = (d * z + ds @ p["u"].T) * live
+            g["u"][:] = states.reshape(-1, n).T @ sums.reshape(-1, 3 * n)
+            order = np.argsort(ids.ravel(), kind="stable")
+            at = ids.ravel()[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            g["x"][at[first]] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first)
             grad /= len(hs) * width
             norm = float(np.sqrt((grad * grad).sum()))
             if norm > 1:
@@ -273,24 +279,24 @@ def model_ids(words: list[bytes], lookup: Lookup, model: int, end: int) -> np.nd
 def vocabulary(counts: DataFrame, head: int, model: int) -> tuple[Vocabulary, DataFrame]:
     """The head of the counts, and the tokens outside of it as (h, c)."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    rows = counts.orderBy(F.desc("c"), "token").limit(head).select("token", "c").collect()
-    tokens = [bytes(r.token) for r in rows]
-    if tokens and END in tokens[model:]:  # few documents of many words: the end still needs an output
-        i = tokens.index(END)
-        rows.insert(model - 1, rows.pop(i))
-        tokens.insert(model - 1, tokens.pop(i))
-    v = Vocabulary(tokens, np.array([r.c for r in rows], np.int64), sums.n or 0, sums.v, model)
-    if len(rows) < head:
-        return v, counts.where("false").select("h", "c")
-    last = rows[-1] if rows[-1].token != END else rows[-2]
-    beyond = (F.col("c") < last.c) | ((F.col("c") == last.c) & (F.col("token") > F.lit(bytearray(last.token))))
-    return v, counts.where(beyond & (F.col("token") != F.lit(bytearray(END)))).select("h", "c")
+    is_end = F.col("token") == F.lit(bytearray(END))
+    rows = counts.where(~is_end).orderBy(F.desc("c"), "token").limit(head - 1).select("token", "c").toArrow()
+    tokens, each = rows.column(0).to_pylist(), rows.column(1).to_numpy()
+    found = counts.where(is_end).first()
+    beyond = counts.where("false")
+    if len(tokens) == head - 1 and tokens:
+        beyond = counts.where(~is_end & ((F.col("c") < int(each[-1])) | ((F.col("c") == int(each[-1])) & (F.col("token") > F.lit(bytearray(tokens[-1]))))))
+    if found is not None:  # the end has an output however few documents there are
+        place = min(int(np.searchsorted(-each, -found.c)), model - 1)
+        tokens.insert(place, END)
+        each = np.insert(each, place, found.c)
+    return Vocabulary(tokens, np.asarray(each, np.int64), sums.n or 0, sums.v, model), beyond.select("h", "c")
 
 
 PARTS = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, n_tail long, base double, score double, tail array<long>"
 
 
-def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: int = 2048, members: int = 64, head: int = 524_288, warm_rows: int = 600, run_tokens: int = 1_000_000) -> DataFrame:
+def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: int = 2048, members: int = 64, head: int = 262_144, warm_rows: int = 600, run_tokens: int = 1_000_000) -> DataFrame:
     """Log10 probability of every whole text by the model and by add-one unigrams, both learned from the rows not held out.
 
     Counts cover all training rows. The model has outputs for the ``model`` most frequent tokens; a rarer token gets the
