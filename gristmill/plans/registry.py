@@ -317,14 +317,14 @@ def page_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- rules ----
-_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(i)}, {_list(s)}, {y}, {c})" for i, _, s, y, c, _, _ in DOCTRINE) + ") AS r(id, subjects, pivot, critical))"
+_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(i)}, {_list(s)}, {y}, {c})" for i, _, s, y, c, _, _ in DOCTRINE) + ") AS r(id, subjects, pivot_year, critical))"
 
 
 @query(f"""WITH {HITS}, {HIT_ROWS}, {_RULES},
 direct AS (SELECT item_id AS qid, id, critical, true AS by_question FROM benchmark, rules WHERE len(list_filter(subjects, lambda s: contains({FOLD('text')}, {FOLD('s')}))) > 0),
-said AS (SELECT qid, id, critical, list_filter(list_transform(subjects, lambda s: {FOLD('s')}), lambda s: contains({FOLD("section || ' ' || text")}, s)) AS m FROM hit_rows JOIN rules ON date < pivot),
-some AS (SELECT qid, id, critical, list_distinct(flatten(list(m))) AS m FROM said GROUP BY qid, id, critical),
-both_ AS (SELECT * FROM direct UNION ALL SELECT qid, id, critical, false FROM some WHERE len(m) >= 2 OR len(list_filter(m, lambda s: contains(s, ' '))) > 0),
+said AS (SELECT qid, id, critical, list_filter(list_transform(subjects, lambda s: {FOLD('s')}), lambda s: contains({FOLD("section || ' ' || text")}, s)) AS m FROM hit_rows JOIN rules ON date < pivot_year),
+some_ AS (SELECT qid, id, critical, list_distinct(flatten(list(m))) AS m FROM said GROUP BY qid, id, critical),
+both_ AS (SELECT * FROM direct UNION ALL SELECT qid, id, critical, false FROM some_ WHERE len(m) >= 2 OR len(list_filter(m, lambda s: contains(s, ' '))) > 0),
 one AS (SELECT qid, id, critical, max(by_question) AS by_question FROM both_ GROUP BY qid, id, critical),
 o AS (SELECT qid, id AS rule, by_question, row_number() OVER (PARTITION BY qid ORDER BY by_question DESC, critical DESC, id)::INTEGER AS rank FROM one)
 SELECT * FROM o WHERE rank <= 3""")
@@ -350,12 +350,13 @@ def checklist_route(spark: SparkSession, d: str) -> DataFrame:
     return rules.checklist_route(asked, checklists(spark))
 
 
-_SQL_IDENT = (rules.IDENTIFICATION + "|" + rules.SPECIES).replace("'", "''")
+# RE2 knows ASCII word boundaries only; what stands beside a word is spelt out instead.
+_SQL_IDENT = (rules.IDENTIFICATION + "|" + rules.SPECIES).replace("'", "''").replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])")
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '(?is){_SQL_IDENT}') AS identification FROM documents WHERE lang IN ('fr', 'en')")
+@query(f"SELECT doc_id, regexp_matches(text, '(?is){_SQL_IDENT}') AS identification FROM documents")
 def identification_flag(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("lang in ('fr', 'en')").select("doc_id", rules.is_identification(F.col("text")).alias("identification"))
+    return read(spark, d, "documents").select("doc_id", rules.is_identification(F.col("text")).alias("identification"))
 
 
 _TITLES = r"titles AS (SELECT url AS path, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)"
