@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordHashes, batch_of, exchange_width, mixed, window_hashes, written
@@ -96,19 +96,33 @@ def jaccard_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-NODES = "doc_id long, node long, n_shingles long"
+BITS = [f"b{i}" for i in range(8)]
+NODES = "doc_id long, node long, n_shingles long, " + ", ".join(f"{b} long" for b in BITS)
+
+
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the elements that fall on it: two sets differ in at least as many elements as in bits."""
+    counts = np.bincount((mixed(shingles) >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_reach(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parity bits of two rows leave room for the similarity."""
+    n, m = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
+    differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
 MEMBERS = "gid long, node long"
 
 
 def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """The set size and the node of every row; rows without words have no node."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())])
+    """The set size, the node and the parity bits of every row; rows without words have no node."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), *((b, pa.int64()) for b in BITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for b in batches:
             sets = [shingle_set(t.as_py(), size, table) for t in b.column(1)]
-            yield batch_of(schema, [b.column(0), [node_of(s) if len(s) else None for s in sets], [len(s) for s in sets]])
+            yield batch_of(schema, [b.column(0), [node_of(s) if len(s) else None for s in sets], [len(s) for s in sets], *(np.array([parity_bits(s) for s in sets], np.int64).reshape(-1, 8).T)])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, NODES)
 
@@ -237,28 +251,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, size: int, percent: int, star_rounds: int = 3) -> DataFrame:
+FACTS = ["node", "label", "n_shingles", *BITS]
+
+
+def linked(docs: DataFrame, facts: DataFrame, size: int, percent: int, star_rounds: int = 3) -> DataFrame:
     """(node, label) of all nodes that have a link.
 
+    Pairs within a group are filtered by size and parity bits inside the join, before any row is made of them.
+
     Star rounds first: in each group a pivot is verified against the members that are not yet in its
     component, so a group of copies costs one pair for each member. What is still apart in a group after
     that is verified pair by pair, except pairs verified before: no link between components is lost.
     """
     spark: SparkSession = docs.sparkSession
     members = written(groups(docs, size, percent))
+    members = written(members.join(facts.where("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", *BITS), "node"))
     texts = written(node_texts(docs, members.select("node").distinct(), size))
     labels, links, tried = None, None, None
     for turn in range(star_rounds + 1):
         held = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if labels is None:
             held = held.withColumn("label", F.col("node"))
-        split = held.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("pivot")).where("low <> high")
+        split = held.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label", "n_shingles", *BITS)).alias("pivot")).where("low <> high")
         if turn < star_rounds:
-            pairs = held.join(split.select("gid", F.col("pivot.node").alias("p"), F.col("pivot.label").alias("p_label")), "gid").where("label <> p_label").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+            other = split.select("gid", *(F.col(f"pivot.{c}").alias(f"p_{c}") for c in FACTS))
+            pairs = held.join(other, "gid").where((F.col("label") != F.col("p_label")) & may_reach("", "p_", percent)).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
         else:
             apart = held.join(split.select("gid"), "gid", "left_semi")
-            other = apart.select("gid", F.col("node").alias("p"), F.col("label").alias("p_label"))
-            pairs = apart.join(other, "gid").where("node < p and label <> p_label").select(F.col("node").alias("a"), F.col("p").alias("b"))
+            other = apart.select("gid", *(F.col(c).alias(f"p_{c}") for c in FACTS))
+            pairs = apart.join(other, "gid").where((F.col("node") < F.col("p_node")) & (F.col("label") != F.col("p_label")) & may_reach("", "p_", percent)).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -284,7 +305,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 3
     A row without doc_id links others but never names a component unless alone (then null). Other columns are not read.
     """
     rows = written(nodes(docs, size))
-    labels = linked(docs, size, percent, star_rounds)
+    labels = linked(docs, rows, size, percent, star_rounds)
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     comp = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = comp.groupBy("label").agg(F.min("first").alias("component_id"))
