@@ -106,7 +106,7 @@ def references(feats: DataFrame, min_words: int = 50) -> DataFrame:
     return sums.join(hist, "ref_lang", "left")
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.45, max_word_distance: float = 0.85, min_common: int = 20, min_reference: int = 1000) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.45, max_word_distance: float = 0.85, min_common: int = 20, min_reference: int = 1000, broadcast_languages: int = 1000) -> DataFrame:
     """Base counts and verdict, and the two Jensen-Shannon distances (0 to 1) behind the verdict.
 
     The histograms of a document are compared with those of all documents of its ``lang`` (null: the
@@ -117,7 +117,9 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, ma
     features are written once to the shared folder, and the references are a few rows for each language.
     """
     feats = written(features(docs))
-    both = feats.withColumn("ref_lang", F.coalesce("lang", F.lit(""))).join(references(feats, min_words), "ref_lang", "left")
+    refs = written(references(feats, min_words))
+    refs = F.broadcast(refs) if refs.count() <= broadcast_languages else refs
+    both = feats.withColumn("ref_lang", F.coalesce("lang", F.lit(""))).join(refs, "ref_lang", "left")
     shares = class_shares({k: F.col(k) for k in feats.columns})
     total_q = sum((F.col(f"q{i}") for i in range(1, 5)), F.col("q0"))
     class_js = sum((_divergence(c / F.col("n_chars"), F.col(f"q{i}") / total_q) for i, c in enumerate(shares)), F.lit(0.0))
