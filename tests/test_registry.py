@@ -1,9 +1,10 @@
 """Registered queries against their SQL twins, for those that take little time."""
 
-import math
+import numbers
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gristmill.plans import registry
@@ -13,11 +14,11 @@ DATA = Path("/root/testdata/sf0.001")
 
 def plain(frame, columns):
     def value(x):
-        if isinstance(x, bool) or x is None:
-            return x
-        return None if isinstance(x, float) and math.isnan(x) else float(x) if isinstance(x, (int, float)) else x
+        if x is None or (not isinstance(x, (str, bool)) and pd.isna(x)):
+            return None
+        return float(x) if isinstance(x, numbers.Number) and not isinstance(x, bool) else x
 
-    return sorted(repr([value(getattr(x, "item", lambda x=x: x)()) if hasattr(x, "item") else value(x) for x in row]) for row in frame[columns].itertuples(index=False))
+    return sorted(repr([value(x) for x in row]) for row in frame[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
