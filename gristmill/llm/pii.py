@@ -23,7 +23,7 @@ TERM = "term"
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 _OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 _WORD_GAP = "[^\\p{L}\\p{N}'-]+"
-_WORD = "^\\p{L}[\\p{L}\\p{N}'-]{3,40}$"
+_WORD = "[\\p{L}\\p{N}]"
 _SPAN = "array<struct<start:int,place:int,end:int,kind:string,value:string>>"
 
 
@@ -86,47 +86,72 @@ def base_spans(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
+    """Distinct lower-case words of any length: runs of letters, digits, ' and - with a letter or digit."""
     return F.filter(F.array_distinct(F.split(F.lower(text), _WORD_GAP)), lambda w: w.rlike(_WORD))
 
 
-def _context(text: Column, span: Column, reach: int) -> Column:
-    """Distinct whole words within ``reach`` code points of a span."""
-    first = F.greatest(span["start"] - reach, F.lit(0))
-    before = F.substr(text, first + 1, span["start"] - first)
-    after = F.substr(text, span["end"] + 1, F.lit(reach))
-    before = F.when(first > 0, F.regexp_replace(before, "^[^\\x20\\x09-\\x0D]*", "")).otherwise(before)
-    after = F.when(F.length(after) == reach, F.regexp_replace(after, "[^\\x20\\x09-\\x0D]*$", "")).otherwise(after)
-    return words(F.concat_ws(" ", before, after))
+def _entity(span: Column) -> Column:
+    return F.xxhash64(span["kind"], F.lower(span["value"]))
+
+
+def _company(text: Column, spans: Column) -> Column:
+    """(term, inside) for the words of the whole text: inside is null for words outside of the base spans, else the entity whose span holds the word."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.when(s["start"] > acc["at"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+
+    outside = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.length(text)))))
+    # a span can end within a word: only what is a word of the text counts
+    whole = let(words(text), lambda w: F.concat(
+        F.transform(F.array_intersect(words(F.array_join(outside, " ")), w), lambda x: F.struct(x.alias("term"), F.lit(None).cast("long").alias("inside"))),
+        F.flatten(F.transform(spans, lambda s: F.transform(F.array_intersect(words(s["value"]), w), lambda x: F.struct(x.alias("term"), _entity(s).alias("inside")))))))
+    return F.when(F.size(spans) > 0, whole).otherwise(F.array().cast("array<struct<term:string,inside:bigint>>"))
 
 
 def clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _OPEN + _CLOSE, _OTHER * 2)
 
 
-def scanned(docs: DataFrame, reach: int) -> DataFrame:
-    """doc_id, digest of the text, base spans and the context words of each span."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text, base spans, and the words of texts that hold any."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("text"))
     spans = base.withColumn("spans", base_spans(F.col("text")))
-    return spans.select("doc_id", F.xxhash64("text").alias("digest"), "spans", F.transform("spans", lambda s: _context(F.col("text"), s, reach)).alias("near"))
+    return spans.select("doc_id", F.xxhash64("text").alias("digest"), "spans", _company(F.col("text"), F.col("spans")).alias("near"))
+
+
+def _alone(inside: Column) -> Column:
+    """The entity whose spans alone hold the word; null if it stands outside of them or in those of several."""
+    return F.when((F.count(inside) == F.count(F.lit(1))) & (F.min(inside) == F.max(inside)), F.min(inside))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disclosure: float = 0.8, removal: float = 0.95, broadcast_rows: int = 100_000) -> DataFrame:
     """(term, share, action): terms that disclose a protected entity, from counts over all distinct texts.
 
     An entity is a base span's value. With n texts, n_e with the entity, n_t with the term anywhere and n_te with the
-    term near the entity, the term discloses the share PMI(t, e) / IC(e) =
+    term anywhere but in the entity itself, the term discloses the share PMI(t, e) / IC(e) =
     log(n n_te / (n_t n_e)) / log(n / n_e) of the entity's information: 1 when the term never occurs without it.
     Terms whose share reaches ``disclosure`` with ``min_texts`` texts are generalised, from ``removal`` on removed.
     """
     n = float(found.select("digest").distinct().count())
-    entities = found.select("digest", F.explode(F.arrays_zip("spans", "near")).alias("x")).select("digest", F.xxhash64(F.col("x.spans.kind"), F.lower("x.spans.value")).alias("entity"), F.col("x.near").alias("near"))
-    with_entity = entities.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
-    near = written(entities.select("entity", "digest", F.explode("near").alias("term")).distinct())
-    near_any = near.select("digest", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_texts)
+    entities = found.select("digest", F.explode("spans").alias("s")).select("digest", _entity(F.col("s")).alias("entity")).distinct()
+    # n_te is n_e at most, so entities of fewer than min_texts texts have no terms
+    with_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") < n) & (F.col("n_e") >= min_texts))
+    held = written(entities.join(with_entity, "entity"))
+    holders = held.select("digest").distinct()
+    holders = F.broadcast(holders) if holders.count() <= broadcast_rows else holders
+    # a word of one entity's spans alone keeps company with the text's other entities only
+    near = written(found.join(holders, "digest", "left_semi").select("digest", F.explode("near").alias("x")).groupBy("digest", F.col("x.term").alias("term")).agg(_alone(F.col("x.inside")).alias("inside")))
+    near_any = near.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= min_texts)
     share = lambda n_t: F.log2(n * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    # a term stands in as many texts as it is near any entity in, at least: that bounds its share before the corpus is counted
-    pairs = written(pairs.join(with_entity, "entity").join(near_any, "term").where(share("n_near") >= disclosure))
+    # a term stands in as many texts as it is with any entity in, at least: with n_te at most n_e and n_near, that
+    # bounds its share before pairs are made, and again before the corpus is counted
+    known = near.join(near_any, "term")
+    reach = F.log2(n / F.greatest("n_near", "n_e")) >= disclosure * F.log2(n / F.col("n_e"))
+    both = known.join(held, "digest").where((F.col("inside").isNull() | (F.col("inside") != F.col("entity"))) & reach)
+    pairs = both.groupBy("entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_texts)
+    pairs = written(pairs.where(share("n_near") >= disclosure))
     terms = pairs.select("term").distinct()
     asked = terms.count()
     if not asked:
@@ -151,9 +176,9 @@ def term_spans(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 100_000)
     return texts.join(wanted, "digest").dropDuplicates(["digest"]).select("digest", located(F.col("text"), pattern, TERM, len(KINDS)).alias("extra"))
 
 
-def findings(docs: DataFrame, reach: int = 60, **limits: float) -> tuple[DataFrame, DataFrame]:
+def findings(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, spans, extra) of every row, and the disclosing terms."""
-    found = written(scanned(docs, reach))
+    found = written(scanned(docs))
     terms = written(disclosing_terms(docs, found, **limits))
     rows = found.select("doc_id", "digest", "spans")
     if not terms.limit(1).count():
@@ -165,14 +190,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def detect(docs: DataFrame, reach: int = 60, **limits: float) -> DataFrame:
+def detect(docs: DataFrame, **limits: float) -> DataFrame:
     """Counts of base spans, their digest, and all spans of every whole text.
 
     Null text: empty. Rows are judged one by one; equal texts get equal spans. Other columns are not read. Counts are of
     distinct texts, so copies don't make a term disclose. The base spans and word counts cover all documents; only tables with a
     checked number of rows are broadcast.
     """
-    rows, _ = findings(docs, reach, **limits)
+    rows, _ = findings(docs, **limits)
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("spans", "extra"))).alias("spans"))
 
@@ -190,7 +215,7 @@ def redacted_text(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with base spans and disclosing terms taken out of text, all else as it was; null texts stay null."""
-    found = written(scanned(docs, 60))
+    found = written(scanned(docs))
     terms = written(disclosing_terms(docs, found, **limits))
     text = clean(F.col("text"))
     if terms.limit(1).count():

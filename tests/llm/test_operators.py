@@ -170,6 +170,20 @@ def test_disclosing_terms_are_found_and_taken_out(spark):
     assert all(out[i].text == t for i, t in plain_)
 
 
+def test_terms_of_any_length_anywhere_in_the_text_disclose(spark):
+    rng = random.Random(15)
+    plain_ = [(i, prose(rng, 40)) for i in range(200)]
+    long_ = "x" * 60
+    told = [(1000 + i, f"Kim 7x42 王伟 {prose(rng, 60 + i)} write to k@home.org today {prose(rng, 50)} Lee {long_}") for i in range(4)]
+    df = spark.createDataFrame(plain_ + told, "doc_id long, text string")
+    got = by_id(pii.detect(df))
+    for i, text in told:
+        spans = [s.split(":") for s in got[i].spans.split(",")]
+        terms = {text[int(a) : int(b)].lower() for k, a, b in spans if k == "term"}
+        assert terms >= {"kim", "7x42", "王伟", "lee", long_} and "home" not in terms
+    assert all("term" not in got[i].spans for i, _ in plain_)
+
+
 # 5
 def test_language_model(spark):
     rng = random.Random(6)
