@@ -20,6 +20,8 @@ KINDS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TERM = "term"
+#: The places of term spans: what is generalised becomes the mark [TERM], what is removed leaves nothing.
+GENERALISE, REMOVE = len(KINDS), len(KINDS) + 1
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 _OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 _WORD_GAP = "[^\\p{L}\\p{N}'-]+"
@@ -167,13 +169,16 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
 def term_spans(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """(digest, spans): every occurrence of disclosing terms in the distinct texts that hold any."""
     texts = docs.select(clean(F.col("text")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    small = terms.select("term")
+    small = terms.select("term", "action")
     small = F.broadcast(small) if small.count() <= broadcast_rows else small
-    held = written(texts.select("digest", F.explode(words(F.col("text"))).alias("term")).join(small, "term", "left_semi").distinct().groupBy("digest").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("any")))
+    each = texts.select("digest", F.explode(words(F.col("text"))).alias("term")).join(small, "term").distinct()
+    of = lambda action: F.array_join(F.sort_array(F.collect_list(F.when(F.col("action") == action, F.col("term")))), "|")
+    held = written(each.groupBy("digest").agg(of("generalise").alias("broad"), of("remove").alias("gone")))
     wanted = F.broadcast(held) if held.count() <= broadcast_rows else held
     # terms hold letters, digits, ' and - only, so they stand for themselves in a pattern
-    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}'-])(?:"), F.col("any"), F.lit(")(?![\\p{L}\\p{N}'-])"))
-    return texts.join(wanted, "digest").dropDuplicates(["digest"]).select("digest", located(F.col("text"), pattern, TERM, len(KINDS)).alias("extra"))
+    pattern = lambda any_: F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}'-])(?:"), F.col(any_), F.lit(")(?![\\p{L}\\p{N}'-])"))
+    spans = lambda any_, place: F.when(F.col(any_) != "", located(F.col("text"), pattern(any_), TERM, place)).otherwise(F.array().cast(_SPAN))
+    return texts.join(wanted, "digest").dropDuplicates(["digest"]).select("digest", F.concat(spans("broad", GENERALISE), spans("gone", REMOVE)).alias("extra"))
 
 
 def findings(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
@@ -203,10 +208,10 @@ def detect(docs: DataFrame, **limits: float) -> DataFrame:
 
 
 def redacted_text(text: Column, spans: Column) -> Column:
-    """The text with each span exchanged for its kind in brackets; spans that overlap are one."""
+    """The text with each span exchanged for its kind in brackets, or for nothing where a term is removed; spans that overlap are one."""
 
     def step(acc: Column, s: Column) -> Column:
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["place"] == REMOVE, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -214,7 +219,7 @@ def redacted_text(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
-    """docs with base spans and disclosing terms taken out of text, all else as it was; null texts stay null."""
+    """docs with base spans and disclosing terms exchanged for their kinds or, from the removal share on, deleted from text, all else as it was; null texts stay null."""
     found = written(scanned(docs))
     terms = written(disclosing_terms(docs, found, **limits))
     text = clean(F.col("text"))

@@ -184,6 +184,20 @@ def test_terms_of_any_length_anywhere_in_the_text_disclose(spark):
     assert all("term" not in got[i].spans for i, _ in plain_)
 
 
+def test_terms_are_generalised_or_removed_by_their_share(spark):
+    rng = random.Random(16)
+    plain_ = [(i, prose(rng, 40)) for i in range(400)]
+    told = [(1000 + i, f"{prose(rng, 20)} Zorblax and Quinby, b@home.org {prose(rng, 20 + i)}") for i in range(8)]
+    # some more texts hold quinby without the entity: a share between 0.8 and 0.95
+    more = [(2000 + i, f"{prose(rng, 20)} quinby {prose(rng, 20 + i)}") for i in range(4)]
+    df = spark.createDataFrame(plain_ + told + more, "doc_id long, text string")
+    actions = {r.term: r.action for r in pii.findings(df)[1].collect()}
+    assert (actions["zorblax"], actions["quinby"]) == ("remove", "generalise")
+    out = by_id(pii.sanitise(df))
+    assert all("   [TERM], [EMAIL] " in out[i].text and "lax" not in out[i].text for i, _ in told)
+    assert all(" [TERM] " in out[i].text for i, _ in more)
+
+
 # 5
 def test_language_model(spark):
     rng = random.Random(6)
