@@ -61,7 +61,7 @@ def common_histogram(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One row for each document: base counts, four character-class counts, common-word counts."""
+    """One row for each document: base counts, four character-class counts, common-word counts and n_bins, all words with and without letters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang"), text.alias("text"))
     split = base.withColumn("words", F.filter(F.split("text", SEPARATOR_RUN), lambda w: w != ""))
@@ -79,6 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
         without("\\p{Lu}+").cast("long").alias("n_upper"),
         without("[0-9]+").cast("long").alias("n_digits"),
         F.length("text").cast("long").alias("n_chars"),
+        F.greatest(F.size(low), F.size("words")).cast("long").alias("n_bins"),
         common_histogram(low).alias("common"),
     )
     return counted
@@ -100,19 +101,22 @@ def references(feats: DataFrame, min_words: int = 50) -> DataFrame:
     """One row for each language: summed character classes and common-word counts of all its documents of ``min_words`` or more."""
     lang = F.coalesce("lang", F.lit(""))
     solid = feats.where(F.col("n_words") >= min_words)
-    sums = solid.groupBy(lang.alias("ref_lang")).agg(*[F.sum(c.cast("double")).alias(f"q{i}") for i, c in enumerate(class_shares({k: F.col(k) for k in feats.columns}))], F.sum(F.size(F.col("common"))).alias("n_kinds"))
+    sums = solid.groupBy(lang.alias("ref_lang")).agg(*[F.sum(c.cast("double")).alias(f"q{i}") for i, c in enumerate(class_shares({k: F.col(k) for k in feats.columns}))], F.sum(F.size(F.col("common"))).alias("n_kinds"), F.sum(F.col("n_bins").cast("double")).alias("ref_bins"))
     words = solid.select(lang.alias("ref_lang"), F.explode("common").alias("c")).groupBy("ref_lang", "c.w").agg(F.sum("c.n").alias("n"))
     hist = words.groupBy("ref_lang").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("w", F.col("n").cast("double"))))).alias("ref_words"), F.sum(F.col("n").cast("double")).alias("ref_total"))
     return sums.join(hist, "ref_lang", "left")
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.45, max_word_distance: float = 0.85, min_common: int = 20, min_reference: int = 1000, broadcast_languages: int = 1000) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.45, max_word_distance: float = 0.85, min_common: int = 20, min_share: float = 0.1, broadcast_languages: int = 1000) -> DataFrame:
     """Base counts and verdict, and the two Jensen-Shannon distances (0 to 1) behind the verdict.
 
     The histograms of a document are compared with those of all documents of its ``lang`` (null: the
-    rows without lang). Guards: under ``min_words`` words no distance is taken (the base rule already
-    fails such a text); the word distance needs ``min_common`` common words in the text and
-    ``min_reference`` in the reference, else it is null and doesn't count. Null text: empty, zero
+    rows without lang). Guard: under ``min_words`` words no distance is taken (the base rule already
+    fails such a text). The word distance is the larger of two: over the common words and one bin of all
+    other words; and over the common words alone, where those that the text lacks of the number usual in its
+    language count as a bin which the language doesn't have, so a text without any is at 1. The second is taken if the
+    text holds ``min_common`` common words, or should: at least that many are usual for its length, in a
+    language of which they are ``min_share`` or more. Null text: empty, zero
     counts, base_failed. Repeated rows are judged alike, one row each. DataFrame functions only; the
     features are written once to the shared folder, and the references are a few rows for each language.
     """
@@ -124,9 +128,23 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, ma
     total_q = sum((F.col(f"q{i}") for i in range(1, 5)), F.col("q0"))
     class_js = sum((_divergence(c / F.col("n_chars"), F.col(f"q{i}") / total_q) for i, c in enumerate(shares)), F.lit(0.0))
     n_common = F.aggregate("common", F.lit(0).cast("double"), lambda a, c: a + c["n"])
-    seen = lambda n: F.aggregate("common", F.lit(0.0), lambda a, c: a + _divergence(c["n"] / n, F.coalesce(F.element_at("ref_words", c["w"]), F.lit(0.0)) / F.col("ref_total")))
-    unseen = F.aggregate("common", F.lit(0.0), lambda a, c: a + F.coalesce(F.element_at("ref_words", c["w"]), F.lit(0.0)) / F.col("ref_total"))
-    word_js = let(n_common, lambda n: F.when((n >= min_common) & (F.col("ref_total") >= min_reference), seen(n) + (1 - unseen) / 2))
+    ref_total = F.coalesce("ref_total", F.lit(0.0))
+    ref = lambda w: F.coalesce(F.element_at("ref_words", w), F.lit(0.0))
+
+    def distance(p_total: Column, p_other: Column, q_total: Column, q_other: Column) -> Column:
+        seen = F.aggregate("common", F.lit(0.0), lambda a, c: a + _divergence(F.try_divide(c["n"].cast("double"), p_total), F.try_divide(ref(c["w"]), q_total)))
+        unseen = F.try_divide(ref_total - F.aggregate("common", F.lit(0.0), lambda a, c: a + ref(c["w"])), q_total)
+        return seen + unseen / 2 + _divergence(F.try_divide(p_other, p_total), F.try_divide(q_other, q_total))
+
+    def word_divergence(n: Column) -> Column:
+        whole = distance(F.col("n_bins"), F.col("n_bins") - n, F.col("ref_bins"), F.col("ref_bins") - ref_total)
+        share = F.try_divide(ref_total, F.col("ref_bins"))
+        usual = share * F.col("n_bins")
+        lacking = F.greatest(usual - n, F.lit(0.0))
+        known = (ref_total > 0) & ((n >= min_common) | ((usual >= min_common) & (share >= min_share)))
+        return F.greatest(whole, F.when(known, distance(n + lacking, lacking, ref_total, F.lit(0.0))))
+
+    word_js = let(n_common, word_divergence)
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -320,6 +320,16 @@ def test_quality_tells_odd_texts_apart(spark):
     assert all(got[i].kept for i, *_ in fine) and not got[900].kept
 
 
+def test_quality_compares_texts_of_few_common_words(spark):
+    rng = random.Random(19)
+    fine = [(i, " ".join(rng.choice(["the", "of", "and", "in", *rng.sample(WORDS, 6)]) for k in range(150)), "en") for i in range(60)]
+    few = [(900 + k, " ".join(["the"] * k + rng.sample(WORDS, 180)), "en") for k in (0, 1, 3, 5)] + [(910, "zq" * 3 + " " + " ".join(rng.sample(WORDS, 60)), "en")]
+    other = [(950 + i, prose(rng, 150), "xx") for i in range(20)] + [(990, prose(rng, 150) + " the", "xx")]
+    got = by_id(quality.judge(spark.createDataFrame(fine + few + other, "doc_id long, text string, lang string")))
+    assert all(got[i].word_distance > 0.85 and not got[i].base_failed and not got[i].kept for i, *_ in few)
+    assert all(got[i].word_distance is not None and got[i].kept for i, *_ in fine + other)
+
+
 # pipeline
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
