@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -13,6 +13,11 @@ _PREFIX = "^((?:[ \\t]*>)+)[ \\t]*"
 _ANNOUNCED = "(?m)^[^\\n]*(?:wrote|écrit|schrieb|escribió) ?:[ \\t]*\\r?\\n(?=[ \\t]*>)"
 
 
+_SOURCES = "array<struct<passage:int,level:int,source_turn:{},matched:bigint>>"
+#: The same of an announcement that stands in a quote: it doesn't part the quote.
+_ANNOUNCED_IN_QUOTE = _ANNOUNCED.replace("^[^", "^(?=[ \\t]*>)[^", 1)
+
+
 def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _ANNOUNCED, ""), "\\r?\\n")
 
@@ -26,28 +31,40 @@ def _says_something(line: Column) -> Column:
     return line.rlike("[\\p{L}\\p{N}]")
 
 
+def _passages(text: Column) -> Column:
+    """Quoted lines between two lines that aren't quoted, as arrays; announcements count as lines between."""
+    every = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _ANNOUNCED_IN_QUOTE, ""), "\\r?\\n")
+    bare = F.array_join(F.transform(every, lambda x: F.when(x.rlike(_QUOTE), x).otherwise("")), "\n")
+    return F.transform(F.split(bare, "\n\n+"), lambda b: F.filter(F.split(b, "\n"), lambda x: x.rlike(_QUOTE) & _says_something(x)))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages with own (lines that aren't quoted) and quoted (array of level, line hash)."""
+    """messages with own (lines that aren't quoted) and quoted (array of passage, level, line hash)."""
     split = messages.withColumn("_lines", lines(F.col("text")))
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _PREFIX, 1), "[^>]", ""))
-    quoted = F.transform(F.filter("_lines", lambda x: x.rlike(_QUOTE) & _says_something(x)), lambda x: F.struct(level(x).alias("level"), normal_hash(F.regexp_replace(x, _PREFIX, "")).alias("h")))
+    quoted = F.flatten(F.transform(_passages(F.col("text")), lambda b, i: F.transform(b, lambda x: F.struct(i.alias("passage"), level(x).alias("level"), normal_hash(F.regexp_replace(x, _PREFIX, "")).alias("h")))))
     return split.withColumn("own", F.filter("_lines", lambda x: ~x.rlike(_QUOTE))).withColumn("quoted", F.array_distinct(quoted)).drop("_lines")
 
 
 def links(held: DataFrame) -> DataFrame:
-    """(conv_id, turn, digest, level, source_turn, matched): where each quote level of a message comes from.
+    """(conv_id, turn, digest, passage, level, source_turn, matched): where each quoted passage of a message comes from.
 
-    A quoted line belongs to the first message of the conversation that says it outside quotes; a level to the message
-    with most of its lines, ties to the later one. First turns are an aggregate for each (conversation, line), so
-    a line that everyone repeats joins as one row.
+    A passage is the lines of one level between two lines that aren't quoted. It comes from the earlier message of the
+    conversation that says most of its lines outside quotes, ties to the later one. Votes are counted once for each
+    distinct set of lines in a conversation, however many messages quote it; each of these takes the best of the turns before.
     """
-    quotes = held.where(F.size("quoted") > 0).select("conv_id", "turn", "digest", F.explode("quoted").alias("q")).select("conv_id", "turn", "digest", "q.level", "q.h")
-    asked = quotes.select("conv_id", "h").distinct()
-    said = held.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.filter("own", _says_something), normal_hash))).alias("h"))
-    first = said.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").join(asked, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("source_turn"))
-    found = quotes.join(first, ["conv_id", "h"]).where("source_turn < turn")
-    votes = found.groupBy("conv_id", "turn", "digest", "level", "source_turn").agg(F.count("*").alias("n"))
-    return votes.groupBy("conv_id", "turn", "digest", "level").agg(F.max(F.struct("n", "source_turn")).alias("best")).select("conv_id", "turn", "digest", "level", F.col("best.source_turn").alias("source_turn"), F.col("best.n").alias("matched"))
+    quotes = held.where(F.size("quoted") > 0).select("conv_id", "turn", "digest", F.explode("quoted").alias("q")).select("conv_id", "turn", "digest", "q.passage", "q.level", "q.h")
+    asking = written(quotes.groupBy("conv_id", "turn", "digest", "passage", "level").agg(F.array_sort(F.collect_set("h")).alias("hs")).distinct().withColumn("lines", F.xxhash64("hs")))
+    sets = asking.select("conv_id", "lines", "hs").dropDuplicates(["conv_id", "lines"]).select("conv_id", "lines", F.explode("hs").alias("h"))
+    said = held.join(asking.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.filter("own", _says_something), normal_hash))).alias("h")).distinct()
+    votes = sets.join(said, ["conv_id", "h"]).groupBy("conv_id", "lines", "turn").agg(F.count("*").alias("n"))
+    # behind each turn that votes, the best so far; a passage reads it before its own turn
+    none = F.lit(None)
+    marks = votes.select("conv_id", "lines", "turn", F.struct("n", F.col("turn").alias("source_turn")).alias("vote"), none.cast("long").alias("digest"), none.cast("int").alias("passage"), none.cast("int").alias("level"))
+    reads = asking.select("conv_id", "lines", "turn", none.cast(marks.schema["vote"].dataType).alias("vote"), "digest", "passage", "level")
+    before = Window.partitionBy("conv_id", "lines").orderBy("turn", F.col("vote").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = marks.unionByName(reads).withColumn("best", F.max("vote").over(before)).where("passage is not null and best is not null")
+    return best.select("conv_id", "turn", "digest", "passage", "level", F.col("best.source_turn").alias("source_turn"), F.col("best.n").alias("matched"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -66,8 +83,9 @@ def link(messages: DataFrame) -> DataFrame:
     """Messages without their quotes, in an order in which replies follow what they quote.
 
     Returns conv_id, turn, role, text (quotes and their announcements taken out), parent_turn (the source
-    of the first quote level; null: no quote of the conversation), root_turn (where that leads), depth, n_quoted and
-    n_linked (quoted lines, and those of levels that were linked). Sorting by conv_id, root_turn, turn reads each
+    of the first-level passage with most lines found, ties to the later source; null: no such quote of the conversation),
+    root_turn (where that leads), depth, n_quoted and n_linked (quoted lines, and those found in the sources), and sources
+    (passage, level, source_turn, matched of every linked passage in order). Sorting by conv_id, root_turn, turn reads each
     thread in reply order; the operator leaves that sort to the writer, so no conversation has to fit a task.
 
     Quotes of later turns, of the message itself and of other conversations link to nothing. Null conv_id, turn or
@@ -79,11 +97,12 @@ def link(messages: DataFrame) -> DataFrame:
     text = F.when(F.col("text").isNotNull(), F.rtrim(F.array_join("own", "\n"))).alias("text")
     kept = F.when(F.size("quoted") > 0, text).otherwise(F.col("text")).alias("text")
     rows = base.select("conv_id", "turn", "role", kept, "digest", F.size("quoted").cast("long").alias("n_quoted"))
-    names = ["conv_id", "turn", "role", "text", "parent_turn", "root_turn", "depth", "n_quoted", "n_linked"]
+    names = ["conv_id", "turn", "role", "text", "parent_turn", "root_turn", "depth", "n_quoted", "n_linked", "sources"]
+    no_sources = F.array().cast(_SOURCES.format(base.schema["turn"].dataType.simpleString()))
     if not found.limit(1).count():
-        return rows.select("conv_id", "turn", "role", "text", F.lit(None).cast(base.schema["turn"].dataType).alias("parent_turn"), F.col("turn").alias("root_turn"), F.lit(0).alias("depth"), "n_quoted", F.lit(0).cast("long").alias("n_linked"))
-    near = found.groupBy("conv_id", "turn", "digest").agg(F.min(F.when(F.col("level") == 1, F.col("source_turn"))).alias("parent_turn"), F.sum("matched").alias("n_linked"))
+        return rows.select("conv_id", "turn", "role", "text", F.lit(None).cast(base.schema["turn"].dataType).alias("parent_turn"), F.col("turn").alias("root_turn"), F.lit(0).alias("depth"), "n_quoted", F.lit(0).cast("long").alias("n_linked"), no_sources.alias("sources"))
+    near = found.groupBy("conv_id", "turn", "digest").agg(F.max(F.when(F.col("level") == 1, F.struct("matched", "source_turn")))["source_turn"].alias("parent_turn"), F.sum("matched").alias("n_linked"), F.sort_array(F.collect_list(F.struct("passage", "level", "source_turn", "matched"))).alias("sources"))
     # a turn has one place in the tree: of several messages of one turn the smallest parent
     tree = threads(near.where("parent_turn is not null").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("parent_turn")))
     return rows.join(near, ["conv_id", "turn", "digest"], "left").join(tree, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", "text", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked")).select(names)
+        "conv_id", "turn", "role", "text", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("sources", no_sources).alias("sources")).select(names)

@@ -242,6 +242,18 @@ def test_quotes_are_linked(spark):
     assert quotes.link(df.where("false")).count() == 0
 
 
+def test_every_passage_is_linked_to_the_message_that_says_most_of_it(spark):
+    rows = [(1, 1, "Alpha one."), (1, 2, "Beta two."), (1, 3, "Gamma three."), (1, 4, "Alpha one.\nBeta two.\nGamma three."), (1, 5, "> Alpha one.\n> Beta two.\n> Gamma three.\nall"),
+            (2, 1, "Red."), (2, 2, "Blue.\nGreen."), (2, 3, "> Red.\nyes\n\n> Blue.\n> > Red.\n> Green.\nno"), (2, 4, "A wrote:\n> Red.\nB wrote:\n> Green.\nboth"),
+            (3, 1, "me too"), (3, 2, "> me too\nme too"), (3, 3, "> me too\nme too"), (3, 4, "me too\n> me too")]
+    got = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    sources = lambda c, t: [(s.level, s.source_turn, s.matched) for s in got[c, t].sources]
+    assert sources(1, 5) == [(1, 4, 3)] and got[1, 5].parent_turn == 4 and sources(1, 1) == []
+    assert sources(2, 3) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)] and (got[2, 3].parent_turn, got[2, 3].n_linked, got[2, 3].text) == (2, 4, "yes\n\nno")
+    assert sources(2, 4) == [(1, 1, 1), (1, 2, 1)] and (got[2, 4].parent_turn, got[2, 4].text) == (2, "both")
+    assert [got[3, t].parent_turn for t in (2, 3, 4)] == [1, 2, 3]
+
+
 # 7
 def test_sentencepiece_equals_library(spark, docs, corpus):
     import sentencepiece
