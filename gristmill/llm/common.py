@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,22 +58,45 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: Longer keys are computed anew each time: a cache never holds them.
+LONGEST_KEY = 256
+
+
 class WordHashes(dict):
-    """64-bit hash of a word; the table is emptied at ``most`` entries, so its memory is bounded."""
+    """64-bit hash of a word; the table is emptied at ``most`` entries and holds no key over LONGEST_KEY bytes, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         super().__init__()
         self.most, self._hash = most, xxhash.xxh3_64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = self._hash(word)
+        h = self._hash(word)
+        if len(word) <= LONGEST_KEY:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *tables: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and after its last batch the worker process hands free memory back, as it waits for other tasks; ``tables`` empty what it caches."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from run(batches)
+        for empty in tables:
+            empty()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}

@@ -9,21 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, mixed
+from .common import batch_of, mixed, released
 
 PACKED = "bucket int, keys binary, docs binary, places binary"
 PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
 
 
-def packed(buckets: np.ndarray, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """One row for each receiving bucket. The order of the input is kept within a bucket."""
+def packed(buckets: np.ndarray, *columns: np.ndarray | None) -> Iterator[tuple]:
+    """One row for each receiving bucket, the bucket and the bytes of each column (none: empty). The order of the input is kept within a bucket."""
     if not len(buckets):
         return
     order = np.argsort(buckets, kind="stable")
-    b, k, d, p = buckets[order], keys[order], docs[order], places[order]
+    b, columns = buckets[order], [c if c is None else c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(b)) + 1
     for s, e in zip([0, *cuts], [*cuts, len(b)]):
-        yield int(b[s]), k[s:e].tobytes(), d[s:e].tobytes(), p[s:e].tobytes()
+        yield int(b[s]), *(b"" if c is None else c[s:e].tobytes() for c in columns)
 
 
 def unpacked(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def repeated_places(sent: DataFrame, width: int) -> DataFrame:
         if rows:
             yield batch_of(PACKED_SCHEMA, [[r[0] for r in rows], [b""] * len(rows), [r[2] for r in rows], [r[3] for r in rows]])
 
-    return exchanged(sent, width).mapInArrow(run, PACKED)
+    return exchanged(sent, width).mapInArrow(released(run), PACKED)
 
 
 def sent(box: Outbox) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join and its connected components, by a grouped prefix join.
 
-Sets of 64-bit shingle hashes are ordered by hash. Equal sets are one node from the start. Keys are
-not single prefix elements: on passages that many documents share, those pair up every two documents. Instead the
-ordered set is cut at fixed hash values into one segment more than a similar pair can have
-differing elements, so a similar pair has a segment alike as a whole; the segment is the key.
-Nodes with a key in common are a group, groups with the same members collapse into one, and members are
-verified exactly.
+Sets of 64-bit shingle hashes; equal sets are one node from the start. The join has two prefix filters:
+
+1. The smallest hashes of each set, a little over half of it, are counted over all sets. A set with a partner has
+   more than half of these in common with it, so a set whose counted hashes mostly occur nowhere else is out.
+2. What is left is ordered by count, the rarest first, and cut to its prefix. Nodes with the same size and
+   prefix are one group; groups meet at the elements of their prefixes; group pairs are filtered by size
+   and position; what remains is expanded to its members, and those are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, batch_of, exchange_width, mixed, window_hashes, written
-from .exchange import PACKED, PACKED_SCHEMA, exchanged, key_bucket, packed, unpacked
+from .common import ASCII_LOWER, WordHashes, batch_of, exchange_width, mixed, released, window_hashes, written
+from .exchange import doc_bucket, exchanged, key_bucket, packed
 
 
 def shingle_set(text: str | bytes | None, size: int, table: WordHashes) -> np.ndarray:
@@ -33,213 +34,303 @@ def shingle_set(text: str | bytes | None, size: int, table: WordHashes) -> np.nd
     return np.unique(window_hashes(hashes, size))
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A non-negative 63-bit name of a set."""
-    import xxhash
+class Names:
+    """The name of a set: ``bits`` of its hash, unless another set has these too; ``other`` then names it by all 128 bits."""
+
+    def __init__(self, bits: int = 64, other: dict[tuple[int, int], int] | None = None):
+        self.bits, self.other = bits, other or {}
+
+    def both(self, shingles: np.ndarray) -> tuple[int, int]:
+        """The name and a further check, as signed 64-bit values."""
+        import xxhash
 
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
+        whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        name, check = signed((whole >> 64) >> (64 - self.bits)), signed(whole & (1 << 64) - 1)
+        return self.other.get((name, check), name), check
 
 
-class Levels:
-    """Size classes and how their sets are cut.
+class Bounds:
+    """What a pair with Jaccard similarity of ``percent`` / 100 or more has in common in the smallest hashes of its sets.
 
-    A pair with Jaccard similarity of ``percent`` / 100 or more differs in at most
-    (100 - percent) / 100 of its union, so in (1 - t) / (1 + t) of the two sizes together. Class c holds sizes
-    up to tops[c]; a similar pair is within one class or in neighbours, so each set is cut for its own class and
-    for the next one. Sets at a level have ``tops`` elements at most, which bounds the differing elements by ``differ``.
+    Of a set with n elements the ``sample(n)`` smallest are counted. For two sets of n and m elements the one whose
+    sample ends first has all of it within the other's, but for the at most n - o elements that aren't in common, with o
+    the least intersection. So the samples share sample(n) - n + o, or the same with m, whichever is less.
     """
 
     def __init__(self, percent: int):
-        self.percent, self.tops = percent, [1]
-
-    def level(self, size: int) -> int:
-        while self.tops[-1] < size:
-            self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 100 // self.percent))
-        return int(np.searchsorted(self.tops, size))
-
-    def cut(self, level: int) -> tuple[int, int]:
-        """Segments at a level, and how many empty ones a set may have before its empty segments count as keys."""
-        self.level(self.top(level))
-        differ = 2 * self.top(level) * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + differ // 24 if differ else 0
-        return differ + 1 + spare, spare
-
-    def top(self, level: int) -> int:
-        while len(self.tops) <= level:
-            self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 100 // self.percent))
-        return self.tops[level]
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Segment keys of a set at its own level and the next.
-
-        Of ``differ + 1 + spare`` segments a similar pair has at most ``differ`` that differ. If only empty segments
-        are alike, both sets have over ``spare`` empty ones, and then those are keys too.
-        """
-        out, own = [], self.level(len(shingles))
-        total = np.zeros(len(shingles) + 1, np.uint64)
-        np.cumsum(mixed(shingles), out=total[1:], dtype=np.uint64)
-        for level in (own, own + 1):
-            segments, spare = self.cut(level)
-            bounds = ((np.arange(segments + 1, dtype=object) << 64) // segments)[:-1].astype(np.uint64)
-            at = np.append(np.searchsorted(shingles, bounds, "left"), len(shingles))
-            held = at[1:] > at[:-1]
-            if (~held).sum() > spare:
-                held[:] = True
-            n = np.flatnonzero(held)
-            sums = total[at[1:]] - total[at[:-1]]
-            out.append(mixed(sums[n] + mixed(np.uint64(level) * np.uint64(1 << 32) + n.astype(np.uint64))))
-        return np.concatenate(out)
-
-
-def jaccard_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+        self.percent, self.share, self._least = percent, min(100, 130 - percent), {}
+
+    def sample(self, n):  # noqa: ANN001, ANN201  numbers or arrays
+        return np.minimum(n, n * self.share // 100 + 8)
+
+    def least(self, n: int) -> int:
+        """The least number of sampled elements that a set of n has in common with any similar set."""
+        if n not in self._least:
+            m = np.arange(-(-n * self.percent // 100), n * 100 // self.percent + 1)
+            o = -(-self.percent * (n + m) // (100 + self.percent))
+            self._least[n] = max(1, int(np.minimum(self.sample(n) - n + o, self.sample(m) - m + o).min()))
+        return self._least[n]
+
+    def may_reach(self, a: str, b: str) -> str:
+        """SQL: whether two prefix rows (n, rest) leave room: by size, and by the sampled elements from this one on."""
+        both, t = f"({a}n + {b}n)", self.percent
+        sample = lambda x: f"least({x}n, {x}n * {self.share} div 100 + 8)"
+        least = f"least({sample(a)} - {a}n, {sample(b)} - {b}n) + ({t} * {both} + {99 + t}) div {100 + t}"
+        return f"100 * least({a}n, {b}n) >= {t} * greatest({a}n, {b}n) and least({a}rest, {b}rest) >= {least}"
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-BITS = [f"b{i}" for i in range(8)]
-NODES = "doc_id long, node long, n_shingles long, " + ", ".join(f"{b} long" for b in BITS)
-
-
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the elements that fall on it: two sets differ in at least as many elements as in bits."""
-    counts = np.bincount((mixed(shingles) >> np.uint64(55)).astype(np.int64), minlength=512)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+ROWS = "doc_id long, row_key long, node long, proof long, n_shingles long"
 
 
-def may_reach(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and parity bits of two rows leave room for the similarity."""
-    n, m = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
-    differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
-MEMBERS = "gid long, node long"
-
-
-def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """The set size, the node and the parity bits of every row; rows without words have no node."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), *((b, pa.int64()) for b in BITS)])
+def nodes(docs: DataFrame, size: int, names: Names) -> DataFrame:
+    """Of every row its id, a hash of id and text, the set's node with its check, and the set's size; rows without words have no node."""
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in ROWS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for b in batches:
-            sets = [shingle_set(t.as_py(), size, table) for t in b.column(1)]
-            yield batch_of(schema, [b.column(0), [node_of(s) if len(s) else None for s in sets], [len(s) for s in sets], *(np.array([parity_bits(s) for s in sets], np.int64).reshape(-1, 8).T)])
+            found = []
+            for t in b.column(2):
+                shingles = shingle_set(t.as_py(), size, table)
+                found.append((*(names.both(shingles) if len(shingles) else (None, None)), len(shingles)))
+            yield batch_of(schema, [b.column(0), b.column(1), *([f[k] for f in found] for k in range(3))])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, NODES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(released(run), ROWS)
 
 
-def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(gid, node) of groups of two nodes or more with a segment key in common; equal groups have one gid."""
-    width = exchange_width(docs)
-    texts = docs.select("text")
+def named_rows(docs: DataFrame, size: int, bits: int) -> tuple[DataFrame, Names]:
+    """The written rows of nodes(), and names under which no two different sets share a node.
+
+    Names are told apart by 128 bits. Sets whose first ``bits`` agree are rare (about n * n / 2**65 of n sets), so the
+    driver may hold them; all but one of them get a name from all their bits and the table is written again.
+    """
+    names = Names(bits)
+    while True:
+        rows = written(nodes(docs, size, names))
+        same = rows.where("node is not null").groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).where("low <> high").select("node")
+        clash = rows.join(same, "node").groupBy("node", "proof").count().collect()
+        if not clash:
+            return rows, names
+        first = {r.node: min(x.proof for x in clash if x.node == r.node) for r in clash}
+        import xxhash
+
+        turn = len(names.other)
+        fresh = {(r.node, r.proof): xxhash.xxh3_64_intdigest(f"{r.node}:{r.proof}:{turn}".encode()) - (1 << 63) for r in clash if r.proof != first[r.node]}
+        # a name that was given in an earlier turn is found again under the set's own name
+        given = {v: k for k, v in names.other.items()}
+        names = Names(bits, names.other | {(given.get(node, (node, proof))[0], proof): new for (node, proof), new in fresh.items()})
+
+
+#: A hash that a task holds this often is frequent wherever it occurs: its places are answered in the task.
+FREQUENT_IN_TASK, FREQUENT = 32, 2**31 - 1
+ASKED, MARK, FACT, ANSWER = range(4)
+_MESSAGE = "bucket int, kind int, keys binary, nodes binary, counts binary"
+_MESSAGE_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
+
+
+def _messages(*lots: tuple) -> Iterator[pa.RecordBatch]:
+    """(kind, buckets, keys, nodes, counts) lots as one row for each kind and bucket."""
+    for kind, buckets, *columns in lots:
+        if rows := [(b, kind, *x) for b, *x in packed(buckets, *columns)]:
+            yield batch_of(_MESSAGE_SCHEMA, [*map(list, zip(*rows))])
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    held: dict[int, list] = {kind: [] for kind in range(4)}
+    for b in batches:
+        for _, kind, *x in zip(*(c.to_pylist() for c in b.columns)):
+            held[kind].append(x)
+    found = {}
+    for kind in held:
+        found[kind] = tuple(np.frombuffer(b"".join(x[i] for x in held[kind]), t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
+        held[kind] = []
+    return found
+
+
+def _lots(values: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Places of the values in lots of about ``most``, equal ones in one lot, so that sorting takes little memory."""
+    n = -(-len(values) // most)
+    if n <= 1:
+        yield np.arange(len(values))
+        return
+    of = mixed(values.astype(np.uint64)) % np.uint64(n)
+    for k in range(n):
+        yield np.flatnonzero(of == k)
+
+
+def counted(docs: DataFrame, size: int, bounds: Bounds, names: Names, width: int) -> DataFrame:
+    """Messages for each node's bucket: its size, and those of its sampled hashes that other sets have too, with their counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, levels, seen = WordHashes(), Levels(percent), set()
-        held, count = [], 0
+        table, seen, held, count = WordHashes(), set(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([h[0] for h in held])
             own = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
-            rows = [*packed(key_bucket(keys, width), keys, own, np.empty(len(keys), "S0"))]
+            facts, sizes = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.uint64)
             held.clear()
-            yield batch_of(PACKED_SCHEMA, [*map(list, zip(*rows))])
+            distinct, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+            often = times[place] >= FREQUENT_IN_TASK
+            marks, one = distinct[times >= FREQUENT_IN_TASK], keys[~often]
+            yield from _messages(
+                (ASKED, key_bucket(one, width), one, own[~often], None),
+                (MARK, key_bucket(marks, width), marks, None, None),
+                (FACT, doc_bucket(facts, width), sizes, facts, None),
+                (ANSWER, doc_bucket(own[often], width), keys[often], own[often], np.full(often.sum(), FREQUENT, np.int32)))
 
         for b in batches:
             for t in b.column(0):
                 shingles = shingle_set(t.as_py(), size, table)
-                if not len(shingles) or (node := node_of(shingles)) in seen:
+                if not len(shingles) or (node := names.both(shingles)[0]) in seen:
                     continue
-                seen.add(node)  # copies within a stretch of input send one set of keys
-                keys = levels.keys(shingles)
-                held.append((keys, node))
-                count += len(keys)
-                if count >= 1_500_000:
+                seen.add(node)  # copies within a stretch of input send one set of hashes
+                sample = shingles[: int(bounds.sample(len(shingles)))]
+                held.append((sample.copy(), node, len(shingles)))
+                count += len(sample)
+                if count >= 1_000_000:
                     yield from out()
                     count = 0
                     seen.clear()
         if held:
             yield from out()
 
-    schema = pa.schema([("gid", pa.int64()), ("node", pa.int64())])
-
-    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(k, d, b"") for b in batches for _, k, d, _ in zip(*(c.to_pylist() for c in b.columns))]
-        keys, own, _ = unpacked(rows)
-        del rows
-        order = np.lexsort((own, keys))
-        keys, own = keys[order], own[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-        keys, own = keys[new], own[new]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(starts, len(keys)))
-        if len(starts):
-            names = mixed(np.add.reduceat(mixed(own.astype(np.uint64)), starts) + sizes.astype(np.uint64)) >> np.uint64(1)
-            several = sizes > 1
-            _, first = np.unique(names[several], return_index=True)
-            chosen = np.flatnonzero(several)[first]
-            for lot in np.array_split(chosen, max(1, int(sizes[chosen].sum()) // 200_000)):
-                if len(lot):
-                    places = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in lot])
-                    yield batch_of(schema, [pa.array(np.repeat(names[lot], sizes[lot]).astype(np.int64)), pa.array(own[places])])
-
-    found = exchanged(texts.mapInArrow(send, PACKED), width).mapInArrow(collapse, MEMBERS)
-    return found.dropDuplicates(["gid", "node"])
-
-
-def node_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, zstd text): one text of each wanted node."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _received(batches)
+        often = np.unique(found[MARK][0])
+        for kind in (FACT, ANSWER):
+            keys, own, counts = found.pop(kind)
+            yield from _messages((kind, doc_bucket(own, width), keys, own, counts if kind == ANSWER else None))
+        keys, own, _ = found.pop(ASKED)
+        for lot in _lots(keys):
+            k, d = keys[lot], own[lot]
+            order = np.lexsort((d, k))
+            k, d = k[order], d[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            k, d = k[new], d[new]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
+            times = np.diff(np.append(starts, len(k)))
+            times[np.isin(k[starts], often)] = FREQUENT
+            times = np.repeat(times, np.diff(np.append(starts, len(k))))
+            several = times > 1
+            yield from _messages((ANSWER, doc_bucket(d[several], width), k[several], d[several], times[several].astype(np.int32)))
+
+    return exchanged(docs.select("text").mapInArrow(released(send), _MESSAGE), width).mapInArrow(released(count), _MESSAGE)
+
+
+PREFIXES = "node long, n long, digest binary, shared long, prefix array<long>"
+
+
+def prefixes(docs: DataFrame, size: int, bounds: Bounds, names: Names) -> DataFrame:
+    """Nodes that can have a partner: size, a digest of size and prefix, how many sampled hashes others have too, and
+    the prefix of these, the rarest first (by count, then hash). Of n sampled hashes with a partner holding ``least`` of them,
+    one of the first n - least + 1 is in common; those that no other set has come first and needn't be sent."""
+    width = exchange_width(docs)
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shared", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        found = _received(batches)
+        sizes, nodes_, _ = found.pop(FACT)
+        nodes_, first = np.unique(nodes_, return_index=True)
+        sizes = sizes[first].astype(np.int64)
+        keys, own, counts = found.pop(ANSWER)
+        for lot in _lots(own.view(np.uint64)):
+            k, d, c = keys[lot], own[lot], counts[lot]
+            order = np.lexsort((k, c, d))
+            k, d = k[order], d[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            k, d = k[new], d[new]
+            if not len(d):
+                continue
+            starts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            shared = np.diff(np.append(starts, len(d)))
+            n = sizes[np.searchsorted(nodes_, d[starts])]
+            least = np.array([*map(bounds.least, n.tolist())], np.int64)
+            out, held = [], 0
+            for i in np.flatnonzero(shared >= least).tolist():
+                prefix = k[starts[i] : starts[i] + shared[i] - least[i] + 1]
+                out.append((int(d[starts[i]]), int(n[i]), xxhash.xxh3_128_digest(prefix.tobytes() + int(n[i]).to_bytes(8, "little")), int(shared[i]), prefix.view(np.int64)))
+                held += len(prefix)
+                if held > 500_000:
+                    yield batch_of(schema, [*map(list, zip(*out))])
+                    out, held = [], 0
+            if out:
+                yield batch_of(schema, [*map(list, zip(*out))])
+
+    return exchanged(counted(docs, size, bounds, names, width), width).mapInArrow(released(cut), PREFIXES)
+
+
+def node_sets(docs: DataFrame, wanted: DataFrame, size: int, names: Names, bits: int = 1 << 25) -> DataFrame:
+    """(node, set as little-endian uint64): of each wanted node.
+
+    A bitmap of ``bits`` bits, whatever the number of nodes, keeps most other sets from being sent; the join decides.
+    """
+    marks = wanted.selectExpr(f"cast(shiftright(pmod(node, {bits}), 5) as int) word", "shiftleft(1L, cast(pmod(node, 32) as int)) bit").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bitmap = np.zeros(bits // 32, np.uint32)
+    bitmap[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint32)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = pa.schema([("node", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        table, coder, seen = WordHashes(), zstandard.ZstdCompressor(level=1), set()
+        table, seen, out, filled = WordHashes(), set(), [], 0
         for b in batches:
-            out = []
             for t in b.column(0):
-                text = t.as_py()
-                shingles = shingle_set(text, size, table)
-                if len(shingles) and (node := node_of(shingles)) not in seen:
-                    seen.add(node)
-                    out.append((node, coder.compress(text.encode("utf-8", "surrogatepass"))))
+                shingles = shingle_set(t.as_py(), size, table)
+                if not len(shingles) or (node := names.both(shingles)[0]) in seen or not held.value[(node % bits) >> 5] >> np.uint32(node % bits % 32) & 1:
+                    continue
+                seen.add(node)
+                out.append((node, shingles.tobytes()))
+                filled += 8 * len(shingles)
+                if filled > 16_000_000:
+                    yield batch_of(schema, [*map(list, zip(*out))])
+                    out, filled = [], 0
                     if len(seen) > 1_000_000:
                         seen.clear()
-            if out:
-                yield batch_of(schema, [*map(list, zip(*out))])
+        if out:
+            yield batch_of(schema, [*map(list, zip(*out))])
 
-    return docs.select("text").mapInArrow(run, "node long, data binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(released(run), "node long, data binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those (a, b) whose sets reach the similarity, decided on the whole sets."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("data").alias("b_data")), "b").join(texts.select(F.col("node").alias("a"), F.col("data").alias("a_data")), "a")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose whole sets reach the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("data").alias("b_data")), "b").join(sets.select(F.col("node").alias("a"), F.col("data").alias("a_data")), "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        table, coder = WordHashes(), zstandard.ZstdDecompressor()
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
-            out = []
-            for a, b, da, db in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if last[0] != a:
-                    last = (a, shingle_set(coder.decompress(da.as_py()), size, table))
-                if jaccard_reaches(last[1], shingle_set(coder.decompress(db.as_py()), size, table), percent):
-                    out.append((a, b))
-            yield batch_of(schema, [[r[0] for r in out], [r[1] for r in out]])
+            a, b = batch.column(0), batch.column(1)
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch_of(schema, [a.filter(pa.array(ok, pa.bool_())), b.filter(pa.array(ok, pa.bool_()))])
 
-    return both.select("a", "b", "a_data", "b_data").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_data", "b_data").mapInArrow(released(run), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, label): the smallest node that links lead to, for every node with a link.
 
     Each round takes the smallest label among a node and its neighbours, then the label of that label;
-    rounds go on until no label changes. Every round is written to the shared folder.
+    rounds go on until no label changes. ``start`` has labels from fewer links. Every round is written to the shared folder.
     """
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node")
+    if start is not None:
+        labels = labels.join(start.withColumnRenamed("label", "known"), "node", "left").select("node", F.least("label", F.coalesce("known", "label")).alias("label"))
+    labels = written(labels)
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
@@ -251,79 +342,111 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-FACTS = ["node", "label", "n_shingles", *BITS]
-
-
-def linked(docs: DataFrame, facts: DataFrame, size: int, percent: int, star_rounds: int = 3) -> DataFrame:
+def linked(docs: DataFrame, size: int, percent: int, names: Names, star_rounds: int = 2) -> DataFrame:
     """(node, label) of all nodes that have a link.
 
-    Pairs within a group are filtered by size and parity bits inside the join, before any row is made of them.
-
-    Star rounds first: in each group a pivot is verified against the members that are not yet in its
-    component, so a group of copies costs one pair for each member. What is still apart in a group after
-    that is verified pair by pair, except pairs verified before: no link between components is lost.
+    Rounds over the groups: each member against its group's first; then, ``star_rounds`` times, in each list of groups that
+    share a prefix element one pivot against the groups that aren't in its component yet, so a group of copies costs a pair
+    for each member. What is still apart after that is verified group pair by group pair, each expanded to its
+    members, except pairs verified before: no link between components is lost. A list whose groups share an
+    element without being similar does cost a pair for every two of them that size and position can't tell apart.
     """
     spark: SparkSession = docs.sparkSession
-    members = written(groups(docs, size, percent))
-    members = written(members.join(facts.where("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", *BITS), "node"))
-    texts = written(node_texts(docs, members.select("node").distinct(), size))
+    bounds = Bounds(percent)
+    held = written(prefixes(docs, size, bounds, names))
+    first = held.groupBy("digest").agg(F.min("node").alias("gid"))
+    members = written(held.join(first, "digest").select("node", "gid", "n", "shared", "prefix"))
+    elements = members.where("node = gid").select("gid", "n", "shared", F.posexplode("prefix").alias("place", "element")).select("gid", "n", (F.col("shared") - F.col("place")).alias("rest"), "element")
+    several = elements.groupBy("element").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("element")
+    lists = written(elements.join(several, "element"))
+    members = members.select("node", "gid")
+    within = members.where("node <> gid")
+    met = lists.select("gid").distinct()
+    wanted = written(members.join(met, "gid", "left_semi").select("node").unionByName(within.select("node")).unionByName(within.select(F.col("gid").alias("node"))).distinct())
+    sets = written(node_sets(docs, wanted, size, names))
     labels, links, tried = None, None, None
-    for turn in range(star_rounds + 1):
-        held = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def labelled(df: DataFrame, of: str) -> DataFrame:
         if labels is None:
-            held = held.withColumn("label", F.col("node"))
-        split = held.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label", "n_shingles", *BITS)).alias("pivot")).where("low <> high")
-        if turn < star_rounds:
-            other = split.select("gid", *(F.col(f"pivot.{c}").alias(f"p_{c}") for c in FACTS))
-            pairs = held.join(other, "gid").where((F.col("label") != F.col("p_label")) & may_reach("", "p_", percent)).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
+            return df.withColumn("label", F.col(of))
+        return df.join(labels.withColumnRenamed("node", of), of, "left").withColumn("label", F.coalesce("label", of))
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    room = bounds.may_reach("", "p_")
+    for turn in range(star_rounds + 2):
+        if not turn:
+            pairs = within.select(*pair("gid", "node"))
+        elif turn <= star_rounds:
+            own = labelled(lists, "gid")
+            split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "label", "n", "rest")).alias("pivot")).where("low <> high")
+            other = split.select("element", *(F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("gid", "label", "n", "rest")))
+            pairs = own.join(other, "element").where(F.col("label") != F.col("p_label")).where(room).select(*pair("gid", "p_gid"))
         else:
-            apart = held.join(split.select("gid"), "gid", "left_semi")
-            other = apart.select("gid", *(F.col(c).alias(f"p_{c}") for c in FACTS))
-            pairs = apart.join(other, "gid").where((F.col("node") < F.col("p_node")) & (F.col("label") != F.col("p_label")) & may_reach("", "p_", percent)).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
+            units = written(labelled(members, "node"))
+            parts = units.select("gid", "label").distinct()
+            own = lists.join(parts, "gid")
+            split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
+            own = written(own.join(split, "element", "left_semi"))
+            other = own.select("element", *(F.col(c).alias(f"p_{c}") for c in ("gid", "label", "n", "rest")))
+            met = own.join(other, "element").where("gid < p_gid and label <> p_label").where(room).select("gid", "label", "p_gid", "p_label")
+            apart = parts.join(parts.select("gid", F.col("label").alias("p_label")), "gid").where("label < p_label").select("gid", "label", F.col("gid").alias("p_gid"), "p_label")
+            both = met.unionByName(apart).distinct()
+            pairs = both.join(units, ["gid", "label"]).withColumnRenamed("node", "x").join(units.select(F.col("gid").alias("p_gid"), F.col("label").alias("p_label"), "node"), ["p_gid", "p_label"]).select(*pair("x", "node"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
         if not pairs.limit(1).count():
-            if turn < star_rounds:
-                continue
-            break
-        new = written(verified(pairs, texts, size, percent))
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        new = written(verified(pairs, sets, percent))
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links, labels)
     if labels is None:
         return spark.createDataFrame([], "node long, label long")
     return labels
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+def labelled_rows(docs: DataFrame, size: int, percent: int, star_rounds: int, bits: int) -> DataFrame:
+    """(doc_id, row_key, n_shingles, node, label) of every row; label names the component, null for rows without words."""
+    rows, names = named_rows(docs, size, bits)
+    labels = linked(docs, size, percent, names, star_rounds)
+    return rows.drop("proof").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def join(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 2, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
 
     Two rows link when 100 * intersection >= percent * union of their sets. Null texts and texts without words have
     an empty set and link with nothing; shorter texts than a shingle are one element. Equal rows link with each other.
     A row without doc_id links others but never names a component unless alone (then null). Other columns are not read.
+    Sets are told apart by 128 bits, shingles of two sets that are compared by 64 (a wrong match in about 1 of 10**12 pairs
+    of 1,000 shingles).
     """
-    rows = written(nodes(docs, size))
-    labels = linked(docs, rows, size, percent, star_rounds)
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    comp = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = comp.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = comp.join(first, "label").select("node", "component_id")
-    return rows.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = written(labelled_rows(docs, size, percent, star_rounds, bits))
+    first = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(first, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row of the smallest doc_id stays, once.
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000, bits: int = 64) -> DataFrame:
+    """The rows of docs without near duplicates: of each component one row stays, of the smallest doc_id (rows without one come last).
 
-    Rows without doc_id stay unless they link to one that has it. Ids of removed rows are broadcast only up to ``broadcast_rows``.
+    Rows are told apart by doc_id and text, so rows that share a doc_id are judged by their own texts; of rows that are
+    equal in both one stays. Rows without words link with nothing and all stay. The keys of removed rows are broadcast only up to
+    ``broadcast_rows``.
     """
-    found = written(join(docs, size, percent))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not twice.limit(1).count():
-        return kept
-    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+    rows = written(labelled_rows(docs, size, percent, 2, bits).where("label is not null").select("doc_id", "row_key", "label"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    chosen = rows.groupBy("label").agg(F.min(order).alias("first"))
+    out = rows.join(chosen, "label").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    again = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    out, again = written(out), written(again)
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    own = docs.withColumn("_own", F.xxhash64("doc_id", "text"))
+    same = [F.col("_own") == F.col("_key"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))]
+    kept = own.join(small(out), same, "left_anti")
+    if not again.limit(1).count():
+        return kept.select(docs.columns)
+    repeated = kept.join(small(again), same, "left_semi").dropDuplicates(["_own", "doc_id"])
+    return kept.join(small(again), same, "left_anti").unionByName(repeated).select(docs.columns)

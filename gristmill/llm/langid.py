@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, released
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 UNDETERMINED = "und"
@@ -92,7 +92,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             names, scores = [f[0] for f in found], [f[1] for f in found]
             yield batch_of(SCHEMA, [b.column(0), names, scores, [n != UNDETERMINED and s >= min_margin for n, s in found]])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -105,4 +105,4 @@ def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: f
             found = [model.predict(t.as_py()) for t in b.column(place)]
             yield b.filter(pa.array([n != UNDETERMINED and s >= min_margin for n, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

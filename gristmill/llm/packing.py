@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, written
+from .common import LONGEST_KEY, batch_of, released, written
 
 #: The pre-tokenisation pattern of the byte-level vocabulary, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +35,7 @@ class ByteBPE(dict):
     ``most`` entries. A text that holds a special token's string goes whole to the library that knows special tokens.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, most: int = 200_000):
         import re
 
         import tiktoken
@@ -50,9 +50,11 @@ class ByteBPE(dict):
         self._chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[chunk] = array("I", self._merge(chunk)).tobytes()
+        found = array("I", self._merge(chunk)).tobytes()
+        if len(chunk) <= LONGEST_KEY:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -279,7 +281,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
             if rows:
                 yield batch_of(schema, [*map(list, zip(*rows))])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, TOKENISED)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(released(run, lambda: byte_bpe(tokenizer_file).clear()), TOKENISED)
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, gap: float = 0.005, most_rounds: int = 600, most_waste: int = 4) -> DataFrame:
@@ -315,4 +317,4 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, gap: float
                 yield batch_of(schema, [*map(list, zip(*out))])
 
     names = [c.split()[0] for c in TOKENISED.split(", ")]
-    return held.join(bases, ["part", "tail_length"]).select(*names, "base").mapInArrow(run, PIECES)
+    return held.join(bases, ["part", "tail_length"]).select(*names, "base").mapInArrow(released(run), PIECES)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of
+from .common import LONGEST_KEY, batch_of, released
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _RUNS = re.compile(" *[^ ]+| +")
@@ -22,14 +22,14 @@ class ChunkTable(dict):
 
     Valid when no piece of the model has a marker after another character: merges then never cross
     from one chunk to the next. The constructor checks that over the whole vocabulary. The table is
-    emptied at ``most`` entries, so its memory doesn't follow the corpus.
+    emptied at ``most`` entries and keeps no key of over LONGEST_KEY characters, so its memory doesn't follow the corpus.
     """
 
     def __init__(self, model_file: str, most: int = 300_000):
         import sentencepiece
 
         super().__init__()
-        self.most = most
+        self.most, self.long = most, []
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
@@ -53,6 +53,8 @@ class ChunkTable(dict):
             # ordinary pieces decode to the characters they were cut from; bytes and unknowns go through the library
             decoded = chunk if min(ids) >= self.plain_from else self.model.decode([self.anchor, *ids])[1:]
             self[chunk] = (np.array(ids, "<u4").tobytes(), decoded)
+            if len(chunk) > LONGEST_KEY:
+                self.long.append(chunk)
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of the marked text in order; joined they are the text behind one dummy space."""
@@ -70,6 +72,9 @@ class ChunkTable(dict):
             rows = [*map(self.__getitem__, chunks)]
             decoded = "".join([r[1] for r in rows])
             found.append((b"".join([self.ends[0], *[r[0] for r in rows], self.ends[1]]), decoded[1:] if decoded[:1] == " " else decoded))
+        for chunk in self.long:  # the table keeps no long key beyond the texts at hand
+            self.pop(chunk, None)
+        self.long.clear()
         return found
 
 
@@ -89,7 +94,7 @@ _TABLES: dict[str, ChunkTable] = {}
 
 
 def chunk_table(model_file: str) -> ChunkTable:
-    """One table for each worker process and model; later tasks of the process find it filled."""
+    """One model for each worker process; its table is filled anew in each task."""
     if model_file not in _TABLES:
         _TABLES[model_file] = ChunkTable(model_file)
     return _TABLES[model_file]
@@ -114,4 +119,4 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                     text_sha.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             yield batch_of(SCHEMA, [b.column(0), counts, ids_sha, text_sha])
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(released(run, lambda: chunk_table(model_file).clear()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

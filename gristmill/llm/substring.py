@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, exchange_width, window_hashes, words_of
+from .common import WordHashes, batch_of, exchange_width, released, window_hashes, words_of
 from .exchange import PACKED, Outbox, doc_bucket, exchanged, repeated_places, sent, unpacked
 
 
@@ -64,7 +64,7 @@ def packed_texts(docs: DataFrame, width: int, flush_bytes: int = 16_000_000) ->
         if held:
             yield out()
 
-    return docs.mapInArrow(run, MESSAGE)
+    return docs.mapInArrow(released(run), MESSAGE)
 
 
 def delivered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -172,7 +172,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
         return exchanged(answers.withColumn("texts", F.lit(None).cast("binary")).unionByName(packed_texts(rows, width)), width)
 
     narrow = base.select("_key", "text")
-    found = repeated_places(narrow.mapInArrow(anchors, PACKED), width)
-    windows = repeated_places(with_texts(found, narrow).mapInArrow(candidates, PACKED), width)
+    found = repeated_places(narrow.mapInArrow(released(anchors), PACKED), width)
+    windows = repeated_places(with_texts(found, narrow).mapInArrow(released(candidates), PACKED), width)
     done = with_texts(windows, base)
-    return done.mapInArrow(removed, base.drop("_key").schema).select(docs.columns) if rows_too else done.mapInArrow(removed, REMOVED)
+    return done.mapInArrow(released(removed), base.drop("_key").schema).select(docs.columns) if rows_too else done.mapInArrow(released(removed), REMOVED)
