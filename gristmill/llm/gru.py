@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, batch_of, exchange_width, written
+from .common import ASCII_LOWER, LONGEST_KEY, batch_of, released, written
 from .exchange import exchanged
 
 #: The end of a document as a token; no word can hold its byte, which is a separator.
@@ -24,7 +24,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def token_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(token, h, c) over all rows: words, and one END for each row; summed within each task before the shuffle."""
+    """(token, c) over all rows: words, and one END for each row; summed within each task before the shuffle."""
     schema = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
         if held:
             yield batch_of(schema, [[*held.keys()], [*held.values()]])
 
-    return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")).withColumn("h", F.xxhash64("token"))
+    return docs.select("text").mapInArrow(released(run), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -69,7 +69,9 @@ class Lookup(dict):
         if len(self) >= self.most:
             self.clear()
         i = bisect_left(self.sorted, token)
-        found = self[token] = self.place[i] if i < len(self.sorted) and self.sorted[i] == token else -1
+        found = self.place[i] if i < len(self.sorted) and self.sorted[i] == token else -1
+        if len(token) <= LONGEST_KEY:
+            self[token] = found
         return found
 
 
@@ -96,145 +98,183 @@ class Network:
         counts = np.zeros(self.classes * self.members)
         counts[: min(self.words, len(v.counts))] = v.counts[: self.words]
         by = counts.reshape(self.classes, self.members)
-        p["bc"][:] = np.log(np.append(by.sum(axis=1), v.rare_total) + 1)
-        p["bm"][:] = np.where(by > 0, np.log(by + 1e-9), -30)
+        each = np.append(by.sum(axis=1), v.rare_total) + 1
+        p["bc"][:] = np.log(each / each.sum())
+        p["bm"][:] = np.where(by > 0, np.log(np.maximum(by, 1e-9) / np.maximum(by.sum(axis=1, keepdims=True), 1)), -30)
         return flat
 
     @staticmethod
     def gates(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = h.shape[1]
-        a, s = p["x"][x], h @ p["u"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + s[:, : 2 * n])))
+        a, s = p["x"].take(x, 0), h @ p["u"]
+        zr = a[:, : 2 * n] + s[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(np.minimum(zr, 80, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, un = zr[:, :n], zr[:, n:], s[:, 2 * n :]
-        c = np.tanh(a[:, 2 * n :] + r * un)
-        return c + z * (h - c), z, r, c, un
+        c = r * un
+        c += a[:, 2 * n :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return after, z, r, c, un
+
+    @staticmethod
+    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of the targets, and all probabilities. Biases are log shares, so logits stay far from overflow; the clip makes sure."""
+        logits = h @ w
+        logits += b
+        np.clip(logits, -80, 80, out=logits)
+        found = logits[np.arange(len(at)), at].astype(np.float64)
+        e = np.exp(logits, out=logits)
+        sums = e @ np.ones(e.shape[1], np.float32)
+        e /= sums[:, None]
+        return found - np.log(sums), e
 
     def outputs(self, p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target's class and place in it (ids from ``words`` on: the rare class), and with ``grads`` the gradient by h."""
         k = np.minimum(y // self.members, self.classes)
         k[y >= self.words] = self.classes
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        sums = e.sum(axis=1)
-        rows = np.arange(len(y))
-        found = (logits[rows, k] - np.log(sums)).astype(np.float64)
+        found, e = self._softmax(h, p["wc"], p["bc"], k)
         dh = None
         if grads is not None:
-            e /= sums[:, None]
-            e[rows, k] -= 1
+            e[np.arange(len(y)), k] -= 1
             grads["wc"] += h.T @ e
-            grads["bc"] += e.sum(axis=0)
+            grads["bc"] += np.ones(len(y), np.float32) @ e
             dh = e @ p["wc"].T
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.int16) if self.classes < 1 << 15 else k, kind="stable")
         ends = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
+        for c in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                ho, place = h[own], y[own] - c * self.members
-                logits = ho @ p["wm"][c] + p["bm"][c]
-                logits -= logits.max(axis=1, keepdims=True)
-                e = np.exp(logits)
-                sums = e.sum(axis=1)
-                at = np.arange(len(own))
-                found[own] += logits[at, place] - np.log(sums)
-                if grads is not None:
-                    e /= sums[:, None]
-                    e[at, place] -= 1
-                    grads["wm"][c] += ho.T @ e
-                    grads["bm"][c] += e.sum(axis=0)
-                    dh[own] += e @ p["wm"][c].T
+            ho, place = h.take(own, 0), y[own] - c * self.members
+            more, e = self._softmax(ho, p["wm"][c], p["bm"][c], place)
+            found[own] += more
+            if grads is not None:
+                e[np.arange(len(own)), place] -= 1
+                grads["wm"][c] += ho.T @ e
+                grads["bm"][c] += np.ones(len(own), np.float32) @ e
+                dh[own] += e @ p["wm"][c].T
         return found, dh
 
 
 class Trainer:
     """Truncated backpropagation over parallel streams; the state is carried from window to window and reset behind END."""
 
-    def __init__(self, net: Network, flat: np.ndarray, end: int, streams: int = 256, steps: int = 16, rate: float = 0.05):
+    def __init__(self, net: Network, flat: np.ndarray, end: int, streams: int = 512, steps: int = 16, rate: float = 0.05):
         self.net, self.flat, self.end, self.streams, self.steps, self.rate = net, flat.copy(), end, streams, steps, rate
-        self.square = np.full(net.size, 1e-6, np.float32)
+        self.square, self.room = np.full(net.size, 1e-6, np.float32), np.empty(net.size, np.float32)
         self.seen = 0
 
     def fit(self, ids: np.ndarray) -> None:
-        """One pass over a run of token ids, documents one after the other."""
-        net, n = self.net, self.net.hidden
+        """One pass over a run of token ids, documents one after the other. The run is laid out in rows of one length; what fills the last row up isn't learned."""
         width = max(1, min(self.streams, len(ids) // (2 * self.steps)))
-        length = len(ids) // width
-        x = np.concatenate([[self.end], ids[:-1]])[: width * length].reshape(width, length)
-        y = ids[: width * length].reshape(width, length)
-        h = np.zeros((width, n), np.float32)
+        length = -(-len(ids) // width)
+        fill = np.full(width * length - len(ids), -1, np.int64)
+        y = np.concatenate([ids, fill]).reshape(width, length)
+        x = np.concatenate([[self.end], ids, fill])[:-1].reshape(width, length)
+        x[x < 0] = self.end
+        h = np.zeros((width, self.net.hidden), np.float32)
         for s in range(0, length, self.steps):
-            p, grad = net.views(self.flat), np.zeros(net.size, np.float32)
-            g, past, hs = net.views(grad), [], []
-            steps = range(s, min(length, s + self.steps))
-            for t in steps:
-                live = (x[:, t] != self.end).astype(np.float32)[:, None]
-                before = h * live
-                h, z, r, c, un = net.gates(p, x[:, t], before)
-                past.append((before, z, r, c, un, live))
-                hs.append(h)
-            _, dh = net.outputs(p, np.concatenate(hs), y[:, s : s + self.steps].T.ravel(), g)
-            dh, carry = dh.reshape(len(hs), width, n), 0
-            inputs, ids = np.empty((len(hs), width, 3 * n), np.float32), np.empty((len(hs), width), np.int64)
-            states, sums = np.empty((len(hs), width, n), np.float32), np.empty((len(hs), width, 3 * n), np.float32)
-            for i in reversed(range(len(hs))):
-                before, z, r, c, un, live = past[i]
-                d = dh[i] + carry
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (before - c) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], axis=1)
-                ds = np.concatenate([dz, dr, dc * r], axis=1)
-                inputs[i], ids[i], states[i], sums[i] = da, x[:, s + i], before, ds
-                carry = (d * z + ds @ p["u"].T) * live
-            g["u"][:] = states.reshape(-1, n).T @ sums.reshape(-1, 3 * n)
-            order = np.argsort(ids.ravel(), kind="stable")
-            at = ids.ravel()[order]
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            g["x"][at[first]] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first)
-            grad /= len(hs) * width
-            norm = float(np.sqrt((grad * grad).sum()))
+            grad, n, h = self.gradient(np.ascontiguousarray(x[:, s : s + self.steps].T), np.ascontiguousarray(y[:, s : s + self.steps].T), h)
+            grad *= 1 / max(1, n)
+            norm = float(np.sqrt(grad @ grad))
             if norm > 1:
-                grad /= norm
+                grad *= 1 / norm
             self.square += grad * grad
-            self.flat -= self.rate * grad / np.sqrt(self.square)
-            self.seen += len(hs) * width
-
-
-def score_documents(net: Network, flat: np.ndarray, docs: list[np.ndarray], end: int, steps: int = 32) -> np.ndarray:
+            np.sqrt(self.square, out=self.room)
+            np.divide(grad, self.room, out=grad)
+            grad *= self.rate
+            self.flat -= grad
+            self.seen += n
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """Gradient of the negative log likelihood of a window (rows are time steps; targets under 0 don't count), its targets, and the state behind it."""
+        net, n, (count, width) = self.net, self.net.hidden, x.shape
+        p, grad = net.views(self.flat), np.zeros(net.size, np.float32)
+        g, past, hs = net.views(grad), [], np.empty((count, width, n), np.float32)
+        for t in range(count):
+            live = (x[t] != self.end).astype(np.float32)[:, None]
+            before = h * live
+            h, z, r, c, un = net.gates(p, x[t], before)
+            past.append((before, z, r, c, un, live))
+            hs[t] = h
+        real = y.ravel() >= 0
+        if real.all():
+            dh = net.outputs(p, hs.reshape(-1, n), y.ravel(), g)[1].reshape(count, width, n)
+        else:
+            dh = np.zeros((count * width, n), np.float32)
+            dh[real] = net.outputs(p, hs.reshape(-1, n)[real], y.ravel()[real], g)[1]
+            dh = dh.reshape(count, width, n)
+        inputs, sums, states = np.empty((count, width, 3 * n), np.float32), np.empty((count, width, 3 * n), np.float32), np.empty((count, width, n), np.float32)
+        carry, back = 0, np.ascontiguousarray(p["u"].T)
+        for t in reversed(range(count)):
+            before, z, r, c, un, live = past[t]
+            d = dh[t]
+            d += carry
+            da, ds = inputs[t], sums[t]
+            hold = d * z
+            dc = (d - hold) * (1 - c * c)
+            da[:, 2 * n :] = dc
+            da[:, n : 2 * n] = dc * un * r * (1 - r)
+            da[:, :n] = (before - c) * hold * (1 - z)
+            ds[:, : 2 * n] = da[:, : 2 * n]
+            ds[:, 2 * n :] = dc * r
+            states[t] = before
+            carry = ds @ back
+            carry += hold
+            carry *= live
+        g["u"][:] = states.reshape(-1, n).T @ sums.reshape(-1, 3 * n)
+        order = np.argsort(x.ravel(), kind="stable")
+        at = x.ravel()[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g["x"][at[first]] = np.add.reduceat(inputs.reshape(-1, 3 * n).take(order, 0), first)
+        return grad, int(real.sum()), h
+
+
+def score_documents(net: Network, flat: np.ndarray, docs: list[np.ndarray], end: int, rows: int = 16_384) -> np.ndarray:
     """Natural log probability of each document's model ids; all documents advance together, and the state goes from window to window."""
     p, total = net.views(flat), np.zeros(len(docs))
+    if not docs:
+        return total
     order = np.argsort([-len(d) for d in docs], kind="stable")
     lengths = np.array([len(docs[i]) for i in order])
-    h = np.zeros((len(docs), net.hidden), np.float32)
-    for s in range(0, int(lengths[0]) if len(lengths) else 0, steps):
-        live = int(np.searchsorted(-lengths, -s, side="left"))
-        block = np.full((live, steps + 1), end, np.int64)
-        for k in range(live):
-            part = docs[order[k]][max(0, s - 1) : s + steps]
-            block[k, (s == 0) : (s == 0) + len(part)] = part
-        hs, ys, rows = [], [], []
-        for t in range(min(steps, int(lengths[0]) - s)):
-            m = int(np.searchsorted(-lengths, -(s + t), side="left"))
-            h[:m] = net.gates(p, block[:m, t], h[:m])[0]
-            hs.append(h[:m].copy())
-            ys.append(block[:m, t + 1])
-            rows.append(np.arange(m))
-        found, _ = net.outputs(p, np.concatenate(hs), np.concatenate(ys))
-        total[order] += np.bincount(np.concatenate(rows), found, len(docs))
-    return total
-
-
-def averaged(spark_docs: DataFrame, net: Network, flat: np.ndarray, v: Vocabulary, end: int, slices: int = 16, run_tokens: int = 400_000) -> np.ndarray:
+    ids = np.concatenate([docs[i] for i in order])
+    starts = np.cumsum(lengths) - lengths
+    alive = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
+    h, x = np.zeros((len(docs), net.hidden), np.float32), np.full(len(docs), end, np.int64)
+    hs, ys, ms, held = [], [], [], 0
+    for t, m in enumerate(alive):
+        h = net.gates(p, x[:m], h[:m])[0]
+        x = ids[starts[:m] + t].astype(np.int64)
+        hs.append(h)
+        ys.append(x)
+        ms.append(m)
+        held += m
+        if held >= rows or t + 1 == len(alive):
+            found, _ = net.outputs(p, np.concatenate(hs), np.concatenate(ys))
+            total[: ms[0]] += np.bincount(np.concatenate([np.arange(k) for k in ms]), found, ms[0])
+            hs, ys, ms, held = [], [], [], 0
+    back = np.empty(len(docs))
+    back[order] = total
+    return back
+
+
+def averaged(training: DataFrame, net: Network, flat: np.ndarray, v: Vocabulary, end: int, slices: int = 16, run_tokens: int = 400_000) -> np.ndarray:
     """Weights after every training document was trained on once, each task from ``flat`` on its own share.
 
-    Tasks send slices of their weights times their tokens; sums are taken slice by slice in a stream, so
-    only one set of weights reaches the driver, however many tasks there are.
+    Tasks send slices of their weights times their tokens; a tree of two levels adds them slice by slice in a stream, so
+    a task of it reads about the root of the number of tasks, and only one set of weights reaches the driver.
     """
     bounds = np.linspace(0, net.size, slices + 1).astype(int).tolist()
-    schema = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
+    fan = max(1, int(training.rdd.getNumPartitions() ** 0.5))
+    schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
+    names = "bucket int, slice int, n long, w binary"
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         lookup, trainer = Lookup(v.tokens[: v.model]), Trainer(net, flat, end)
         held, size = [], 0
         for b in batches:
@@ -248,24 +288,25 @@ def averaged(spark_docs: DataFrame, net: Network, flat: np.ndarray, v: Vocabular
         if held:
             trainer.fit(np.concatenate(held))
         if trainer.seen:
-            weighted = trainer.flat * np.float32(trainer.seen / 1e6)
-            yield batch_of(schema, [[*range(slices)], [trainer.seen] * slices, [weighted[s:e].tobytes() for s, e in zip(bounds, bounds[1:])]])
+            weighted = trainer.flat.astype(np.float64) * (trainer.seen / 1e6)
+            place = TaskContext.get().partitionId() % fan
+            yield batch_of(schema, [[i * fan + place for i in range(slices)], [*range(slices)], [trainer.seen] * slices, [weighted[s:e].tobytes() for s, e in zip(bounds, bounds[1:])]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for b in batches:
-            for i, n, w in zip(*(c.to_pylist() for c in b.columns)):
-                held = sums.setdefault(i, [0, 0])
+            for _, i, n, w in zip(*(c.to_pylist() for c in b.columns)):
+                held = sums.setdefault(i, [0, np.zeros(len(w) // 8)])
                 held[0] += n
-                held[1] = held[1] + np.frombuffer(w, np.float32).astype(np.float64)
+                held[1] += np.frombuffer(w)
         if sums:
-            yield batch_of(schema, [[*sums], [x[0] for x in sums.values()], [x[1].tobytes() for x in sums.values()]])
+            yield batch_of(schema, [[*sums], [*sums], [x[0] for x in sums.values()], [x[1].tobytes() for x in sums.values()]])
 
-    sent = spark_docs.select("text").mapInArrow(train, "slice int, n long, w binary")
-    rows = exchanged(sent.withColumnRenamed("slice", "bucket"), slices).mapInArrow(add, "slice int, n long, w binary").collect()
+    sent = training.select("text").mapInArrow(released(train), names)
+    some = exchanged(sent, slices * fan).mapInArrow(released(add), names)
     after = flat.copy()
-    for r in rows:
-        after[bounds[r["slice"]] : bounds[r["slice"] + 1]] = np.frombuffer(r.w, np.float64) * (1e6 / r.n)
+    for r in exchanged(some, slices).mapInArrow(released(add), names).collect():
+        after[bounds[r["slice"]] : bounds[r["slice"] + 1]] = np.frombuffer(r.w) * (1e6 / r.n)
     return after
 
 
@@ -276,33 +317,50 @@ def model_ids(words: list[bytes], lookup: Lookup, model: int, end: int) -> np.nd
     return np.append(ids, end)
 
 
-def vocabulary(counts: DataFrame, head: int, model: int) -> tuple[Vocabulary, DataFrame]:
-    """The head of the counts, and the tokens outside of it as (h, c)."""
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+def model_size(distinct: int) -> int:
+    """Outputs of the model: they grow with the root of the distinct training tokens, twice that in steps of 256."""
+    return 256 * max(1, round(2 * distinct**0.5 / 256))
+
+
+def vocabulary(counts: DataFrame, head: int, model: int | None) -> tuple[Vocabulary, DataFrame]:
+    """The most frequent tokens, and all others as (token, c).
+
+    The head are the tokens of the highest classes of counts (16 to each doubling) that hold at most ``head`` tokens
+    together, so nothing is sorted but the head; tokens of over LONGEST_KEY bytes are never in it, which bounds its bytes.
+    """
+    of = F.floor(16 * F.log2(F.col("c"))).cast("int")
     is_end = F.col("token") == F.lit(bytearray(END))
-    rows = counts.where(~is_end).orderBy(F.desc("c"), "token").limit(head - 1).select("token", "c").toArrow()
-    tokens, each = rows.column(0).to_pylist(), rows.column(1).to_numpy()
-    found = counts.where(is_end).first()
-    beyond = counts.where("false")
-    if len(tokens) == head - 1 and tokens:
-        beyond = counts.where(~is_end & ((F.col("c") < int(each[-1])) | ((F.col("c") == int(each[-1])) & (F.col("token") > F.lit(bytearray(tokens[-1]))))))
-    if found is not None:  # the end has an output however few documents there are
-        place = min(int(np.searchsorted(-each, -found.c)), model - 1)
+    fits = ~is_end & (F.octet_length("token") <= LONGEST_KEY)
+    sizes = counts.groupBy(of.alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(fits, 1)).alias("fit")).collect()
+    total, distinct = sum(r.n for r in sizes), sum(r.v for r in sizes)
+    least, room = 1 << 30, head - 1
+    for r in sorted(sizes, key=lambda r: -r["class"]):
+        if r.fit > room:
+            break
+        least, room = r["class"], room - r.fit
+    rows = counts.where(fits & (of >= least)).select("token", "c").toArrow()
+    found = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()), key=lambda r: (-r[1], r[0]))
+    tokens, each = [r[0] for r in found], np.array([r[1] for r in found], np.int64)
+    ends = counts.where(is_end).first()
+    model = model_size(distinct) if model is None else model
+    if ends is not None:  # the end has an output however few documents there are
+        place = min(int(np.searchsorted(-each, -ends.c)), model - 1)
         tokens.insert(place, END)
-        each = np.insert(each, place, found.c)
-    return Vocabulary(tokens, np.asarray(each, np.int64), sums.n or 0, sums.v, model), beyond.select("h", "c")
+        each = np.insert(each, place, ends.c)
+    return Vocabulary(tokens, each, total, distinct, model), counts.where(~is_end & ~(fits & (of >= least))).select("token", "c")
 
 
-PARTS = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, n_tail long, base double, score double, tail array<long>"
+PARTS = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, n_tail long, base double, score double, tail array<binary>"
 
 
-def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: int = 2048, members: int = 64, head: int = 262_144, warm_rows: int = 600, run_tokens: int = 1_000_000) -> DataFrame:
+def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: int | None = None, members: int | None = None, head: int = 262_144, warm_rows: int = 600, warm_chars: int = 20_000, run_tokens: int = 4_000_000) -> DataFrame:
     """Log10 probability of every whole text by the model and by add-one unigrams, both learned from the rows not held out.
 
-    Counts cover all training rows. The model has outputs for the ``model`` most frequent tokens; a rarer token gets the
-    probability of the rare class times its add-one share of it. The ``head`` tokens (a fixed number) go to the tasks; counts of
-    others are joined by hash. Weights: a warm-up on ``warm_rows`` training rows of the smallest hash, then one pass over all
-    training rows, each task on its own, averaged by tokens.
+    Counts cover all training rows. The model has outputs for the ``model`` most frequent tokens (none given: see model_size), in
+    classes of ``members`` (none given: about the root of them); a rarer token gets the probability of the rare class times its
+    add-one share of it. At most ``head`` tokens go to the tasks; counts of others are joined. Weights: a warm-up on
+    ``warm_rows`` training rows of the smallest hash and at most ``warm_chars`` characters, then one pass over all training rows,
+    whole, each task on its own, averaged by tokens.
 
     Null and empty texts are the end alone. Without training rows all counts are 0 and the model knows only the rare class.
     Rows are scored one by one; other columns are not read.
@@ -313,18 +371,21 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
     training = rows.where(~F.coalesce("held_out", F.lit(False)))
     counts = written(token_counts(training))
     v, beyond = vocabulary(counts, head, model)
+    model = v.model
+    members = members or max(1, round(model**0.5))
     end = v.tokens.index(END) if END in v.tokens else model
     net = Network(model, members, hidden)
     flat = net.first(v)
     if v.total:
-        sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows).select("text").collect()
+        sample = training.where(F.length("text") <= warm_chars).orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows).select("text").collect()
         lookup, trainer = Lookup(v.tokens[:model]), Trainer(net, flat, end, streams=32)
         runs = [model_ids(tokens_of(r.text), lookup, model, end) for r in sample]
-        trainer.fit(np.concatenate(runs))
+        if runs:
+            trainer.fit(np.concatenate(runs))
         flat = averaged(training, net, trainer.flat, v, end)
     logs, base_floor = np.log10(v.counts + 1.0), float(np.log10(v.total + v.distinct + 1))
     rare_floor = float(np.log10(v.rare_total + v.rare_distinct + 1))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_tail", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_tail", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -345,11 +406,11 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
                 words = tokens_of(t.as_py())
                 places = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
                 known, tail = places[places >= 0], [words[i] for i in np.flatnonzero(places < 0).tolist()]
-                end_known = END in lookup.sorted if not v.tokens else v.tokens and end < len(v.tokens)
+                end_known = end < len(v.tokens)
                 base = float(logs[known].sum()) + (float(logs[end]) if end_known else 0.0) - (len(words) + 1) * base_floor
                 rare = known[known >= model]
                 extra = float(logs[rare].sum()) - (len(rare) + len(tail) + (0 if end_known else 1)) * rare_floor
-                ids = np.append(np.where((places < 0) | (places >= model), model, places), end)
+                ids = np.append(np.where((places < 0) | (places >= model), model, places), end).astype(np.int32)
                 held.append((doc, out_, len(words) + 1, len(known) + bool(end_known), base, extra, tail, ids))
                 size += len(ids)
                 if size >= run_tokens:
@@ -358,11 +419,9 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
         if held:
             yield out()
 
-    # tail tokens travel as text, so that their hash is the one of the counts
-    schema = schema.remove(8).append(pa.field("tail", pa.list_(pa.binary())))
-    parts = written(rows.select("doc_id", "text", "held_out").mapInArrow(score, PARTS.replace("array<long>", "array<binary>")))
-    asked = parts.select("key", F.explode("tail").alias("token")).select("key", F.xxhash64("token").alias("h"))
-    sums = asked.join(beyond, "h").groupBy("key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
+    parts = written(rows.select("doc_id", "text", "held_out").mapInArrow(released(score), PARTS))
+    asked = parts.select("key", F.explode("tail").alias("token"))
+    sums = asked.join(beyond, "token").groupBy("key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
     both = parts.drop("tail").join(sums, "key", "left")
     log_sum = F.coalesce("logs", F.lit(0.0))
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + log_sum).alias("base_score"), (F.col("score") + log_sum).alias("score"))

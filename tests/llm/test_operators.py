@@ -231,6 +231,79 @@ def test_network_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def slow_score(net, flat, ids, end):
+    """One document, one word, one gate at a time."""
+    import math
+
+    p = {k: v.astype(float) for k, v in net.views(flat).items()}
+    n, h, x, total = net.hidden, [0.0] * net.hidden, end, 0.0
+    sigmoid = lambda a: 1 / (1 + math.exp(-a))
+    for y in ids:
+        s = [sum(h[i] * p["u"][i, j] for i in range(n)) for j in range(3 * n)]
+        z = [sigmoid(p["x"][x, j] + s[j]) for j in range(n)]
+        r = [sigmoid(p["x"][x, n + j] + s[n + j]) for j in range(n)]
+        c = [math.tanh(p["x"][x, 2 * n + j] + r[j] * s[2 * n + j]) for j in range(n)]
+        h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+        k = net.classes if y >= net.words else y // net.members
+        logits = [sum(h[i] * p["wc"][i, j] for i in range(n)) + p["bc"][j] for j in range(net.classes + 1)]
+        total += logits[k] - math.log(sum(map(math.exp, logits)))
+        if k < net.classes:
+            logits = [sum(h[i] * p["wm"][k, i, j] for i in range(n)) + p["bm"][k, j] for j in range(net.members)]
+            total += logits[y - k * net.members] - math.log(sum(map(math.exp, logits)))
+        x = y
+    return total
+
+
+@pytest.fixture(scope="module")
+def small_net():
+    net = gru.Network(7, 3, 4)
+    v = gru.Vocabulary([b"%d" % i for i in range(7)], np.arange(20, 13, -1), 130, 20, 7)
+    flat = net.first(v) + (np.random.default_rng(3).standard_normal(net.size) * 0.3).astype(np.float32)
+    return net, flat
+
+
+def test_scores_equal_a_scalar_network(small_net):
+    net, flat = small_net
+    rng = np.random.default_rng(8)
+    docs = [np.append(rng.integers(0, 8, n), 2).astype(np.int32) for n in (0, 1, 5, 40, 5, 90)]
+    docs = [np.append(np.where(d[:-1] == 2, 3, d[:-1]), 2).astype(np.int32) for d in docs]
+    for rows in (1, 7, 10_000):
+        assert np.allclose(gru.score_documents(net, flat, docs, 2, rows), [slow_score(net, flat, d.tolist(), 2) for d in docs], rtol=1e-4)
+    assert len(gru.score_documents(net, flat, [], 2)) == 0
+
+
+def test_gradients_equal_finite_differences(small_net):
+    net, flat = small_net
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 8, (6, 3)), rng.integers(0, 8, (6, 3))
+    y[-2:, 2] = -1  # filled up: not learned
+    trainer = gru.Trainer(net, flat, 2)
+    h = (rng.standard_normal((3, 4)) * 0.3).astype(np.float32)
+    grad, n, _ = trainer.gradient(x, y, h)
+    assert n == 16
+
+    def loss(w):
+        p, state, total = net.views(w), h, 0.0
+        for t in range(6):
+            state = net.gates(p, x[t], state * (x[t] != 2)[:, None].astype(np.float32))[0]
+            real = y[t] >= 0
+            total -= net.outputs(p, state[real], y[t][real])[0].sum()
+        return total
+
+    for i in rng.choice(net.size, 120, replace=False):
+        step = np.zeros(net.size, np.float32)
+        step[i] = 4e-3
+        assert abs((loss(flat + step) - loss(flat - step)) / 8e-3 - grad[i]) < 2e-2 * max(1, abs(grad[i]))
+
+
+def test_every_training_token_is_trained_on(small_net):
+    net, flat = small_net
+    for n in (1, 5, 33, 1000, 1037):
+        trainer = gru.Trainer(net, flat, 2, streams=16)
+        trainer.fit(np.arange(n) % 7)
+        assert trainer.seen == n
+
+
 # 6
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "On Monday, A wrote:\n> Hello  THERE.\nFine"), (1, 2, "user", "> Fine\n> > hello there.\nGood"), (1, 3, "user", "> unknown\nx"), (1, 4, "user", None), (1, 5, "user", "> How are you?\n> Good\nyes"), (2, 0, "user", "> Hello there."), (None, 1, "user", "> a"), (3, 0, "user", "same"), (3, 0, "user", "same"), (3, 1, "user", "> same\nok")]
