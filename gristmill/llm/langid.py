@@ -6,15 +6,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, released
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 UNDETERMINED = "und"
-#: Margins below this are too narrow to accept.
-MIN_MARGIN = 0.001
+#: A lead of fewer bytes than this, or of a smaller share of the size, is too narrow to accept.
+MIN_LEAD, MIN_MARGIN = 2, 0.002
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -23,40 +23,46 @@ def normalised(text: str) -> bytes:
     return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, training: Column, rows_per_language: int = 512, dictionary_bytes: int = 131_072, max_languages: int = 256) -> dict[str, bytes]:
+def fit(docs: DataFrame, training: Column, rows_per_language: int = 512, dictionary_bytes: int = 131_072, total_bytes: int = 67_108_864, broadcast_languages: int = 10_000) -> dict[str, bytes]:
     """A raw-content dictionary for each language from a bounded sample of labelled rows.
 
-    The bound: ``rows_per_language`` rows of the smallest hash of doc_id for each language, of each an
-    equal share of ``dictionary_bytes``. Rows with null text or lang are not used. No rows: no languages.
+    The bound: of each language the ``rows_per_language`` rows of the smallest hash of (doc_id, text), and of each of
+    them an equal share of ``dictionary_bytes`` (less where ``total_bytes`` for all languages would be passed). The share is a
+    window of the whole text at a place that the hash gives. Rows under a hash threshold of about twice the bound are
+    read; equal rows count once. Rows with null text or lang are not used. No rows: no languages.
     """
-    labelled = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language)
-    ids = chosen.limit(rows_per_language * max_languages + 1).collect()
-    if len(ids) > rows_per_language * max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not ids:
+    spark = docs.sparkSession
+    labelled = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return {}
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, lang string, rank int"))
-    share = max(1, dictionary_bytes // rows_per_language)
-    rows = labelled.join(wanted, ["doc_id", "lang"]).select("lang", "rank", F.substring("text", 1, 8 * share).alias("text")).collect()
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, -r["rank"], r.text)):
-        texts.setdefault(r.lang, []).append(normalised(r.text))
+    each = max(1024, min(dictionary_bytes, total_bytes // len(sizes)))
+    # characters to read of a row: twice its share, as not all are letters
+    limits = spark.createDataFrame([(lang, min(1.0, 2.0 * rows_per_language / n + 0.001), 2 * -(-each // min(n, rows_per_language))) for lang, n in sizes.items()], "lang string, share double, chars int")
+    chosen = labelled.join(F.broadcast(limits) if len(sizes) <= broadcast_languages else limits, "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    first = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("chars") + 1, F.lit(1)))
+    rows = chosen.select("lang", "h", F.substr("text", first.cast("int"), F.col("chars")).alias("part")).dropDuplicates(["lang", "h"]).collect()
+    by: dict[str, list[tuple[int, str]]] = {}
+    for r in rows:
+        by.setdefault(r.lang, []).append((r.h, r.part))
     found = {}
-    for lang, parts in texts.items():
-        each = max(share, dictionary_bytes // len(parts))
-        found[lang] = b"\n".join(p[:each] for p in parts)[-dictionary_bytes:]
-    return found
+    for lang, held in by.items():
+        parts = [normalised(t) for _, t in sorted(held)[:rows_per_language]]
+        # rows that have less than their share leave it to the others
+        share = each // len(parts)
+        while share < each and sum(min(len(p), share) + 1 for p in parts) < each and any(len(p) > share for p in parts):
+            share += max(1, share // 8)
+        found[lang] = b"\n".join(p[:share] for p in reversed(parts))[-each:]
+    return {lang: d for lang, d in found.items() if d.strip()}
 
 
 class Classifier:
     """Sizes of a text under each language's dictionary; every ``segment`` bytes are compressed anew."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 9, segment: int = 4096):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 9, segment: int = 4096, min_lead: int = MIN_LEAD, min_margin: float = MIN_MARGIN):
         import zstandard
 
-        self.segment, self.coders = segment, []
+        self.segment, self.coders, self.min_lead, self.min_margin = segment, [], min_lead, min_margin
         for lang in sorted(dictionaries):
             held = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=level)
@@ -67,42 +73,41 @@ class Classifier:
         cuts = [data[i : i + self.segment] for i in range(0, len(data), self.segment)]
         return [sum(len(c.compress(x)) for x in cuts) for _, c in self.coders]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of the smallest size (ties: the first name) and the margin of the second over it."""
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language of the smallest size (ties: the first name), the margin of the second over it, and whether the lead is wide enough."""
         if not self.coders or not text or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-        return self.coders[best][0], min(1.0, max(0.0, (second - sizes[best]) / second))
+        lead = second - sizes[best]
+        return self.coders[best][0], min(1.0, max(0.0, lead / second)), lead >= max(self.min_lead, self.min_margin * second)
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_lead: int = MIN_LEAD, min_margin: float = MIN_MARGIN) -> DataFrame:
     """doc_id, lang_pred, score (relative margin, 0 to 1) and accepted for every row, from its text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0 and not accepted; margins under
-    ``min_margin`` are not accepted. Whole texts; repeated rows give repeated results; other columns
+    Null texts and texts without a letter are ``und`` with score 0 and not accepted; leads under ``min_lead``
+    bytes or ``min_margin`` of the second size are not accepted. Whole texts; repeated rows give repeated results; other columns
     are not read. Narrow: no shuffle. The dictionaries are bounded (see fit) and travel in the closure.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(dictionaries)
+        model = Classifier(dictionaries, min_lead=min_lead, min_margin=min_margin)
         for b in batches:
             found = [model.predict(t.as_py()) for t in b.column(1)]
-            names, scores = [f[0] for f in found], [f[1] for f in found]
-            yield batch_of(SCHEMA, [b.column(0), names, scores, [n != UNDETERMINED and s >= min_margin for n, s in found]])
+            yield batch_of(SCHEMA, [b.column(0), *([f[k] for f in found] for k in range(3))])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
-def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], min_lead: int = MIN_LEAD, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of docs, all columns as they are, whose language is predicted with a margin that isn't narrow. No shuffle."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(dictionaries)
+        model = Classifier(dictionaries, min_lead=min_lead, min_margin=min_margin)
         for b in batches:
-            found = [model.predict(t.as_py()) for t in b.column(place)]
-            yield b.filter(pa.array([n != UNDETERMINED and s >= min_margin for n, s in found], pa.bool_()))
+            yield b.filter(pa.array([model.predict(t.as_py())[2] for t in b.column(place)], pa.bool_()))
 
     return docs.mapInArrow(released(run), docs.schema)

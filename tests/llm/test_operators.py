@@ -71,6 +71,40 @@ def test_language_by_compression(spark):
     assert kept.columns == df.columns and {900, 901, 902}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_many_languages_copies_and_odd_openings(spark):
+    rng = random.Random(11)
+    sounds = lambda k: [f"{a}{b}" for a in rng.sample("bcdfghjklmnpqrstvwxz", 5) for b in rng.sample("aeiouyäöü", 3)]
+    sets = {f"l{k:03}": sounds(k) for k in range(300)}
+    make = lambda s, n=30: " ".join("".join(rng.choices(s, k=rng.randint(2, 4))) for _ in range(n))
+    rows = [(10 * k + i, make(s), lang) for k, (lang, s) in enumerate(sets.items()) for i in range(4)]
+    copy = make(sets["l000"])
+    rows += [(77, copy, "l000")] * 3000 + [(9_000 + i, "12.34 " * 2000 + make(sets["l001"], 400), "l001") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = langid.fit(df, F.lit(True))
+    assert set(dictionaries) == set(sets) and all(0 < len(d) <= 131_072 for d in dictionaries.values())
+    assert dictionaries["l000"].count(langid.normalised(copy)) == 1
+    assert len(dictionaries["l001"]) > 5 * 400  # letters far behind the digits are read
+    probe = [(k, make(sets[f"l{k:03}"], 80), None) for k in range(0, 300, 25)]
+    got = langid.predict(spark.createDataFrame(probe, df.schema), dictionaries).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03}" for r in got) >= len(probe) - 1
+
+
+def test_sizes_equal_a_plain_computation():
+    import zstandard
+
+    rng = random.Random(12)
+    dictionaries = {"aa": prose(rng, 300).encode(), "bb": ("".join(rng.choices("xyzw ", k=4000))).encode()}
+    model = langid.Classifier(dictionaries)
+    for text in ("", "short", prose(rng, 2000), "Ünïcode 12 and ÉTÉ", "xyz " * 3000):
+        data = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        want = [sum(len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for d in dictionaries.values()]
+        assert model.sizes(text) == want
+        name, score, sure = model.predict(text)
+        if text:
+            low, high = sorted(want)
+            assert name == ("aa" if want[0] <= want[1] else "bb") and score == pytest.approx((high - low) / high) and sure == (high - low >= max(2, 0.002 * high))
+
+
 # 2
 @pytest.mark.parametrize("capacity", [64, 1024])
 def test_packing_is_gapless_and_tight(spark, docs, corpus, capacity):
