@@ -55,6 +55,26 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
+def before(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an int array what the ones before it come to, and last what all come to.
+
+    Arrays can only grow by copies, so they are built in blocks of about the root of their length: the time grows as
+    n * sqrt(n), with 100,000 elements a fraction of a second.
+    """
+
+    def grown(block: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct(step(acc["at"], x).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / width).cast("int")), lambda k: F.slice(v, k * width + 1, width))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, grown(F.transform(b, lambda x: F.aggregate(x, F.lit(start), lambda a, y: step(a, y).cast("int"))), F.lit(start)), grown)))
+
+    # an element more takes what all come to
+    return let(F.array_append(values, F.lit(start)), whole)
+
+
 def located(text: Column, pattern: Column, kind: str, place: int) -> Column:
     """Spans (code points, end exclusive) of the leftmost non-overlapping matches.
 
@@ -62,19 +82,40 @@ def located(text: Column, pattern: Column, kind: str, place: int) -> Column:
     before, then the text is cut at the marks and lengths are summed.
     """
     marked = F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$0{_CLOSE}"))
-    parts = F.split(marked, _OPEN)
 
     def spans(p: Column) -> Column:
-        start = F.struct(F.length(p[0]).alias("at"), F.array().cast(_SPAN).alias("out"))
+        # every part but the first lost its opening mark and holds a closing one
+        lengths = F.transform(p, lambda x, i: F.length(x) - F.when(i > 0, 1).otherwise(0))
+        at = before(lengths, 0, lambda a, x: a + x)
 
-        def step(acc: Column, part: Column) -> Column:
+        def span(part: Column, i: Column, starts: Column) -> Column:
             value = F.substring_index(part, _CLOSE, 1)
-            span = F.struct(acc["at"].alias("start"), F.lit(place).alias("place"), (acc["at"] + F.length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-            return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            start = F.get(starts, i + 1)
+            return F.struct(start.alias("start"), F.lit(place).alias("place"), (start + F.length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
+
+        return let(at, lambda starts: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda part, i: span(part, i, starts)))
+
+    return F.when(F.contains(marked, F.lit(_OPEN)), let(F.split(marked, _OPEN), spans)).otherwise(F.array().cast(_SPAN))
+
+
+#: Texts are cut from blocks of so many characters: a cut from the text itself reads all that stands before it.
+_BLOCK = 512
 
-        return F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
 
-    return let(parts, spans)
+def pieces(text: Column, spans: Column, body: Callable[[Callable[[Column, Column], Column], Column, Column], Column]) -> Column:
+    """body(cut, spans, reach): cut(start, end) is that part of the text, and reach has the furthest end before each span, last of all."""
+
+    def cut(blocks: Column) -> Callable[[Column, Column], Column]:
+        def part(start: Column, end: Column) -> Column:
+            first = F.floor(start / _BLOCK).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1), "")
+            return F.when(end > start, F.substr(near, start - first * _BLOCK + 1, end - start)).otherwise("")
+
+        return part
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    reach = let(spans, lambda s: before(F.transform(s, lambda x: x["end"]), 0, F.greatest))
+    return let(F.struct(blocks.alias("b"), spans.alias("s"), reach.alias("r")), lambda x: body(cut(x["b"]), x["s"], x["r"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -92,24 +133,38 @@ def words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), _WORD_GAP)), lambda w: w.rlike(_WORD))
 
 
+def digest(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
 def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.lower(span["value"]))
 
 
 def _company(text: Column, spans: Column) -> Column:
-    """(term, inside) for the words of the whole text: inside is null for words outside of the base spans, else the entity whose span holds the word."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """(term, inside) of every distinct word of a text with spans: inside is the entity whose spans alone hold the word, null for all others."""
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] > acc["at"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+    def each(cut: Callable[[Column, Column], Column], s: Column, reach: Column) -> Column:
+        gaps = F.array_append(F.transform(s, lambda x, i: F.when(x["start"] > F.get(reach, i), cut(F.get(reach, i), x["start"])).otherwise("")), cut(F.element_at(reach, -1), F.length(text)))
+        row = lambda w, place, entity: F.struct(w.alias("term"), F.lit(place).alias("place"), entity.cast("long").alias("inside"))
+        held = F.flatten(F.transform(s, lambda x: let(_entity(x), lambda e: F.transform(words(x["value"]), lambda w: row(w, 2, e)))))
+        plain = lambda w, place: F.transform(w, lambda x: row(x, place, F.lit(None)))
+        # sorted, the rows of a word are neighbours: in the text (a span can end within a word), outside of spans, in those of each entity
+        every = F.sort_array(F.concat(plain(words(text), 0), plain(words(F.array_join(gaps, " ")), 1), held))
+        same = lambda x, y: (x["term"] == y["term"]) & (x["place"] == y["place"]) & x["inside"].eqNullSafe(y["inside"])
+        rows = let(every, lambda r: F.filter(r, lambda x, i: (i == 0) | ~same(x, F.get(r, i - 1))))
 
-    outside = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.length(text)))))
-    # a span can end within a word: only what is a word of the text counts
-    whole = let(words(text), lambda w: F.concat(
-        F.transform(F.array_intersect(words(F.array_join(outside, " ")), w), lambda x: F.struct(x.alias("term"), F.lit(None).cast("long").alias("inside"))),
-        F.flatten(F.transform(spans, lambda s: F.transform(F.array_intersect(words(s["value"]), w), lambda x: F.struct(x.alias("term"), _entity(s).alias("inside")))))))
-    return F.when(F.size(spans) > 0, whole).otherwise(F.array().cast("array<struct<term:string,inside:bigint>>"))
+        def alone(r: Column) -> Column:
+            def inside(x: Column, i: Column) -> Column:
+                near, beyond = F.get(r, i + 1), F.get(r, i + 2)
+                return F.when((near["term"] == x["term"]) & (near["place"] == 2) & ~F.coalesce(beyond["term"] == x["term"], F.lit(False)), near["inside"])
+
+            return F.filter(F.transform(r, lambda x, i: F.when(x["place"] == 0, F.struct(x["term"].alias("term"), inside(x, i).alias("inside")))), lambda x: x.isNotNull())
+
+        return let(rows, alone)
+
+    return F.when(F.size(spans) > 0, pieces(text, spans, each)).otherwise(F.array().cast("array<struct<term:string,inside:bigint>>"))
 
 
 def clean(text: Column) -> Column:
@@ -117,18 +172,18 @@ def clean(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, base spans, and the words of texts that hold any."""
+    """doc_id, digest of the text, base spans, the words of texts that hold any, and a row number (kept once the table is written)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("text"))
     spans = base.withColumn("spans", base_spans(F.col("text")))
-    return spans.select("doc_id", F.xxhash64("text").alias("digest"), "spans", _company(F.col("text"), F.col("spans")).alias("near"))
+    return spans.select("doc_id", digest(F.col("text")).alias("digest"), "spans", _company(F.col("text"), F.col("spans")).alias("near"), F.monotonically_increasing_id().alias("row"))
 
 
-def _alone(inside: Column) -> Column:
-    """The entity whose spans alone hold the word; null if it stands outside of them or in those of several."""
-    return F.when((F.count(inside) == F.count(F.lit(1))) & (F.min(inside) == F.max(inside)), F.min(inside))
+def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    """df to be broadcast if a count finds at most so many rows."""
+    return F.broadcast(df) if df.count() <= broadcast_rows else df
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disclosure: float = 0.8, removal: float = 0.95, broadcast_rows: int = 100_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disclosure: float = 0.8, removal: float = 0.95, broadcast_rows: int = 300_000) -> DataFrame:
     """(term, share, action): terms that disclose a protected entity, from counts over all distinct texts.
 
     An entity is a base span's value. With n texts, n_e with the entity, n_t with the term anywhere and n_te with the
@@ -137,48 +192,51 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
     Terms whose share reaches ``disclosure`` with ``min_texts`` texts are generalised, from ``removal`` on removed.
     """
     n = float(found.select("digest").distinct().count())
-    entities = found.select("digest", F.explode("spans").alias("s")).select("digest", _entity(F.col("s")).alias("entity")).distinct()
+    holders = found.where(F.size("spans") > 0)
+    entities = holders.select("digest", F.explode("spans").alias("s")).select("digest", _entity(F.col("s")).alias("entity")).distinct()
     # n_te is n_e at most, so entities of fewer than min_texts texts have no terms
     with_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") < n) & (F.col("n_e") >= min_texts))
     held = written(entities.join(with_entity, "entity"))
-    holders = held.select("digest").distinct()
-    holders = F.broadcast(holders) if holders.count() <= broadcast_rows else holders
-    # a word of one entity's spans alone keeps company with the text's other entities only
-    near = written(found.join(holders, "digest", "left_semi").select("digest", F.explode("near").alias("x")).groupBy("digest", F.col("x.term").alias("term")).agg(_alone(F.col("x.inside")).alias("inside")))
-    near_any = near.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= min_texts)
-    share = lambda n_t: F.log2(n * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    most = held.agg(F.max("n_e")).first()[0]
+    empty = docs.select(F.lit("").alias("term"), F.lit(0.0).alias("share"), F.lit("").alias("action")).where("false")
+    if most is None:
+        return empty
+    by_text = held.groupBy("digest").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    first = holders.groupBy("digest").agg(F.min("row").alias("row")).join(by_text, "digest").select("row", "entities")
+    texts = written(found.select("row", "near").join(_small(written(first), broadcast_rows), "row").select("near", "entities"))
     # a term stands in as many texts as it is with any entity in, at least: with n_te at most n_e and n_near, that
     # bounds its share before pairs are made, and again before the corpus is counted
-    known = near.join(near_any, "term")
-    reach = F.log2(n / F.greatest("n_near", "n_e")) >= disclosure * F.log2(n / F.col("n_e"))
-    both = known.join(held, "digest").where((F.col("inside").isNull() | (F.col("inside") != F.col("entity"))) & reach)
+    reach = lambda n_e: F.log2(n / F.greatest(F.col("n_near"), n_e)) >= disclosure * F.log2(n / n_e)
+    near_any = texts.select(F.explode("near").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("n_near")).where((F.col("n_near") >= min_texts) & reach(F.lit(float(most))))
+    near_any = _small(written(near_any), broadcast_rows)
+    share = lambda n_t: F.log2(n * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    known = texts.select("entities", F.explode("near").alias("x")).select("entities", "x.term", "x.inside").join(near_any, "term")
+    both = known.select("term", "inside", "n_near", F.explode("entities").alias("e")).select("term", "inside", "n_near", "e.entity", "e.n_e").where((F.col("inside").isNull() | (F.col("inside") != F.col("entity"))) & reach(F.col("n_e")))
     pairs = both.groupBy("entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_texts)
     pairs = written(pairs.where(share("n_near") >= disclosure))
     terms = pairs.select("term").distinct()
     asked = terms.count()
     if not asked:
-        return pairs.select("term", F.lit(0.0).alias("share"), F.lit("").alias("action"))
+        return empty
     terms = F.broadcast(terms) if asked <= broadcast_rows else terms
-    texts = docs.select(clean(F.col("text")).alias("text"))
-    holds = texts.select(F.xxhash64("text").alias("digest"), F.explode(words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    whole = docs.select(clean(F.col("text")).alias("text"))
+    holds = whole.select(digest(F.col("text")).alias("digest"), F.explode(words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
     with_term = holds.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(with_term, "term").select("term", share("n_t").alias("share")).groupBy("term").agg(F.max("share").alias("share"))
     return scored.where(F.col("share") >= disclosure).select("term", "share", F.when(F.col("share") >= removal, "remove").otherwise("generalise").alias("action"))
 
 
-def term_spans(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """(digest, spans): every occurrence of disclosing terms in the distinct texts that hold any."""
-    texts = docs.select(clean(F.col("text")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    small = terms.select("term", "action")
-    small = F.broadcast(small) if small.count() <= broadcast_rows else small
-    each = texts.select("digest", F.explode(words(F.col("text"))).alias("term")).join(small, "term").distinct()
+def term_spans(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
+    """(digest, extra): every occurrence of disclosing terms in the distinct texts that hold any."""
+    texts = docs.select(clean(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
+    each = texts.select("digest", F.explode(words(F.col("text"))).alias("term")).join(_small(terms.select("term", "action"), broadcast_rows), "term").distinct()
     of = lambda action: F.array_join(F.sort_array(F.collect_list(F.when(F.col("action") == action, F.col("term")))), "|")
     held = written(each.groupBy("digest").agg(of("generalise").alias("broad"), of("remove").alias("gone")))
-    wanted = F.broadcast(held) if held.count() <= broadcast_rows else held
     # terms hold letters, digits, ' and - only, so they stand for themselves in a pattern
     pattern = lambda any_: F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}'-])(?:"), F.col(any_), F.lit(")(?![\\p{L}\\p{N}'-])"))
     spans = lambda any_, place: F.when(F.col(any_) != "", located(F.col("text"), pattern(any_), TERM, place)).otherwise(F.array().cast(_SPAN))
-    return texts.join(wanted, "digest").dropDuplicates(["digest"]).select("digest", F.concat(spans("broad", GENERALISE), spans("gone", REMOVE)).alias("extra"))
+    found = texts.join(_small(held, broadcast_rows), "digest").select("digest", F.concat(spans("broad", GENERALISE), spans("gone", REMOVE)).alias("extra"))
+    return _small(written(found.dropDuplicates(["digest"])), broadcast_rows)
 
 
 def findings(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
@@ -210,12 +268,12 @@ def detect(docs: DataFrame, **limits: float) -> DataFrame:
 def redacted_text(text: Column, spans: Column) -> Column:
     """The text with each span exchanged for its kind in brackets, or for nothing where a term is removed; spans that overlap are one."""
 
-    def step(acc: Column, s: Column) -> Column:
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["place"] == REMOVE, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def whole(cut: Callable[[Column, Column], Column], s: Column, reach: Column) -> Column:
+        mark = lambda x: F.when(x["place"] == REMOVE, "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        each = F.transform(s, lambda x, i: F.when(x["start"] >= F.get(reach, i), F.concat(cut(F.get(reach, i), x["start"]), mark(x))).otherwise(""))
+        return F.concat(F.array_join(each, ""), cut(F.element_at(reach, -1), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return pieces(text, spans, whole)
 
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
@@ -224,7 +282,7 @@ def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     terms = written(disclosing_terms(docs, found, **limits))
     text = clean(F.col("text"))
     if terms.limit(1).count():
-        rows = docs.withColumn("_digest", F.xxhash64(text)).join(term_spans(docs, terms).withColumnRenamed("digest", "_digest"), "_digest", "left")
+        rows = docs.withColumn("_digest", digest(text)).join(term_spans(docs, terms).withColumnRenamed("digest", "_digest"), "_digest", "left")
         spans = F.sort_array(F.concat(base_spans(text), F.coalesce("extra", F.array().cast(_SPAN))))
     else:
         rows, spans = docs, base_spans(text)

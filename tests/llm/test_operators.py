@@ -218,6 +218,57 @@ def test_terms_of_any_length_anywhere_in_the_text_disclose(spark):
     assert all("term" not in got[i].spans for i, _ in plain_)
 
 
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(27)
+    names = ["zor@x.org", "10.1.2.3", "quin@y.net", "+49 555 123 456"]
+    rows = [(i, prose(rng, 25)) for i in range(150)]
+    for k in range(60):
+        pick = rng.sample(names, rng.randint(1, 2))
+        rows.append((1000 + k, f"{prose(rng, 5)} term{names.index(pick[0])} {' and '.join(pick)} {prose(rng, 6)} zor word{k % 7}"))
+    rows += [(2000 + k, f"term{k % 4} {prose(rng, 8)}") for k in range(10)] + [(3000, rows[160][1]), (3001, None), (3002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # plain: distinct texts, words of the text, entities with the words of their spans
+    held = {}
+    for text in {t or "" for _, t in rows}:
+        found = {w for w in re.split(r"[^\w'-]+", text.lower()) if re.search(r"\w", w)}
+        spans = [x.split(":") for x in base_spans(text).split(",") if x]
+        inside, gaps, at = collections.defaultdict(set), "", 0
+        for kind, a, b in spans:
+            gaps += text[at : int(a)] + " "
+            at = max(at, int(b))
+            for w in re.split(r"[^\w'-]+", text[int(a) : int(b)].lower()):
+                inside[w].add((kind, text[int(a) : int(b)].lower()))
+        gaps = set(re.split(r"[^\w'-]+", (gaps + text[at:]).lower()))
+        entities = {(k, text[int(a) : int(b)].lower()) for k, a, b in spans}
+        held[text] = (found, entities, {w: (next(iter(inside[w])) if w not in gaps and len(inside[w]) == 1 else None) for w in found})
+    n, n_e = len(held), collections.Counter(e for _, es, _ in held.values() for e in es)
+    n_t, n_te = collections.Counter(w for f, _, _ in held.values() for w in f), collections.Counter()
+    for f, es, alone in held.values():
+        n_te.update((w, e) for w in f for e in es if alone[w] != e)
+    want = {}
+    for (w, e), c in n_te.items():
+        if c >= 3 and n_e[e] >= 3:
+            share = np.log(n * c / (n_t[w] * n_e[e])) / np.log(n / n_e[e])
+            if share >= 0.8:
+                want[w] = max(want.get(w, 0), share)
+    for broadcast_rows in (300_000, 0):
+        got = {r.term: r.share for r in pii.disclosing_terms(df, pii.written(pii.scanned(df)), broadcast_rows=broadcast_rows).collect()}
+        assert got.keys() == want.keys() and want and all(got[w] == pytest.approx(want[w]) for w in want)
+
+
+def test_many_matches_in_one_text_take_little_time(spark):
+    import time
+
+    text = " ".join(f"user{i}@mail{i % 1000}.org said {i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, "a@b.c and 1.2.3.4")], "doc_id long, text string")
+    began = time.time()
+    got = by_id(pii.detect(df))
+    assert got[1].n_email == 50_000 and got[1].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    out = by_id(pii.sanitise(df))
+    assert out[1].text == re.sub(BASE["email"], "[EMAIL]", text) and out[2].text == "[EMAIL] and [IP]"
+    assert time.time() - began < 120
+
+
 def test_terms_are_generalised_or_removed_by_their_share(spark):
     rng = random.Random(16)
     plain_ = [(i, prose(rng, 40)) for i in range(400)]
@@ -492,6 +543,59 @@ def test_quality_tells_odd_texts_apart(spark):
     assert all(got[i].kept for i, *_ in fine) and not got[900].kept
 
 
+def test_quality_distances_equal_brute_force(spark):
+    rng = random.Random(29)
+    heads = {"en": ["the", "of", "and"], "xx": ["ba", "du", "ri"]}
+    rows = [(i, " ".join(rng.choice(heads[lang] * 3 + WORDS[:40]) + rng.choice(["", "", ",", ".", " 7"]) for _ in range(rng.randint(30, 120))), lang) for i in range(60) for lang in [["en", "xx"][i % 2]]]
+    rows += [(100, "#1 $2 " * 60, "en"), (101, " ".join(WORDS[100:190]), "xx"), (102, None, "en"), (103, "ba du ri ka lo " * 5 + " ".join(WORDS[60:120]), None), (104, "THE OF AND " + prose(rng, 80).upper(), "en")]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common_words=5, min_rows=20, spread=3.0))
+    runs = lambda t: [w for w in re.split(r"[\W\d_]+", (t or "").lower()) if w]
+    size = lambda t: len((t or "").encode().split())
+
+    def classes(t):
+        other = [sum(c.isalpha() for c in t) - sum(c.isupper() for c in t), sum(c.isupper() for c in t), sum(c in "0123456789" for c in t), sum(c in " \t\n\v\f\r" for c in t)]
+        return np.array([*other, len(t) - sum(other)], float)
+
+    def distance(p, q):
+        p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+        part = lambda a: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, p + q - a) if x > 0)
+        return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+    solid = collections.defaultdict(list)
+    for _, t, lang in rows:
+        if size(t) >= 50:
+            solid[lang or ""].append(t)
+    counts = {lang: collections.Counter(w for t in ts for w in runs(t)) for lang, ts in solid.items()}
+    # five words of each language are clearly more frequent than others, so they are among the sketch's candidates
+    bins = sorted({w for c in counts.values() for w, _ in sorted(((w, n) for w, n in c.items()), key=lambda x: (-x[1], x[0]))[:5]})
+    want = {}
+    for i, t, lang in rows:
+        if size(t) < 50:
+            continue
+        ts, ref = solid[lang or ""], counts[lang or ""]
+        own, total = collections.Counter(runs(t)), max(len(runs(t)), size(t))
+        q = [ref[w] for w in bins]
+        q_all = sum(max(len(runs(x)), size(x)) for x in ts)
+        p = [own[w] for w in bins]
+        word = distance([*p, total - sum(p)], [*q, q_all - sum(q)])
+        usual = sum(q) / q_all * total
+        lacking = max(0, usual - sum(p))
+        if sum(q) and (sum(p) >= 20 or (usual >= 20 and sum(q) / q_all >= 0.1)):
+            word = max(word, distance([*p, lacking], [*q, 0]))
+        want[i] = (distance(classes(t), sum(map(classes, ts))), word)
+    for i, (a, b) in want.items():
+        assert (got[i].class_distance, got[i].word_distance) == (pytest.approx(a, abs=1e-6), pytest.approx(b, abs=1e-6)), i
+        assert got[i].kept == (not got[i].base_failed and a <= got[i].class_limit and b <= got[i].word_limit)
+    by_lang = {lang: [want[i] for i, _, x in rows if x == lang and i in want and not got[i].base_failed] for lang in ("en", "xx")}
+    for lang, held in by_lang.items():
+        one = got[next(i for i, _, x in rows if x == lang)]
+        for k, limit, low, high in ((0, one.class_limit, 0.15, 0.45), (1, one.word_limit, 0.5, 0.85)):
+            v = sorted(x[k] for x in held)
+            at = lambda f: v[max(0, int(np.ceil(f * len(v))) - 1)]  # noqa: E731, B023
+            assert limit == pytest.approx(min(max(at(0.75) + 3 * (at(0.75) - at(0.25)), low), high), abs=0.02)
+    assert not got[100].kept and got[102].class_distance is None
+
+
 def test_quality_compares_texts_of_few_common_words(spark):
     rng = random.Random(19)
     fine = [(i, " ".join(rng.choice(["the", "of", "and", "in", *rng.sample(WORDS, 6)]) for k in range(150)), "en") for i in range(60)]
