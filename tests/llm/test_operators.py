@@ -162,6 +162,21 @@ def test_top_k_equals_brute_force(spark):
     assert topk.search(df.where("false"), F.lit(True)).count() == 0 and topk.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_empty_and_mixed_vectors(spark):
+    rng = random.Random(31)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range([0, 2, 5][i % 3])]) for i in range(45)] + [(100, []), (101, None), (102, [1.0]), (6, [0.5, 0.5])]
+    df = spark.createDataFrame([(*r, b"x") for r in rows], "vec_id long, embedding array<double>, qid binary")
+    got = collections.defaultdict(list)
+    for r in topk.search(df, F.col("vec_id") % 6 == 0, pivots=3, block_rows=4, query_rows=2).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    v = {(i, tuple(x)): np.floor(256 * np.array(x)) for i, x in rows if x is not None}
+    for q in {i for i, _ in v if i % 6 == 0 and i != 6}:
+        own = next(x for (i, _), x in v.items() if i == q)
+        want = sorted((-int(x @ own), i) for (i, _), x in v.items() if i != q and len(x) == len(own))[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    assert not got[102] and len(got[6]) == 5
+
+
 # 4
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
