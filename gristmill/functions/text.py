@@ -92,10 +92,10 @@ def flatten(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """Share of white-space tokens that are words of two Latin letters or more once edge marks are off; blank: 0."""
-    edge = "[" + "".join("\\" + c for c in WORD_EDGES) + "]+"
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-    good = F.filter(tokens, lambda t: F.regexp_replace(t, f"^{edge}|{edge}$", "").rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]{2,}$"))
-    return F.when(F.size(tokens) > 0, F.round(F.size(good) / F.size(tokens), 3)).otherwise(F.lit(0.0))
+    edge = "[" + "".join("\\" + c for c in WORD_EDGES) + "]*"
+    words = F.regexp_count(text, F.lit(f"(?U)(?<!\\S){edge}[A-Za-zÀ-ÖØ-öø-ÿ]{{2,}}{edge}(?!\\S)"))
+    tokens = F.regexp_count(text, F.lit(r"(?U)\S+"))
+    return F.when(tokens > 0, F.round(words / tokens, 3)).otherwise(F.lit(0.0))
 
 
 def token_estimate(text: Column) -> Column:

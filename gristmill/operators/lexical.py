@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.sources.scratch import small
 
 
-def document_lengths(chunks: DataFrame) -> DataFrame:
-    """(rowid, dl): index tokens of text and section; rows without any count as 0."""
-    n = F.size(T.index_tokens(F.coalesce("text", F.lit("")))) + F.size(T.index_tokens(F.coalesce("section", F.lit(""))))
-    return chunks.select("rowid", n.cast("long").alias("dl"))
+def postings(chunks: DataFrame, asked: DataFrame | None = None, text_weight: float = 1.0, section_weight: float = 2.0) -> DataFrame:
+    """(kind, key, rowid, wtf, dl): weighted frequency of each index key in each row, and the row's length in tokens.
 
+    A row is tokenised once. Its tokens are spread over their exact and prefix keys, so a prefix query is an equi-join; with
+    ``asked`` (kind, key) other keys are dropped before anything is counted. Rows never meet in one group: the aggregation key
+    holds the rowid. Every row also has one entry of kind '' (wtf 0), from which the corpus' size and mean length come.
+    """
+    tokens = lambda c: T.index_tokens(F.coalesce(c, F.lit("")))
+    weighted = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+    cut = chunks.select("rowid", tokens("text").alias("t"), tokens("section").alias("s"))
+    each = cut.select("rowid", (F.size("t") + F.size("s")).cast("long").alias("dl"), F.explode(F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0.0).alias("w"))), weighted("t", text_weight), weighted("s", section_weight))).alias("x"))
+    none = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("key")))
+    keys = each.select("rowid", "dl", F.col("x.w").alias("w"), F.explode(F.when(F.col("x.token") == "", none).otherwise(T.index_keys(F.col("x.token")))).alias("k")).select("k.kind", "k.key", "rowid", "dl", "w")
+    if asked is not None:
+        wanted = asked.select("kind", "key").distinct()
+        keys = keys.join(small(wanted.unionByName(wanted.sparkSession.createDataFrame([("", "")], "kind string, key string"))), ["kind", "key"], "left_semi")
+    return keys.groupBy("kind", "key", "rowid", "dl").agg(F.sum("w").alias("wtf")).select("kind", "key", "rowid", "wtf", "dl")
 
-def postings(chunks: DataFrame, text_weight: float = 1.0, section_weight: float = 2.0) -> DataFrame:
-    """(kind, key, rowid, wtf): weighted frequency of each index key in each row.
 
-    Tokens are counted per row first, then spread over their exact and prefix keys, so a prefix
-    query is an equi-join. Rows never meet in one group: the aggregation key holds the rowid.
-    """
-    each = chunks.select("rowid", F.explode(F.array(
-        F.struct(F.coalesce("text", F.lit("")).alias("t"), F.lit(text_weight).alias("w")), F.struct(F.coalesce("section", F.lit("")).alias("t"), F.lit(section_weight).alias("w")))).alias("part"))
-    tokens = each.select("rowid", "part.w", F.explode(T.index_tokens(F.col("part.t"))).alias("token")).groupBy("rowid", "token").agg(F.sum("w").alias("w"))
-    keys = tokens.select("rowid", "w", F.explode(T.index_keys(F.col("token"))).alias("k"))
-    return keys.groupBy("k.kind", "k.key", "rowid").agg(F.sum("w").alias("wtf"))
+def document_lengths(index: DataFrame) -> DataFrame:
+    """(rowid, dl) of every row."""
+    return index.where("kind = ''").select("rowid", "dl")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -39,19 +45,20 @@ def term_frequencies(terms: DataFrame, index: DataFrame) -> DataFrame:
     return keys.join(index.groupBy("kind", "key").agg(F.count("*").alias("n")), ["kind", "key"], "left").select("kind", "key", F.coalesce("n", F.lit(0)).alias("df"))
 
 
-def bm25(terms: DataFrame, index: DataFrame, lengths: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
+def bm25(terms: DataFrame, index: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
     """(qid, rowid, score, rank) of the k best rows of each question; ties to the smaller rowid.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; a repeated term counts each time. Asked keys
-    select the postings by a semi join before anything is counted; N and the mean length are one broadcast row.
+    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; a repeated term counts each time. Asked keys select the postings
+    before anything is counted; N and the mean length are one row. Questions go to the postings, not the other
+    way round: up to a checked number of asked keys the postings of a common word stay where they are.
     """
     asked = terms.groupBy("qid", "kind", "key").agg(F.count("*").alias("times"))
-    hit = index.join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    hit = index.join(small(asked.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
     df = hit.groupBy("kind", "key").agg(F.count("*").alias("n"))
-    corpus = lengths.agg(F.count("*").cast("double").alias("rows_in_all"), F.avg("dl").alias("avgdl"))
+    corpus = document_lengths(index).agg(F.count("*").cast("double").alias("rows_in_all"), F.avg("dl").alias("avgdl"))
     idf = df.crossJoin(F.broadcast(corpus)).select("kind", "key", "avgdl", F.greatest(F.log((F.col("rows_in_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6)).alias("idf"))
     weighted = asked.join(idf, ["kind", "key"])
-    rows = hit.join(weighted, ["kind", "key"]).join(lengths, "rowid")
+    rows = hit.join(small(weighted), ["kind", "key"])
     part = F.col("times") * F.col("idf") * F.col("wtf") * (k1 + 1) / (F.col("wtf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("qid", "rowid").agg(F.round(F.sum(part), digits).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "rowid")

@@ -9,43 +9,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_QUERIES = 2048
+SCORED = "qid long, rowid long, score double"
+_SCHEMA = pa.schema([("qid", pa.int64()), ("rowid", pa.int64()), ("score", pa.float64())])
 
 
-def scored(queries: DataFrame, vectors: DataFrame, k: int = 50, digits: int = 6) -> DataFrame:
-    """(qid, rowid, score): for each question the k best rows of each scanned batch, and ties of the last.
+def _best(ids: np.ndarray, questions: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> list[np.ndarray]:
+    """qid, rowid and score of the k best rows of each question, and ties of the last; products in float64."""
+    products = np.round(questions @ vectors.T, digits)
+    if len(rows) > k:
+        last = np.partition(products, len(rows) - k, axis=1)[:, -k][:, None]
+        q, r = np.nonzero(products >= last)
+    else:
+        q, r = np.divmod(np.arange(products.size), max(1, len(rows)))
+    return [ids[q], rows[r].astype(np.int64), products[q, r]]
 
-    Queries go to the tasks in blocks of BLOCK_QUERIES, a fixed number of vectors each; every block is one pass over the
-    vectors, a task multiplies an Arrow batch at a time and keeps k rows of it. Products are float64. Null vectors are left out.
-    """
-    held = [(r.qid, r.embedding) for r in queries.where("embedding is not null").select("qid", "embedding").toLocalIterator()]
-    found = None
-    for s in range(0, max(1, len(held)), BLOCK_QUERIES):
-        part = _block(held[s : s + BLOCK_QUERIES], vectors, k, digits)
-        found = part if found is None else found.unionByName(part)
-    return found
 
+def scored(queries: DataFrame, vectors: DataFrame, k: int = 50, digits: int = 6, held_queries: int = 4096, block_queries: int = 2048, block_rows: int = 20_000) -> DataFrame:
+    """(qid, rowid, score): for each question the k best rows of each block of vectors, and ties of the last.
 
-def _block(asked: list, vectors: DataFrame, k: int, digits: int) -> DataFrame:
-    schema = pa.schema([("qid", pa.int64()), ("rowid", pa.int64()), ("score", pa.float64())])
-    ids = np.array([a[0] for a in asked], np.int64)
-    matrix = np.array([a[1] for a in asked], np.float64)
+    Up to ``held_queries`` questions, which are counted first, go to the tasks whole, and a task multiplies an Arrow batch at a
+    time. More of them are a table: blocks of questions meet blocks of vectors in a co-group, so neither side is
+    ever held by one process. Null vectors are left out.
+    """
+    asked = queries.where("embedding is not null").select("qid", "embedding")
+    held = vectors.where("embedding is not null").select("rowid", "embedding")
+    first = asked.limit(held_queries + 1).collect()
+    if len(first) > held_queries:
+        return _crossed(asked, held, k, digits, block_queries, block_rows)
+    ids, matrix = np.array([a[0] for a in first], np.int64), np.array([a[1] for a in first], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            products = np.round(matrix @ x.T, digits)
-            if b.num_rows > k:
-                last = np.partition(products, b.num_rows - k, axis=1)[:, -k][:, None]
-                q, r = np.nonzero(products >= last)
-            else:
-                q, r = np.divmod(np.arange(products.size), b.num_rows)
-            rows = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows[r].astype(np.int64)), pa.array(products[q, r])], schema=schema)
-
-    return vectors.where("embedding is not null").select("rowid", "embedding").mapInArrow(run, "qid long, rowid long, score double")
+            if b.num_rows and len(ids):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _best(ids, matrix, b.column(0).to_numpy(), x, k, digits))], schema=_SCHEMA)
+
+    return held.mapInArrow(run, SCORED)
+
+
+def _crossed(asked: DataFrame, held: DataFrame, k: int, digits: int, block_queries: int, block_rows: int) -> DataFrame:
+    blocks, shards = -(-asked.count() // block_queries), max(1, -(-held.count() // block_rows))
+    spread = lambda df, own, n, other, m, by: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = spread(asked, "block", blocks, "shard", shards, "qid"), spread(held, "shard", shards, "block", blocks, "rowid")
+
+    def score(q, x):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        if not len(q) or not len(x):
+            return pd.DataFrame({"qid": [], "rowid": [], "score": []}).astype({"qid": "int64", "rowid": "int64", "score": "float64"})
+        matrix = lambda c: np.stack(c.to_numpy()).astype(np.float64)
+        return pd.DataFrame(dict(zip(("qid", "rowid", "score"), _best(q["qid"].to_numpy(), matrix(q["embedding"]), x["rowid"].to_numpy(), matrix(x["embedding"]), k, digits))))
+
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(score, SCORED)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, digits: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import fusion, lexical, prompts, rules, vector
 from gristmill.sources.index_store import Index, check_embedder, check_probe, passages
+from gristmill.sources.scratch import materialised
 
 #: Adds an embedding to (qid, question) rows.
 Embed = Callable[[DataFrame], DataFrame]
@@ -30,7 +31,7 @@ class Engine:
     def search(self, questions: DataFrame) -> DataFrame:
         """(qid, rank, rowid, score, methods and passage columns) of the k passages of each question."""
         terms = lexical.query_terms(questions)
-        lex = lexical.bm25(terms, self.index.postings, self.index.lengths, self.candidates)
+        lex = lexical.bm25(terms, self.index.postings, self.candidates)
         vec = vector.top_k(self.embed(questions), self.index.chunks, self.candidates) if self.embed else lex.where("false")
         ranked = fusion.boosted(fusion.reciprocal_rank(lex, vec), self.index.chunks)
         hits = fusion.seated(ranked, self.k, self.seats).withColumn("methods", fusion.methods())
@@ -38,18 +39,18 @@ class Engine:
 
     def signals(self, questions: DataFrame) -> DataFrame:
         terms = lexical.query_terms(questions)
-        n = self.index.lengths.agg(F.count("*").alias("rows_in_all"))
+        n = lexical.document_lengths(self.index.postings).agg(F.count("*").alias("rows_in_all"))
         found = questions.select("qid").join(fusion.signals(terms, lexical.term_frequencies(terms, self.index.postings), n), "qid", "left")
         best = vector.best_cosine(self.embed(questions), self.index.chunks) if self.embed else found.select("qid", F.lit(None).cast("double").alias("cos_max"))
         return found.join(best, "qid", "left")
 
     def ask(self, questions: DataFrame, doctrine: DataFrame, system: str, generate: Embed | None = None) -> DataFrame:
         """(qid, refused, refusal, identification, system, user[, answer]). Refused questions don't reach ``generate``."""
-        hits = self.search(questions)
+        hits = materialised(self.search(questions))
         found = rules.outdated_doctrine(questions, hits, doctrine)
         warnings = prompts.doctrine_warnings(found, doctrine, rules.date_gap(hits))
         built = prompts.prompts(questions, prompts.excerpts(hits), system, warnings)
-        signals = self.signals(questions)
+        signals = materialised(self.signals(questions))
         no_hits = F.col("n_hits").isNull()
         refuse = fusion.refused(F.col("coverage"), F.col("cos_max"), self.semantic) | no_hits
         rows = questions.join(signals, "qid", "left").join(hits.groupBy("qid").agg(F.count("*").alias("n_hits")), "qid", "left").join(built, "qid", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.vectors import decode_probe
 from gristmill.operators import lexical
+from gristmill.sources.scratch import materialised, small
 
 SCHEMA_VERSION = "1"
 
@@ -23,7 +24,6 @@ class Index:
     chunks: DataFrame
     sources: DataFrame
     postings: DataFrame
-    lengths: DataFrame
     meta: dict[str, str]
 
 
@@ -31,13 +31,18 @@ def numbered(chunks: DataFrame) -> DataFrame:
     """rowid from 0 in the order of source and ordinal, from counts for each source, not from one sorted task."""
     from pyspark.sql import Window
 
-    sizes = chunks.groupBy("source_id").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source_id", "base")
+    # sums over 1024 ranges of sources first, so that no task sees all sources
+    sizes = chunks.groupBy("source_id").agg(F.count("*").alias("n")).repartitionByRange(1024, "source_id").withColumn("range", F.spark_partition_id())
+    sizes = materialised(sizes)
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n"))
+    before = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = Window.partitionBy("range").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("within", F.coalesce(F.sum("n").over(own), F.lit(0))).join(F.broadcast(before), "range").select("source_id", (F.col("before") + F.col("within")).alias("base"))
     return chunks.join(base, "source_id").withColumn("rowid", F.col("base") + F.col("ordinal") - 1).drop("base")
 
 
 def build(chunks: DataFrame, sources: DataFrame, path: str, embedder: dict[str, str] | None = None, probe: str = "") -> None:
-    """Write chunks (with rowid; embedding optional), the sources they use, postings, lengths and metadata. Existing tables are replaced.
+    """Write chunks (with rowid; embedding optional), the sources they use, postings and metadata. Existing tables are replaced.
 
     Raises ValueError if some rows have an embedding and others none. Postings are range-partitioned by key, so a lookup reads few files.
     """
@@ -47,8 +52,7 @@ def build(chunks: DataFrame, sources: DataFrame, path: str, embedder: dict[str,
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     held = chunks.sparkSession.read.parquet(f"{path}/chunks")
     sources.join(held.select(F.col("source_id").alias("id")), "id", "left_semi").write.mode("overwrite").parquet(f"{path}/sources")
-    lexical.postings(held).repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    lexical.document_lengths(held).write.mode("overwrite").parquet(f"{path}/lengths")
+    lexical.postings(held).repartitionByRange("kind", "key", "rowid").sortWithinPartitions("kind", "key").write.mode("overwrite").parquet(f"{path}/postings")
     meta = {"schema_version": SCHEMA_VERSION, "chunk_count": str(counts.n), "source_count": str(counts.s), "embed_probe": probe} | (embedder or {})
     rows = held.sparkSession.createDataFrame([*meta.items()], "key string, value string")
     rows.unionByName(rows.limit(1).select(F.lit("built_at").alias("key"), F.current_timestamp().cast("string").alias("value"))).write.mode("overwrite").parquet(f"{path}/meta")
@@ -62,7 +66,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     except AnalysisException as e:
         raise FileNotFoundError(f"no index at {path}: build it first") from e
     read = lambda n: spark.read.parquet(f"{path}/{n}")
-    return Index(read("chunks"), read("sources"), read("postings"), read("lengths"), meta)
+    return Index(read("chunks"), read("sources"), read("postings"), meta)
 
 
 def check_embedder(meta: dict[str, str], name: str, backend: str = "") -> None:
@@ -95,5 +99,5 @@ def passages(chunks: DataFrame, sources: DataFrame, rowids: DataFrame) -> DataFr
     """Chunks of the given rows with their source's facts; chunks of unknown sources drop out."""
     from gristmill.operators.fusion import defaults
 
-    held = defaults(chunks.join(rowids.select("rowid").distinct(), "rowid", "left_semi"))
+    held = defaults(chunks.join(small(rowids.select("rowid").distinct()), "rowid", "left_semi"))
     return held.join(sources.select(F.col("id").alias("source_id"), "title", F.coalesce("author", F.lit("")).alias("author"), "date", "licence"), "source_id")

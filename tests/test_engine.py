@@ -61,7 +61,7 @@ def test_bm25_equals_sqlite(spark):
     db.execute("create virtual table f using fts5(t, s, tokenize='unicode61 remove_diacritics 2')")
     db.executemany("insert into f(rowid, t, s) values (?, ?, ?)", [(i + 1, t, s) for i, t, s in docs])
     chunks = spark.createDataFrame(docs, "rowid long, text string, section string")
-    found = lexical.bm25(lexical.query_terms(spark.createDataFrame(asked, "qid long, question string")), lexical.postings(chunks), lexical.document_lengths(chunks))
+    found = lexical.bm25(lexical.query_terms(spark.createDataFrame(asked, "qid long, question string")), lexical.postings(chunks))
     ours = {}
     for r in found.orderBy("qid", "rank").collect():
         ours.setdefault(r.qid, []).append((r.rowid, r.score))
@@ -71,6 +71,25 @@ def test_bm25_equals_sqlite(spark):
         assert sorted(theirs, key=lambda x: (-x[1], x[0]))[:50] == [(i, pytest.approx(s, abs=2e-9)) for i, s in ours[qid]]
 
 
+def test_bm25_asks_only_for_its_keys(spark):
+    chunks = spark.createDataFrame([(1, "eau de pluie", "eau"), (2, "feu", None), (3, None, None)], "rowid long, text string, section string")
+    asked = lexical.query_terms(spark.createDataFrame([(1, "eau eau")], "qid long, question string"))
+    few, whole = lexical.postings(chunks, asked), lexical.postings(chunks)
+    assert rows(few, "rowid", "kind") == [("", "", 1, 0.0, 4), ("x", "eau", 1, 3.0, 4), ("", "", 2, 0.0, 1), ("", "", 3, 0.0, 0)]
+    assert rows(lexical.bm25(asked, few), "rank") == rows(lexical.bm25(asked, whole), "rank") and rows(lexical.document_lengths(whole), "rowid") == [(1, 4), (2, 1), (3, 0)]
+
+
+def test_vector_blocks_equal_one_product(spark):
+    rng = np.random.default_rng(4)
+    q = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(5)]) for i in range(23)], "qid long, embedding array<double>")
+    v = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(5)]) for i in range(101)], "rowid long, embedding array<double>")
+    order = ("qid", "rowid")
+    from pyspark.sql import Window
+
+    top = lambda df: rows(df.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rowid"))).where("n <= 3"), *order)
+    assert top(vector.scored(q, v, 3, held_queries=5, block_queries=7, block_rows=20)) == top(vector.scored(q, v, 3))
+
+
 def test_vector_top_k_and_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "rowid long, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, embedding array<float>")
