@@ -39,6 +39,15 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 16_777_216) -> None:
+    """Arrow batches of this session have ``most`` bytes at most from now on: a batch stands several times in an executor's
+    memory, outside of the heap and in its workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    if held is None or not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most:
+        spark.conf.set(name, str(most))
+
+
 def exchange_width(df: DataFrame) -> int:
     """Partitions for a packed exchange: the session's shuffle width, or the input's splits if those are more."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, LONGEST_KEY, batch_of, released, written
+from .common import ASCII_LOWER, LONGEST_KEY, batch_of, released, small_batches, written
 from .exchange import exchanged
 
 #: The end of a document as a token; no word can hold its byte, which is a separator.
@@ -365,8 +365,7 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
     Null and empty texts are the end alone. Without training rows all counts are 0 and the model knows only the rare class.
     Rows are scored one by one; other columns are not read.
     """
-    import xxhash  # noqa: F401
-
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out.alias("held_out"))
     training = rows.where(~F.coalesce("held_out", F.lit(False)))
     counts = written(token_counts(training))

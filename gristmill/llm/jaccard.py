@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, batch_of, exchange_width, mixed, released, window_hashes, written
+from .common import ASCII_LOWER, WordHashes, batch_of, exchange_width, mixed, released, small_batches, window_hashes, written
 from .exchange import doc_bucket, exchanged, key_bucket, packed
 
 
@@ -79,6 +79,20 @@ class Bounds:
         least = f"least({sample(a)} - {a}n, {sample(b)} - {b}n) + ({t} * {both} + {99 + t}) div {100 + t}"
         return f"100 * least({a}n, {b}n) >= {t} * greatest({a}n, {b}n) and least({a}rest, {b}rest) >= {least}"
 
+    def may_match(self, a: str, b: str) -> str:
+        """SQL: whether the parity bits of two members leave room."""
+        differ = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in BITS)
+        return f"({differ}) * {100 + self.percent} <= {100 - self.percent} * ({a}n + {b}n)"
+
+
+BITS = [f"b{i}" for i in range(8)]
+
+
+def parity_bits(shingles: np.ndarray) -> list[int]:
+    """512 bits, each the parity of the elements that fall on it: two sets differ in at least as many elements as in bits."""
+    counts = np.bincount((mixed(shingles) >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the similarity."""
@@ -275,7 +289,7 @@ def prefixes(docs: DataFrame, size: int, bounds: Bounds, names: Names) -> DataFr
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int, names: Names, bits: int = 1 << 25) -> DataFrame:
-    """(node, set as little-endian uint64): of each wanted node.
+    """(node, n, parity bits, set as little-endian uint64): of each wanted node.
 
     A bitmap of ``bits`` bits, whatever the number of nodes, keeps most other sets from being sent; the join decides.
     """
@@ -283,7 +297,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int, names: Names, bits:
     bitmap = np.zeros(bits // 32, np.uint32)
     bitmap[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint32)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("node", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("node", "n", *BITS)), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, out, filled = WordHashes(), set(), [], 0
@@ -293,7 +307,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int, names: Names, bits:
                 if not len(shingles) or (node := names.both(shingles)[0]) in seen or not held.value[(node % bits) >> 5] >> np.uint32(node % bits % 32) & 1:
                     continue
                 seen.add(node)
-                out.append((node, shingles.tobytes()))
+                out.append((node, len(shingles), *parity_bits(shingles), shingles.tobytes()))
                 filled += 8 * len(shingles)
                 if filled > 16_000_000:
                     yield batch_of(schema, [*map(list, zip(*out))])
@@ -303,7 +317,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int, names: Names, bits:
         if out:
             yield batch_of(schema, [*map(list, zip(*out))])
 
-    return docs.select("text").mapInArrow(released(run), "node long, data binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(released(run), ", ".join(f"{c} long" for c in ("node", "n", *BITS)) + ", data binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -342,14 +356,18 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, size: int, percent: int, names: Names, star_rounds: int = 2) -> DataFrame:
+#: Pivots of the star rounds.
+PIVOTS = (2, 8, 16)
+
+
+def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
     """(node, label) of all nodes that have a link.
 
-    Rounds over the groups: each member against its group's first; then, ``star_rounds`` times, in each list of groups that
-    share a prefix element one pivot against the groups that aren't in its component yet, so a group of copies costs a pair
-    for each member. What is still apart after that is verified group pair by group pair, each expanded to its
-    members, except pairs verified before: no link between components is lost. A list whose groups share an
-    element without being similar does cost a pair for every two of them that size and position can't tell apart.
+    Rounds over the groups: each member against its group's first; then, for each number of ``pivots``, in each list of groups that
+    share a prefix element so many pivots against the groups that aren't in their components yet, so a group of copies costs a few
+    pairs for each member. What is still apart after that is verified group pair by group pair, each expanded to its
+    members, except pairs verified before: no link between components is lost. Members that size, position or
+    the parity of 512 classes of elements tell apart don't become pairs; those of a list that are almost similar do.
     """
     spark: SparkSession = docs.sparkSession
     bounds = Bounds(percent)
@@ -373,16 +391,19 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, star_rounds:
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     room = bounds.may_reach("", "p_")
-    for turn in range(star_rounds + 2):
+    facts = sets.select("node", "n", *BITS)
+    for turn in range(len(pivots) + 2):
         if not turn:
             pairs = within.select(*pair("gid", "node"))
-        elif turn <= star_rounds:
+        elif turn <= len(pivots):
             own = labelled(lists, "gid")
-            split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "label", "n", "rest")).alias("pivot")).where("low <> high")
-            other = split.select("element", *(F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("gid", "label", "n", "rest")))
+            row = ("gid", "label", "n", "rest")
+            each = [F.min(F.struct(F.xxhash64("gid", F.lit(turn), F.lit(k)).alias("h"), *row)) for k in range(pivots[turn - 1])]
+            split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array(*each).alias("pivots")).where("low <> high")
+            other = split.select("element", F.explode(F.array_distinct(F.transform("pivots", lambda x: F.struct(*[x[c].alias(f"p_{c}") for c in row])))).alias("p")).select("element", "p.*")
             pairs = own.join(other, "element").where(F.col("label") != F.col("p_label")).where(room).select(*pair("gid", "p_gid"))
         else:
-            units = written(labelled(members, "node"))
+            units = written(labelled(members, "node").join(facts, "node"))
             parts = units.select("gid", "label").distinct()
             own = lists.join(parts, "gid")
             split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
@@ -391,7 +412,8 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, star_rounds:
             met = own.join(other, "element").where("gid < p_gid and label <> p_label").where(room).select("gid", "label", "p_gid", "p_label")
             apart = parts.join(parts.select("gid", F.col("label").alias("p_label")), "gid").where("label < p_label").select("gid", "label", F.col("gid").alias("p_gid"), "p_label")
             both = met.unionByName(apart).distinct()
-            pairs = both.join(units, ["gid", "label"]).withColumnRenamed("node", "x").join(units.select(F.col("gid").alias("p_gid"), F.col("label").alias("p_label"), "node"), ["p_gid", "p_label"]).select(*pair("x", "node"))
+            theirs = units.select(*(F.col(c).alias(f"p_{c}") for c in units.columns))
+            pairs = both.join(units, ["gid", "label"]).join(theirs, ["p_gid", "p_label"]).where(bounds.may_match("", "p_")).select(*pair("node", "p_node"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -408,14 +430,15 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, star_rounds:
     return labels
 
 
-def labelled_rows(docs: DataFrame, size: int, percent: int, star_rounds: int, bits: int) -> DataFrame:
+def labelled_rows(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     """(doc_id, row_key, n_shingles, node, label) of every row; label names the component, null for rows without words."""
+    small_batches(docs.sparkSession)
     rows, names = named_rows(docs, size, bits)
-    labels = linked(docs, size, percent, names, star_rounds)
+    labels = linked(docs, size, percent, names)
     return rows.drop("proof").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 2, bits: int = 64) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
 
     Two rows link when 100 * intersection >= percent * union of their sets. Null texts and texts without words have
@@ -424,7 +447,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 2
     Sets are told apart by 128 bits, shingles of two sets that are compared by 64 (a wrong match in about 1 of 10**12 pairs
     of 1,000 shingles).
     """
-    rows = written(labelled_rows(docs, size, percent, star_rounds, bits))
+    rows = written(labelled_rows(docs, size, percent, bits))
     first = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.join(first, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -433,16 +456,16 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_row
     """The rows of docs without near duplicates: of each component one row stays, of the smallest doc_id (rows without one come last).
 
     Rows are told apart by doc_id and text, so rows that share a doc_id are judged by their own texts; of rows that are
-    equal in both one stays. Rows without words link with nothing and all stay. The keys of removed rows are broadcast only up to
-    ``broadcast_rows``.
+    equal in both one stays. Rows without words link with nothing and all stay. The keys of removed rows, and the components of
+    several rows, are broadcast only up to ``broadcast_rows``.
     """
-    rows = written(labelled_rows(docs, size, percent, 2, bits).where("label is not null").select("doc_id", "row_key", "label"))
+    rows = written(labelled_rows(docs, size, percent, bits).where("label is not null").select("doc_id", "row_key", "label"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    chosen = rows.groupBy("label").agg(F.min(order).alias("first"))
-    out = rows.join(chosen, "label").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    several = written(rows.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    out = rows.join(small(several), "label").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
     again = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
     out, again = written(out), written(again)
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     own = docs.withColumn("_own", F.xxhash64("doc_id", "text"))
     same = [F.col("_own") == F.col("_key"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))]
     kept = own.join(small(out), same, "left_anti")

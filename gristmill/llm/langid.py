@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, released
+from .common import batch_of, released, small_batches
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 UNDETERMINED = "und"
@@ -92,6 +92,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_lead: int = MIN
     are not read. Narrow: no shuffle. The dictionaries are bounded (see fit) and travel in the closure.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries, min_lead=min_lead, min_margin=min_margin)
         for b in batches:
@@ -105,6 +107,8 @@ def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], min_lead: int
     """The rows of docs, all columns as they are, whose language is predicted with a margin that isn't narrow. No shuffle."""
     place = docs.columns.index("text")
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries, min_lead=min_lead, min_margin=min_margin)
         for b in batches:

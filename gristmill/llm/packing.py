@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LONGEST_KEY, batch_of, released, written
+from .common import LONGEST_KEY, batch_of, released, small_batches, written
 
 #: The pre-tokenisation pattern of the byte-level vocabulary, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,19 +36,28 @@ class ByteBPE(dict):
     """
 
     def __init__(self, tokenizer_file: str, most: int = 200_000):
+        import json
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.most = most
-        self.model = Tokenizer.from_file(tokenizer_file)
+        self.most, self.file, self._model = most, tokenizer_file, None
         raw = byte_characters()
-        ranks = {bytes(raw[c] for c in t): i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t != SPECIAL}
+        with open(tokenizer_file, encoding="utf-8") as f:
+            ranks = {bytes(raw[c] for c in t): i for t, i in json.load(f)["model"]["vocab"].items() if t != SPECIAL}
         self._merge = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
+    @property
+    def model(self):  # noqa: ANN201
+        """The tokenizer file in its own library, loaded where a text needs it."""
+        if self._model is None:
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(self.file)
+        return self._model
+
     def __missing__(self, chunk: str) -> bytes:
         found = array("I", self._merge(chunk)).tobytes()
         if len(chunk) <= LONGEST_KEY:
@@ -295,6 +304,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, gap: float
     the same doc_id are packed one by one. The tokenised table is written to the shared folder, so a
     lost executor can't change ranks between the passes. Other columns are not read. No rows: no pieces.
     """
+    small_batches(docs.sparkSession)
     held = written(tokenised(docs, tokenizer_file, capacity))
     by_task = held.groupBy("part", "tail_length").agg(F.count("*").alias("n"))
     counts = {r.tail_length: r.n for r in by_task.groupBy("tail_length").agg(F.sum("n").alias("n")).collect() if r.tail_length}

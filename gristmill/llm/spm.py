@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LONGEST_KEY, batch_of, released
+from .common import LONGEST_KEY, batch_of, released, small_batches
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _RUNS = re.compile(" *[^ ]+| +")
@@ -108,6 +108,8 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     ends). Repeated rows give repeated results; other columns are not read.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = chunk_table(model_file)
         for b in batches:

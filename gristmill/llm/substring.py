@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, exchange_width, released, window_hashes, words_of
+from .common import WordHashes, batch_of, exchange_width, released, small_batches, window_hashes, words_of
 from .exchange import PACKED, Outbox, doc_bucket, exchanged, repeated_places, sent, unpacked
 
 
@@ -112,6 +112,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = 35, period: int = 21
     key = F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1).alias("_key")
     base = docs.select(key, "text", *rest) if rows_too else docs.select(key, "text", F.col("doc_id").cast("long").alias("doc_id"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    small_batches(docs.sparkSession)
     width = exchange_width(base)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

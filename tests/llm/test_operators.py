@@ -144,6 +144,18 @@ def test_byte_bpe_equals_library():
         assert np.frombuffer(coder.encode(x), "<u4").tolist() == coder.model.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_ids_of_whole_texts_equal_library():
+    import pyarrow.parquet as pq
+    from pathlib import Path
+
+    data = Path("/root/testdata/sf0.001/documents.parquet")
+    if not data.exists():
+        pytest.skip("no driver tables")
+    coder = packing.ByteBPE(P.path("byte_bpe_50k.json"))
+    for t in pq.read_table(data, columns=["text"]).column(0).to_pylist():
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == coder.model.encode(t or "", add_special_tokens=False).ids
+
+
 # 3
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
