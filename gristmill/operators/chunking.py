@@ -117,7 +117,7 @@ def chunks(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def with_source_facts(found: DataFrame, sources: DataFrame) -> DataFrame:
     """Chunks with priority and language of their source, where the manifest knows it."""
-    return found.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "priority", "lang")), "source_id", "left")
+    return found.join(sources.select(F.col("id").alias("source_id"), "priority", "lang"), "source_id", "left")
 
 
 def chunk_report(found: DataFrame) -> DataFrame:
@@ -128,3 +128,9 @@ def page_report(pages: DataFrame, low: float = 0.55) -> DataFrame:
     """Pages, OCR pages, pages of low quality and the mean of those, by source."""
     bad = F.col("quality") < low
     return pages.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if("ocr").alias("ocr_pages"), F.count_if(bad).alias("low_pages"), F.round(F.avg(F.when(bad, F.col("quality"))), 3).alias("mean_low"))
+
+
+def embedding_text() -> F.Column:
+    """What of a chunk is embedded: its section and text, as a title often says what the paragraph doesn't."""
+    section = F.coalesce("section", F.lit(""))
+    return F.when(section != "", T.strip(F.concat(section, F.lit("\n"), "text"))).otherwise(F.col("text"))

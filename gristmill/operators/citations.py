@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The form of a citation, and the marks that hide it while sentences are cut.
+from gristmill.functions import text as T
+
+# The form of a citation, and what a reader is told of a wrong one.
 CITATION = r"(?i)\[([a-z0-9][a-z0-9._-]*)\s+p\.\s*(\d+)\]"
-_SENTENCE = "([^.!?\\n]+[.!?]*(?:\\s*\\x00\\d+\\x00)*)"
+UNKNOWN_SOURCE = ("« ", " » ne fait pas partie des extraits transmis")
+OUTSIDE_PAGE = ("« ", " » a été transmis pour la ou les pages ", ", pas la page ")
+NO_SOURCE = "affirmation sans citation"
+PROBLEMS_HEAD = "\n⚠ VÉRIFICATION DES CITATIONS — problèmes détectés :"
+PROBLEMS_FOOT = "\n  Une citation invalide signale une réponse potentiellement\n  inventée. Vérifie directement les extraits ci-dessous."
+#: A citation as one unit of a sentence: its own dot ends nothing.
+_UNIT = r"\[[a-zA-Z0-9][a-zA-Z0-9._-]*+\s++[pP]\.\s*+\d++\]"
+#: Units and characters up to an end mark or line break, the marks, then the citations that follow.
+_SENTENCE = rf"(?:{_UNIT}|[^.!?\n])++[.!?]*+(?:\s*+{_UNIT})*+"
 
 
 def cited(answers: DataFrame) -> DataFrame:
@@ -29,19 +39,8 @@ def judged(answers: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def sentences(answer: Column) -> Column:
-    """Sentences of an answer, each with the citations that follow it; a citation's own dot cuts nothing."""
-    found = F.regexp_extract_all(answer, F.lit("(" + CITATION.replace("(?i)", "").replace("([a-z0-9][", "(?:[A-Za-z0-9][").replace("._-]*)", "A-Z._-]*)").replace("(\\d+)", "\\d+") + ")"), 1)
-    start = F.struct(answer.alias("text"), F.lit(0).alias("n"))
-
-    def hide(a: Column, c: Column) -> Column:
-        at = F.position(c, a["text"])
-        rest = F.substr(a["text"], at + F.length(c))
-        return F.struct(F.concat(F.substr(a["text"], F.lit(1), at - 1), F.lit("\0"), a["n"].cast("string"), F.lit("\0"), rest).alias("text"), (a["n"] + 1).alias("n"))
-
-    masked = F.aggregate(found, start, hide, lambda a: a["text"])
-    cut = F.regexp_extract_all(masked, F.lit(_SENTENCE), 1)
-    pairs = F.transform(found, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    return F.transform(cut, lambda s: F.trim(F.aggregate(pairs, s, lambda a, p: F.replace(a, F.concat(F.lit("\0"), p["i"].cast("string"), F.lit("\0")), p["c"]))))
+    """Sentences of an answer, each with the citations that follow it, without edge blanks."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(f"({_SENTENCE})"), 1), T.strip)
 
 
 def unsourced(answers: DataFrame, min_chars: int = 45, cut: int = 110) -> DataFrame:
@@ -64,13 +63,24 @@ def report(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return all_.select("qid", *[zero(c) for c in ("citations", "valid", "unknown_sources", "outside_pages", "unsourced")], F.when(F.col("citations") > 0, F.round(F.col("valid") / F.col("citations"), 6)).otherwise(0.0).alias("rate"))
 
 
+def problems(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, part, pos, kind, detail, excerpt): wrong citations in order, then sentences without one."""
+    a = F.coalesce("answer", F.lit(""))
+    marks = answers.select("qid", F.posexplode(F.regexp_extract_all(a, F.lit(f"({CITATION})"), 1)).alias("pos", "excerpt"))
+    given = hits.select("qid", F.lower("source_id").alias("source_id"), F.explode(F.sequence("page_from", "page_to")).alias("p")).groupBy("qid", "source_id").agg(T.page_list(F.sort_array(F.collect_set("p"))).alias("given"))
+    wrong = judged(answers, hits).where("kind <> 'ok'").join(given, ["qid", "source_id"], "left").join(marks, ["qid", "pos"])
+    name = F.col("source_id")
+    detail = F.when(F.col("kind") == "source-inconnue", F.concat(F.lit(UNKNOWN_SOURCE[0]), name, F.lit(UNKNOWN_SOURCE[1]))).otherwise(F.concat(F.lit(OUTSIDE_PAGE[0]), name, F.lit(OUTSIDE_PAGE[1]), "given", F.lit(OUTSIDE_PAGE[2]), F.col("page").cast("string")))
+    loose = unsourced(answers).select("qid", F.lit(1).alias("part"), "pos", F.lit("phrase-sans-source").alias("kind"), F.lit(NO_SOURCE).alias("detail"), "excerpt")
+    return wrong.select("qid", F.lit(0).alias("part"), "pos", "kind", detail.alias("detail"), "excerpt").unionByName(loose)
+
+
 def annotated(answers: DataFrame, hits: DataFrame) -> DataFrame:
-    """answers with the problems found listed behind the text."""
-    wrong = judged(answers, hits).where("kind <> 'ok'").select("qid", F.lit(0).alias("part"), "pos", F.concat("kind", F.lit(" : ["), "source_id", F.lit(" p."), F.col("page").cast("string"), F.lit("]")).alias("line"))
-    loose = unsourced(answers).select("qid", F.lit(1).alias("part"), "pos", F.concat(F.lit("phrase-sans-source : "), "excerpt").alias("line"))
-    lines = wrong.unionByName(loose).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "pos", "line"))), lambda x: F.concat(F.lit("  • "), x["line"])), "\n").alias("problems"))
-    head = "\n\n⚠ VÉRIFICATION DES CITATIONS — problèmes détectés :\n"
-    return answers.join(lines, "qid", "left").select("qid", F.when(F.col("problems").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit(head), "problems")).alias("answer"))
+    """answers with the problems found listed behind the text, each with where it stands."""
+    line = F.concat(F.lit("  • "), "kind", F.lit(" : "), "detail", F.lit("\n    dans : "), "excerpt").alias("line")
+    listed = problems(answers, hits).select("qid", F.struct("part", "pos", line).alias("x")).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("problems"))
+    told = F.concat("answer", F.lit("\n" + PROBLEMS_HEAD + "\n"), "problems", F.lit("\n" + PROBLEMS_FOOT))
+    return answers.join(listed, "qid", "left").select("qid", F.when(F.col("problems").isNull(), F.col("answer")).otherwise(told).alias("answer"))
 
 
 def citation(source_id: str = "source_id", page: str = "page_from") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.sources.scratch import small
 
 # Phrasings and species stems that mark a question as one of identification.
 IDENTIFICATION = (
@@ -50,7 +51,7 @@ def outdated_doctrine(questions: DataFrame, hits: DataFrame, rules: DataFrame, m
     Otherwise the excerpts dated before the pivot year count together, with a subject of several words or two different ones.
     Hits: (qid, rank, section, text, date). Order: by question first, critical first, id; at most ``most``.
     """
-    few = F.broadcast(rules.select("id", "pivot_year", "critical", F.transform("subjects", T.fold).alias("subjects")))
+    few = small(rules.select("id", "pivot_year", "critical", F.transform("subjects", T.fold).alias("subjects")))
     asked = questions.select("qid", T.fold(F.coalesce("question", F.lit(""))).alias("q")).crossJoin(few)
     direct = asked.where(F.exists("subjects", lambda s: F.contains(F.col("q"), s))).select("qid", "id", "critical", F.lit(True).alias("by_question"))
     old = hits.where(F.col("date").isNotNull() & (F.col("date") != 0)).join(few, F.col("date") < F.col("pivot_year"))
@@ -75,7 +76,7 @@ def checklist_route(questions: DataFrame, checklists: DataFrame) -> DataFrame:
     checklists (name, title, triggers array, body) is a curated list of a few rows. A trigger within the question scores 10 if it has several words, else 6; one
     that shares a part with a word of the question 2. A word in the title adds 3, each different word in the body 1.
     """
-    few = F.broadcast(checklists.select("name", T.fold(F.col("title")).alias("title"), T.fold(F.col("body")).alias("body"), F.transform("triggers", T.fold).alias("triggers")))
+    few = small(checklists.select("name", T.fold(F.col("title")).alias("title"), T.fold(F.col("body")).alias("body"), F.transform("triggers", T.fold).alias("triggers")))
     asked = questions.select("qid", T.fold(F.coalesce("question", F.lit(""))).alias("q")).withColumn("words", F.regexp_extract_all("q", F.lit("([a-z0-9]{3,})"), 1))
     pairs = asked.crossJoin(few)
     one = lambda t: F.when(F.contains(F.col("q"), t), F.when(F.contains(t, F.lit(" ")), 10).otherwise(6)).when(F.exists("words", lambda w: F.contains(t, w) | F.contains(w, t)), 2).otherwise(0)
@@ -95,14 +96,31 @@ def select_articles(articles: DataFrame, seeds: DataFrame, exclusions: list[str]
     kept = articles.where(F.coalesce("title", F.lit("")) != "")
     for x in exclusions:
         kept = kept.where(~F.contains(low, F.lit(x.lower())))
-    few = F.broadcast(seeds.select(F.lower("term").alias("term"), "weight"))
+    few = small(seeds.select(F.lower("term").alias("term"), "weight"))
     hit = kept.withColumn("low", low).join(few, F.contains(F.col("low"), F.col("term")) | F.contains(F.col("term"), F.col("low")))
     return hit.groupBy("path").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "path").limit(most)
 
 
+def search_articles(articles: DataFrame, seeds: DataFrame, each: int = 120, most: int = 25_000) -> DataFrame:
+    """(path, weight): the ``each`` best articles of every seed by full text over title and body, by summed weight, then path.
+
+    articles (path, title, html); seeds (term, weight) is a curated list. A seed's words are one question.
+    """
+    from . import lexical
+
+    held = articles.select(F.xxhash64("path").alias("rowid"), "path", F.coalesce("title", F.lit("")).alias("section"), T.html_to_text(F.coalesce("html", F.lit(""))).alias("text"))
+    asked = seeds.select(F.xxhash64("term", "weight").alias("qid"), F.col("term").alias("question"), "weight")
+    terms = lexical.query_terms(asked)
+    best = lexical.bm25(terms, lexical.postings(held, terms), each)
+    found = best.join(asked.select("qid", "weight"), "qid").groupBy("rowid").agg(F.sum("weight").alias("weight")).join(held.select("rowid", "path"), "rowid")
+    return found.select("path", "weight").orderBy(F.desc("weight"), "path").limit(most)
+
+
 def archive_pages(articles: DataFrame, selected: DataFrame, min_chars: int = 400, max_chars: int = 60_000) -> DataFrame:
     """(page, path, text): selected html articles in order of selection, title on top, numbered after short ones are dropped."""
     text = T.html_to_text(F.col("html"))
     rows = articles.where("mimetype like 'text/html%' and not is_redirect").join(selected, "path").withColumn("text", text).where(F.length("text") >= min_chars)
     cut = F.concat("title", F.lit("\n\n"), F.substring("text", 1, max_chars))
-    return rows.select(F.row_number().over(Window.orderBy(F.desc("weight"), "path")).alias("page"), "path", cut.alias("text"))
+    # the selection is limited, so its order is one short list
+    places = rows.select("path", F.row_number().over(Window.orderBy(F.desc("weight"), "path")).alias("page"))
+    return rows.join(places, "path").select("page", "path", cut.alias("text"))

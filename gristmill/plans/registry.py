@@ -16,6 +16,7 @@ from gristmill.functions.vectors import hashed_embedding
 from gristmill.operators import chunking, citations, evaluation, fusion, lexical, prompts, rules, vector
 from gristmill.sources import index_store
 from gristmill.sources.readers import html_table
+from gristmill.sources.scratch import materialised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,11 +185,16 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query(f"SELECT doc_id, b AS pos, p AS paragraph FROM (SELECT doc_id, unnest(range(len(ps)))::INTEGER AS b, unnest(ps) AS p FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)))")
+_HEADING = "regexp_matches(x, " + _text(T.HEADING_PATTERN) + ") AND length(x) < 90 AND NOT contains(x, chr(10)) AND NOT regexp_matches(x, '(?i)[,;:]$|(?:^|[^\\p{L}\\p{N}_])(et|ou|de|du|des|le|la|les|un|une|à|au)$')"
+
+
+@query(f"""WITH ps AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM documents),
+each AS (SELECT doc_id, unnest(range(len(ps)))::INTEGER AS pos, unnest(ps) AS x FROM ps)
+SELECT doc_id, pos, {_HEADING} AS is_heading, CASE WHEN {_HEADING} THEN {STRIP("regexp_replace(x, '^[# ]+|[# ]+$', '', 'g')")} ELSE x END AS paragraph FROM each""")
 def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
     paged = read(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     each = paged.select("doc_id", F.posexplode(T.blocks(F.col("text"))).alias("pos", "b"))
-    return each.select("doc_id", "pos", F.col("b.text").alias("paragraph"))
+    return each.select("doc_id", "pos", "b.is_heading", F.col("b.text").alias("paragraph"))
 
 
 # ---- full text ----
@@ -272,13 +278,6 @@ def excerpt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return prompts.excerpts(_hits(spark, d))
 
 
-@query()
-def prompt_text(spark: SparkSession, d: str) -> DataFrame:
-    hits, asked = _hits(spark, d), questions(spark, d)
-    warnings = prompts.doctrine_warnings(rules.outdated_doctrine(asked, hits, doctrine(spark)), doctrine(spark), rules.date_gap(hits))
-    return prompts.prompts(asked, prompts.excerpts(hits), "Réponds avec les extraits.", warnings)
-
-
 # ---- relations between tables ----
 @query("SELECT source AS source_id, count(*) AS chunks FROM documents GROUP BY source")
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +292,8 @@ def source_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def used_sources(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "customer").select("c_custkey").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    customers, orders = read(spark, d, "customer").select(F.col("c_custkey").alias("id")), read(spark, d, "orders").select(F.col("o_custkey").alias("source_id"))
+    return index_store.used_sources(customers, orders).withColumnRenamed("id", "c_custkey")
 
 
 @query(f"WITH {HITS} SELECT DISTINCT d.doc_id AS rowid, d.source AS source_id, '[' || d.source || ' p.' || d.doc_id || ']' AS citation, CASE WHEN q <> 0 THEN q ELSE 1.0 END AS quality FROM (SELECT *, {QUALITY('text')} AS q FROM documents) d WHERE doc_id IN (SELECT rowid FROM hits)")
@@ -321,14 +321,15 @@ def page_report(spark: SparkSession, d: str) -> DataFrame:
 _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(i)}, {_list(s)}, {y}, {c})" for i, _, s, y, c, _, _ in DOCTRINE) + ") AS r(id, subjects, pivot_year, critical))"
 
 
-@query(f"""WITH {HITS}, {HIT_ROWS}, {_RULES},
-direct AS (SELECT item_id AS qid, id, critical, true AS by_question FROM benchmark, rules WHERE len(list_filter(subjects, lambda s: contains({FOLD('text')}, {FOLD('s')}))) > 0),
+_DETECTED = f"""direct AS (SELECT item_id AS qid, id, critical, true AS by_question FROM benchmark, rules WHERE len(list_filter(subjects, lambda s: contains({FOLD('text')}, {FOLD('s')}))) > 0),
 said AS (SELECT qid, id, critical, list_filter(list_transform(subjects, lambda s: {FOLD('s')}), lambda s: contains({FOLD("section || ' ' || text")}, s)) AS m FROM hit_rows JOIN rules ON date < pivot_year),
 some_ AS (SELECT qid, id, critical, list_distinct(flatten(list(m))) AS m FROM said GROUP BY qid, id, critical),
 both_ AS (SELECT * FROM direct UNION ALL SELECT qid, id, critical, false FROM some_ WHERE len(m) >= 2 OR len(list_filter(m, lambda s: contains(s, ' '))) > 0),
 one AS (SELECT qid, id, critical, max(by_question) AS by_question FROM both_ GROUP BY qid, id, critical),
-o AS (SELECT qid, id AS rule, by_question, row_number() OVER (PARTITION BY qid ORDER BY by_question DESC, critical DESC, id)::INTEGER AS rank FROM one)
-SELECT * FROM o WHERE rank <= 3""")
+o AS (SELECT qid, id AS rule, by_question, row_number() OVER (PARTITION BY qid ORDER BY by_question DESC, critical DESC, id)::INTEGER AS rank FROM one)"""
+
+
+@query(f"WITH {HITS}, {HIT_ROWS}, {_RULES}, {_DETECTED} SELECT * FROM o WHERE rank <= 3")
 def divergence_detect(spark: SparkSession, d: str) -> DataFrame:
     return rules.outdated_doctrine(questions(spark, d), _hits(spark, d), doctrine(spark))
 
@@ -360,6 +361,28 @@ def identification_flag(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", rules.is_identification(F.col("text")).alias("identification"))
 
 
+SYSTEM = "Réponds avec les extraits."
+_FULL_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(i)}, {_text(t)}, {_list(s)}, {y}, {c}, {_text(o)}, {_text(n)})" for i, t, s, y, c, o, n in DOCTRINE) + ") AS r(id, title, subjects, pivot_year, critical, old, current))"
+
+
+def _sql_text(x: str) -> str:
+    return _text(x).replace("\n", "' || chr(10) || '")
+
+
+@query(f"""WITH {HITS}, {HIT_ROWS}, {_FULL_RULES}, {_DETECTED},
+lines AS (SELECT qid, string_agg(CASE WHEN critical THEN '‼ ' ELSE '• ' END || title || {_text(prompts.CHANGED)} || pivot_year || ')' || chr(10) || '   PÉRIMÉ  : ' || old || chr(10) || '   ACTUEL  : ' || current || chr(10) || chr(10), '' ORDER BY rank) AS lines FROM o JOIN rules ON id = rule WHERE rank <= 3 GROUP BY qid),
+span AS (SELECT qid, {_text(prompts.DATES[0])} || min(date) || {_text(prompts.DATES[1])} || max(date) || {_sql_text(prompts.DATES[2])} AS span FROM hit_rows GROUP BY qid HAVING max(date) - min(date) > 15),
+warned AS (SELECT qid, {_sql_text(prompts.WARNING_HEAD)} || coalesce({_sql_text(prompts.WARNING_ORDER)} || lines, '') || coalesce(span, '') || {_text(prompts.WARNING_FOOT)} || chr(10) || chr(10) || '{prompts.RULE}' || chr(10) || chr(10) AS warning FROM lines FULL JOIN span USING (qid)),
+blocks AS (SELECT qid, string_agg({_HEAD}, E'\\n\\n---\\n\\n' ORDER BY rank) AS excerpts FROM hit_rows GROUP BY qid)
+SELECT item_id AS qid, {_text(SYSTEM)} || CASE WHEN regexp_matches(text, '(?is){_SQL_IDENT}') THEN {_sql_text(prompts.IDENTIFICATION_NOTE)} ELSE '' END AS system,
+  coalesce(warning, '') || {_sql_text(prompts.EXCERPTS_HEAD)} || coalesce(excerpts, '') || chr(10) || chr(10) || '{prompts.RULE}' || chr(10) || chr(10) || {_text(prompts.QUESTION_HEAD)} || text || {_sql_text(prompts.QUESTION_FOOT)} AS user
+FROM benchmark LEFT JOIN warned ON warned.qid = item_id LEFT JOIN blocks ON blocks.qid = item_id""")
+def prompt_text(spark: SparkSession, d: str) -> DataFrame:
+    hits, asked = materialised(_hits(spark, d)), questions(spark, d)
+    warnings = prompts.doctrine_warnings(rules.outdated_doctrine(asked, hits, doctrine(spark)), doctrine(spark), rules.date_gap(hits))
+    return prompts.prompts(asked, prompts.excerpts(hits), SYSTEM, warnings)
+
+
 _TITLES = r"titles AS (SELECT url AS path, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)"
 _SEEDS = "seeds AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(t)}, {w})" for t, w in SEEDS) + ") AS s(term, weight))"
 
@@ -378,9 +401,10 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _given(spark: SparkSession, d: str) -> DataFrame:
-    asked = _answers(spark, d).select("qid")
-    sources = read(spark, d, "documents").select("source").distinct().select(F.col("source").alias("source_id"), F.lit(0).alias("page_from"), F.lit(2).alias("page_to"))
-    return asked.crossJoin(F.broadcast(sources))
+    """Every answer was given pages 0 to 2 of each source it could cite; those it doesn't cite don't matter."""
+    sources = read(spark, d, "documents").select(F.lower("source").alias("source_id")).distinct()
+    cited = citations.cited(_answers(spark, d)).select("qid", "source_id").distinct()
+    return cited.join(sources, "source_id").select("qid", "source_id", F.lit(0).alias("page_from"), F.lit(2).alias("page_to"))
 
 
 _CITED = r"""ans AS (SELECT conv_id * 1000 + turn AS qid, text || ' [src' || (conv_id % 25) || ' p.' || turn || '] [nope p. 3] [SRC1 p.1]' AS a FROM conversations WHERE role = 'assistant'),
@@ -394,7 +418,15 @@ def citation_check(spark: SparkSession, d: str) -> DataFrame:
     return citations.judged(_answers(spark, d), _given(spark, d))
 
 
-@query()
+_UNIT_SQL = r"\[[a-zA-Z0-9][a-zA-Z0-9._-]*\s+[pP]\.\s*\d+\]"
+
+
+@query(rf"""WITH {_CITED},
+sent AS (SELECT qid, list_transform(regexp_extract_all(a, '(?:{_UNIT_SQL}|[^.!?\n])+[.!?]*(?:\s*{_UNIT_SQL})*'), lambda x: {STRIP('x')}) AS s FROM ans),
+loose AS (SELECT qid, len(list_filter(s, lambda x: length(x) >= 45 AND NOT regexp_matches(x, '^[#*-]') AND NOT (contains(lower(x), 'doute') AND contains(lower(x), 'abstenir')) AND NOT regexp_matches(x, '{_UNIT_SQL}'))) AS unsourced FROM sent),
+tally AS (SELECT qid, count(*) AS citations, count(*) FILTER (kind = 'ok') AS valid, count(*) FILTER (kind = 'source-inconnue') AS unknown_sources, count(*) FILTER (kind = 'page-hors-extrait') AS outside_pages FROM kinds GROUP BY qid)
+SELECT qid, coalesce(citations, 0) AS citations, coalesce(valid, 0) AS valid, coalesce(unknown_sources, 0) AS unknown_sources, coalesce(outside_pages, 0) AS outside_pages, unsourced,
+  CASE WHEN citations > 0 THEN round(valid::DOUBLE / citations, 6) ELSE 0.0::DOUBLE END AS rate FROM loose LEFT JOIN tally USING (qid)""")
 def citation_report(spark: SparkSession, d: str) -> DataFrame:
     return citations.report(_answers(spark, d), _given(spark, d))
 

@@ -51,7 +51,7 @@ def build(chunks: DataFrame, sources: DataFrame, path: str, embedder: dict[str,
         raise ValueError(f"{counts.n} chunks but {counts.v} vectors")
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     held = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    sources.join(held.select(F.col("source_id").alias("id")), "id", "left_semi").write.mode("overwrite").parquet(f"{path}/sources")
+    used_sources(sources, held).write.mode("overwrite").parquet(f"{path}/sources")
     lexical.postings(held).repartitionByRange("kind", "key", "rowid").sortWithinPartitions("kind", "key").write.mode("overwrite").parquet(f"{path}/postings")
     meta = {"schema_version": SCHEMA_VERSION, "chunk_count": str(counts.n), "source_count": str(counts.s), "embed_probe": probe} | (embedder or {})
     rows = held.sparkSession.createDataFrame([*meta.items()], "key string, value string")
@@ -89,6 +89,11 @@ def check_probe(meta: dict[str, str], vector: np.ndarray, least: float = 0.99) -
         raise IndexMismatch(f"the probe's cosine is {cosine:.3f}")
 
 
+def used_sources(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The sources that have a chunk."""
+    return sources.join(chunks.select(F.col("source_id").alias("id")), "id", "left_semi")
+
+
 def source_stats(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, title, chunks) of every source, those without chunks too."""
     n = chunks.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("chunks"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,29 +27,54 @@ def text_files(spark: SparkSession, path: str, source_id: str) -> DataFrame:
 
 
 def markdown_folder(spark: SparkSession, path: str, source_id: str) -> DataFrame:
-    """File i by name is page i; empty files use up a number. Quality 1."""
-    rows = spark.read.text(f"{path}/*.md", wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
-    return _finished(rows.withColumn("page", F.row_number().over(Window.orderBy("name"))).withColumn("source_id", F.lit(source_id)), F.lit(1.0))
-
-
-def epub_files(spark: SparkSession, path: str, source_id: str, min_chars: int = 200) -> DataFrame:
-    """Chapters as pages, in the order of the spine's file names; short ones are dropped but use up a number."""
+    """File i by name is page i; empty files use up a number. Quality 1.
+
+    Numbers come from the list of the folder's file names, which are counted; texts stay where they are.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
+    # Spark reads no rows of empty files, but it lists them
+    names = sorted(unquote(f.rsplit("/", 1)[1]) for f in files.inputFiles())
+    pages = F.broadcast(spark.createDataFrame([*enumerate(names, 1)], "page int, name string"))
+    rows = files.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).join(pages, "name").select(F.lit(source_id).alias("source_id"), "page", F.decode("content", "UTF-8").alias("text"))
+    return _finished(rows, F.lit(1.0))
+
+
+def _epub_pages(content: bytes) -> list[tuple[int, str]]:
+    """(number, html) of the documents of a book, in the order in which its package file lists them; without one by file name."""
+    import io
+    import posixpath
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        have = set(z.namelist())
+        packages = []
+        if "META-INF/container.xml" in have:
+            packages = [e.get("full-path", "") for e in ET.fromstring(z.read("META-INF/container.xml")).iter() if e.tag.endswith("rootfile")]
+        names = []
+        for package in (p for p in packages if p in have):
+            for e in ET.fromstring(z.read(package)).iter():
+                if e.tag.endswith("}item") and e.get("media-type") == "application/xhtml+xml" and "nav" not in (e.get("properties") or "").split():
+                    names.append(posixpath.normpath(posixpath.join(posixpath.dirname(package), e.get("href", ""))))
+        names = [n for n in names if n in have] or sorted(n for n in have if re.search(r"\.x?html?$", n, re.I))
+        return [(i, z.read(n).decode("utf-8", "replace")) for i, n in enumerate(names, 1)]
+
+
+def epub_files(spark: SparkSession, path: str, source_id: str | None = None, min_chars: int = 200) -> DataFrame:
+    """Chapters as pages, in the book's own order; short ones are dropped but use up a number.
+
+    Without a ``source_id`` every book is a source of its own, named by its file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import zipfile
-
         for b in batches:
-            out = []
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = sorted(n for n in z.namelist() if re.search(r"\.x?html?$", n, re.I))
-                    out += [(i, z.read(n).decode("utf-8", "replace")) for i, n in enumerate(names, 1)]
-            yield pd.DataFrame(out, columns=["page", "html"])
+            out = [(p, *page) for p, content in zip(b["path"], b["content"]) for page in _epub_pages(content)]
+            yield pd.DataFrame(out, columns=["path", "page", "html"])
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "page int, html string")
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, html string")
     bare = F.regexp_replace("html", r"(?is)<nav\b[^>]*>.*?</nav>", " ")
-    rows = found.select(F.lit(source_id).alias("source_id"), "page", T.html_to_text(bare).alias("text"))
+    name = F.lit(source_id) if source_id is not None else F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    rows = found.select(name.alias("source_id"), "page", T.html_to_text(bare).alias("text"))
     return _finished(rows, T.quality(F.col("text"))).where(F.length("text") > min_chars)
 
 
@@ -88,7 +114,7 @@ def checklists(spark: SparkSession, path: str) -> DataFrame:
     front = r"(?s)^---\s*\n(.*?)\n---\s*\n"
     rows = spark.read.text(f"{path}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("name"), "value").where(F.col("value").rlike(front))
     head = F.regexp_extract("value", front, 1)
-    listed = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(head, r"(?m)^declencheurs:(.*)$", 1), r"^\s*\[+|\]+\s*$", ""), ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(head, r"(?m)^declencheurs:(.*)$", 1), r"^\s*\[+|\]+\s*$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     title = F.trim(F.regexp_extract(head, r"(?m)^titre:(.*)$", 1))
     return rows.select("name", F.when(title != "", title).otherwise(F.col("name")).alias("title"), listed.alias("triggers"), T.strip(F.regexp_replace("value", front, "")).alias("body"))
 
@@ -98,6 +124,19 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("is_pdf"))
 
 
+def probed(responses: DataFrame) -> DataFrame:
+    """(id, ok) of first bytes that a source's URL gave: a .pdf must begin like one. responses: (id, url, head binary), head null on failure."""
+    path = F.lower(F.substring_index("url", "?", 1))
+    return responses.select("id", F.coalesce(F.col("head").isNotNull() & (~F.endswith(path, F.lit(".pdf")) | (F.substring("head", 1, 4) == F.lit(b"%PDF"))), F.lit(False)).alias("ok"))
+
+
+def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks from JSON lines; blank lines are skipped."""
+    from gristmill.operators.chunking import CHUNK
+
+    return spark.read.schema(CHUNK).json(path).where("chunk_id is not null")
+
+
 def documents_json(spark: SparkSession, path: str) -> DataFrame:
     """Pages of one-document JSON files {source_id, titre, pages: [{numero, texte, ocr, qualite, image}]}."""
     schema = "source_id string, titre string, pages array<struct<numero:int,texte:string,ocr:boolean,qualite:double,image:string>>"

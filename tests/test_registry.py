@@ -22,7 +22,7 @@ def plain(frame, columns):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
-@pytest.mark.parametrize("name", ["clean_text", "token_estimate", "text_quality", "html_to_text", "query_terms", "vector_topk", "guaranteed_seats", "divergence_detect", "checklist_route", "citation_check", "seed_selection", "page_report", "source_stats"])
+@pytest.mark.parametrize("name", ["clean_text", "token_estimate", "text_quality", "html_to_text", "query_terms", "vector_topk", "guaranteed_seats", "divergence_detect", "checklist_route", "citation_check", "citation_report", "prompt_text", "paragraph_blocks", "used_sources", "seed_selection", "page_report", "source_stats"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for f in DATA.glob("*.parquet"):
