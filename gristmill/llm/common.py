@@ -106,8 +106,8 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return whole
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+#: Odd bases of two independent window hashes.
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -130,11 +130,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
     """Hash of every window of ``length`` consecutive words, from prefix sums of a polynomial modulo 2**64."""
     n = len(hashes)
     if n < length:
         return np.empty(0, np.uint64)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _powers(_BASE, n), out=prefix[1:], dtype=np.uint64)
-    return mixed((prefix[length:] - prefix[:-length]) * _powers(_INVERSE, n - length + 1))
+    np.cumsum(hashes * _powers(base, n), out=prefix[1:], dtype=np.uint64)
+    return mixed((prefix[length:] - prefix[:-length]) * _powers(pow(base, -1, 2**64), n - length + 1))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordHashes, batch_of, exchange_width, mixed, released, small_batches, window_hashes, written
-from .exchange import doc_bucket, exchanged, key_bucket, packed
+from .exchange import doc_bucket, exchanged, key_bucket, lots, packed
 
 
 def shingle_set(text: str | bytes | None, size: int, table: WordHashes) -> np.ndarray:
@@ -148,6 +148,8 @@ def named_rows(docs: DataFrame, size: int, bits: int) -> tuple[DataFrame, Names]
 
 #: A hash that a task holds this often is frequent wherever it occurs: its places are answered in the task.
 FREQUENT_IN_TASK, FREQUENT = 32, 2**31 - 1
+#: Rows that a receiver sorts at once.
+LOT = 2_000_000
 ASKED, MARK, FACT, ANSWER = range(4)
 _MESSAGE = "bucket int, kind int, keys binary, nodes binary, counts binary"
 _MESSAGE_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
@@ -172,17 +174,6 @@ def _received(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray,
     return found
 
 
-def _lots(values: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
-    """Places of the values in lots of about ``most``, equal ones in one lot, so that sorting takes little memory."""
-    n = -(-len(values) // most)
-    if n <= 1:
-        yield np.arange(len(values))
-        return
-    of = mixed(values.astype(np.uint64)) % np.uint64(n)
-    for k in range(n):
-        yield np.flatnonzero(of == k)
-
-
 def counted(docs: DataFrame, size: int, bounds: Bounds, names: Names, width: int) -> DataFrame:
     """Messages for each node's bucket: its size, and those of its sampled hashes that other sets have too, with their counts."""
 
@@ -226,7 +217,7 @@ def counted(docs: DataFrame, size: int, bounds: Bounds, names: Names, width: int
             keys, own, counts = found.pop(kind)
             yield from _messages((kind, doc_bucket(own, width), keys, own, counts if kind == ANSWER else None))
         keys, own, _ = found.pop(ASKED)
-        for lot in _lots(keys):
+        for lot in lots(keys, LOT):
             k, d = keys[lot], own[lot]
             order = np.lexsort((d, k))
             k, d = k[order], d[order]
@@ -261,7 +252,7 @@ def prefixes(docs: DataFrame, size: int, bounds: Bounds, names: Names) -> DataFr
         nodes_, first = np.unique(nodes_, return_index=True)
         sizes = sizes[first].astype(np.int64)
         keys, own, counts = found.pop(ANSWER)
-        for lot in _lots(own.view(np.uint64)):
+        for lot in lots(own.view(np.uint64), LOT):
             k, d, c = keys[lot], own[lot], counts[lot]
             order = np.lexsort((k, c, d))
             k, d = k[order], d[order]

@@ -542,10 +542,27 @@ def test_repeated_windows_equal_brute_force(spark, docs, corpus):
         assert tuple(got[i])[1:] == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
         assert whole[i].text == (kept.decode() if gone else corpus[i][1]) and whole[i].source == corpus[i][2]
     assert substring.repeated_windows_removed(docs.where("false")).count() == 0
+    # keys of 3 bits: most rows share theirs with others at first
+    few = {i: tuple(r) for i, r in by_id(substring.repeated_windows_removed(docs, bits=3)).items()}
+    assert few == {i: tuple(r) for i, r in got.items()}
     cover = substring.difference_cover(21)
     assert {(a - b) % 21 for a in cover for b in cover} == set(range(21)) and len(cover) == 5
 
 
+def test_keys_are_the_same_only_with_their_checks():
+    from gristmill.llm import exchange
+
+    box = exchange.Outbox(1)
+    keys, checks = np.array([5, 5, 7, 7, 9], np.uint64), np.array([1, 2, 3, 3, 4], np.uint64)
+    box.add(keys, 11, np.arange(5), checks)
+    box.add(keys[:1], 12, np.array([0]), checks[:1] + np.uint64(8))
+    rows = [*box.flush()]
+    k, d, p, c = exchange.unpacked([r[1:] for r in rows if np.frombuffer(r[3], np.int32)[0] >= 0])
+    assert sorted(zip(k.tolist(), d.tolist(), p.tolist(), c.tolist())) == [(5, 11, 0, 1), (5, 11, 1, 2), (5, 12, 0, 9), (7, -1, 0, 3), (9, 11, 4, 4)]
+    _, d, p, _ = exchange.unpacked([r[1:] for r in rows if np.frombuffer(r[3], np.int32)[0] < 0])
+    assert sorted(zip(d.tolist(), (-1 - p).tolist())) == [(11, 2), (11, 3)]
+
+
 # 10
 def test_quality_counts_equal_brute_force(spark, docs, corpus):
     got = by_id(quality.judge(docs))
