@@ -439,6 +439,57 @@ def test_every_passage_is_linked_to_the_message_that_says_most_of_it(spark):
     assert [got[3, t].parent_turn for t in (2, 3, 4)] == [1, 2, 3]
 
 
+def test_links_equal_brute_force(spark):
+    rng = random.Random(41)
+    lines = ["Alpha one.", "beta  TWO", "Gamma three!", "delta 4", "...", "epsilon"]
+    mark = lambda x, n: "> " * n + x
+    rows = []
+    for conv in range(25):
+        for turn in range(rng.randint(2, 9)):
+            text = []
+            for _ in range(rng.randint(1, 4)):
+                level = rng.choice([0, 0, 1, 1, 2])
+                text += [mark(rng.choice(lines).swapcase() if level else rng.choice(lines), level) for _ in range(rng.randint(1, 3))]
+                if rng.random() < 0.3:
+                    text.append("")
+            rows.append((conv, turn, "user", "\n".join(text)))
+    normal = lambda x: " ".join(x.lower().split())
+    says = lambda x: any(c.isalnum() for c in x)
+    cut = lambda x: re.match(r"((?:[ \t]*>)*)[ \t]*(.*)", x).groups()
+    own, passages = {}, {}
+    for conv, turn, _, text in rows:
+        own[conv, turn] = {normal(x) for x in text.split("\n") if not cut(x)[0] and says(x)}
+        found, block = [], 0
+        held = collections.defaultdict(set)
+        for x in [*text.split("\n"), ""]:
+            quote, rest = cut(x)
+            if quote:
+                if says(x):
+                    held[block, quote.count(">")].add(normal(rest))
+            else:
+                block += 1
+        passages[conv, turn] = [(level, ls) for (_, level), ls in sorted(held.items())]
+    want = {}
+    for (conv, turn), quoted in passages.items():
+        out = []
+        for level, ls in quoted:
+            votes = [(len(ls & own[conv, t]), t) for t in range(turn) if (conv, t) in own and ls & own[conv, t]]
+            if votes:
+                n, t = max(votes)
+                out.append((level, t, n))
+        want[conv, turn] = out
+    got = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for key, out in want.items():
+        r = got[key]
+        assert sorted((s.level, s.source_turn, s.matched) for s in r.sources) == sorted(out), (key, r)
+        first = max(((n, t) for level, t, n in out if level == 1), default=None)
+        assert r.parent_turn == (first[1] if first else None) and r.n_linked == sum(n for _, _, n in out)
+        root, depth = key[1], 0
+        while got[key[0], root].parent_turn is not None:
+            root, depth = got[key[0], root].parent_turn, depth + 1
+        assert (r.root_turn, r.depth) == (root, depth)
+
+
 # 7
 def test_sentencepiece_equals_library(spark, docs, corpus):
     import sentencepiece
