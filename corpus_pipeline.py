@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import jaccard, langid, packing, pii, substring
-from gristmill.llm.common import held_out, shared_dir, table
+from gristmill.llm.common import discard, held_out, shared_dir, table
 from gristmill.llm.registry import tokenizer_path
 
 
@@ -56,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Each writes its result to the shared folder; what it needed before goes once that is done."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, *before)
+        before = [path]
     return docs

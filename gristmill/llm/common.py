@@ -30,15 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(base, f"gristmill-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """df as a zstd Parquet table in the shared folder, read again: lineage ends and later passes reuse it."""
+#: Folders of intermediate tables, by application; discard() empties the list.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a zstd Parquet table in the shared folder, read again: lineage ends and later passes reuse it.
+
+    What an operator returns may read such tables; discard() takes them away once that result is stored.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete the folders at ``paths``, and all intermediate tables that operators have written in this application so far."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [*paths, *_WRITTEN.pop(spark.sparkContext.applicationId, [])]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def small_batches(spark: SparkSession, most: int = 16_777_216) -> None:
     """Arrow batches of this session have ``most`` bytes at most from now on: a batch stands several times in an executor's
     memory, outside of the heap and in its workers."""

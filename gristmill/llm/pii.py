@@ -25,7 +25,6 @@ GENERALISE, REMOVE = len(KINDS), len(KINDS) + 1
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 _OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 _WORD_GAP = "[^\\p{L}\\p{N}'-]+"
-_WORD = "[\\p{L}\\p{N}]"
 _SPAN = "array<struct<start:int,place:int,end:int,kind:string,value:string>>"
 
 
@@ -95,7 +94,7 @@ def located(text: Column, pattern: Column, kind: str, place: int) -> Column:
 
         return let(at, lambda starts: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda part, i: span(part, i, starts)))
 
-    return F.when(F.contains(marked, F.lit(_OPEN)), let(F.split(marked, _OPEN), spans)).otherwise(F.array().cast(_SPAN))
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(_OPEN)), let(F.split(m, _OPEN), spans)).otherwise(F.array().cast(_SPAN)))
 
 
 #: Texts are cut from blocks of so many characters: a cut from the text itself reads all that stands before it.
@@ -130,7 +129,7 @@ def base_spans(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Distinct lower-case words of any length: runs of letters, digits, ' and - with a letter or digit."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), _WORD_GAP)), lambda w: w.rlike(_WORD))
+    return F.filter(F.array_distinct(F.split(F.lower(text), _WORD_GAP)), lambda w: F.btrim(w, F.lit("'-")) != "")
 
 
 def digest(text: Column) -> Column:
@@ -183,8 +182,9 @@ def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= broadcast_rows else df
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disclosure: float = 0.8, removal: float = 0.95, broadcast_rows: int = 300_000) -> DataFrame:
-    """(term, share, action): terms that disclose a protected entity, from counts over all distinct texts.
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disclosure: float = 0.8, removal: float = 0.95, broadcast_rows: int = 300_000) -> tuple[DataFrame, DataFrame]:
+    """(term, share, action): terms that disclose a protected entity, from counts over all distinct texts; and (digest, term) of
+    all texts that hold a term which was counted.
 
     An entity is a base span's value. With n texts, n_e with the entity, n_t with the term anywhere and n_te with the
     term anywhere but in the entity itself, the term discloses the share PMI(t, e) / IC(e) =
@@ -199,8 +199,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
     held = written(entities.join(with_entity, "entity"))
     most = held.agg(F.max("n_e")).first()[0]
     empty = docs.select(F.lit("").alias("term"), F.lit(0.0).alias("share"), F.lit("").alias("action")).where("false")
+    nowhere = found.select("digest", F.lit("").alias("term")).where("false")
     if most is None:
-        return empty
+        return empty, nowhere
     by_text = held.groupBy("digest").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
     first = holders.groupBy("digest").agg(F.min("row").alias("row")).join(by_text, "digest").select("row", "entities")
     texts = written(found.select("row", "near").join(_small(written(first), broadcast_rows), "row").select("near", "entities"))
@@ -217,19 +218,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
     terms = pairs.select("term").distinct()
     asked = terms.count()
     if not asked:
-        return empty
+        return empty, nowhere
     terms = F.broadcast(terms) if asked <= broadcast_rows else terms
     whole = docs.select(clean(F.col("text")).alias("text"))
-    holds = whole.select(digest(F.col("text")).alias("digest"), F.explode(words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
-    with_term = holds.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    # the digest is a column before the words are spread, so it isn't taken again for each of them
+    spread = whole.withColumn("digest", digest(F.col("text"))).select("digest", F.explode(words(F.col("text"))).alias("term"))
+    holds = written(spread.join(terms, "term", "left_semi").distinct().select("digest", "term"))
+    with_term = holds.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(with_term, "term").select("term", share("n_t").alias("share")).groupBy("term").agg(F.max("share").alias("share"))
-    return scored.where(F.col("share") >= disclosure).select("term", "share", F.when(F.col("share") >= removal, "remove").otherwise("generalise").alias("action"))
+    found_terms = scored.where(F.col("share") >= disclosure).select("term", "share", F.when(F.col("share") >= removal, "remove").otherwise("generalise").alias("action"))
+    return written(found_terms), holds
 
 
-def term_spans(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
+def term_spans(docs: DataFrame, terms: DataFrame, holds: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
     """(digest, extra): every occurrence of disclosing terms in the distinct texts that hold any."""
     texts = docs.select(clean(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    each = texts.select("digest", F.explode(words(F.col("text"))).alias("term")).join(_small(terms.select("term", "action"), broadcast_rows), "term").distinct()
+    each = holds.join(_small(terms.select("term", "action"), broadcast_rows), "term")
     of = lambda action: F.array_join(F.sort_array(F.collect_list(F.when(F.col("action") == action, F.col("term")))), "|")
     held = written(each.groupBy("digest").agg(of("generalise").alias("broad"), of("remove").alias("gone")))
     # terms hold letters, digits, ' and - only, so they stand for themselves in a pattern
@@ -242,11 +246,11 @@ def term_spans(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 300_000)
 def findings(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, spans, extra) of every row, and the disclosing terms."""
     found = written(scanned(docs))
-    terms = written(disclosing_terms(docs, found, **limits))
+    terms, holds = disclosing_terms(docs, found, **limits)
     rows = found.select("doc_id", "digest", "spans")
     if not terms.limit(1).count():
         return rows.withColumn("extra", F.array().cast(_SPAN)), terms
-    return rows.join(term_spans(docs, terms), "digest", "left").withColumn("extra", F.coalesce("extra", F.array().cast(_SPAN))), terms
+    return rows.join(term_spans(docs, terms, holds), "digest", "left").withColumn("extra", F.coalesce("extra", F.array().cast(_SPAN))), terms
 
 
 def _listed(spans: Column) -> Column:
@@ -279,10 +283,10 @@ def redacted_text(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with base spans and disclosing terms exchanged for their kinds or, from the removal share on, deleted from text, all else as it was; null texts stay null."""
     found = written(scanned(docs))
-    terms = written(disclosing_terms(docs, found, **limits))
+    terms, holds = disclosing_terms(docs, found, **limits)
     text = clean(F.col("text"))
     if terms.limit(1).count():
-        rows = docs.withColumn("_digest", digest(text)).join(term_spans(docs, terms).withColumnRenamed("digest", "_digest"), "_digest", "left")
+        rows = docs.withColumn("_digest", digest(text)).join(term_spans(docs, terms, holds).withColumnRenamed("digest", "_digest"), "_digest", "left")
         spans = F.sort_array(F.concat(base_spans(text), F.coalesce("extra", F.array().cast(_SPAN))))
     else:
         rows, spans = docs, base_spans(text)

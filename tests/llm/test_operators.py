@@ -279,7 +279,7 @@ def test_terms_equal_brute_force(spark):
             if share >= 0.8:
                 want[w] = max(want.get(w, 0), share)
     for broadcast_rows in (300_000, 0):
-        got = {r.term: r.share for r in pii.disclosing_terms(df, pii.written(pii.scanned(df)), broadcast_rows=broadcast_rows).collect()}
+        got = {r.term: r.share for r in pii.disclosing_terms(df, pii.written(pii.scanned(df)), broadcast_rows=broadcast_rows)[0].collect()}
         assert got.keys() == want.keys() and want and all(got[w] == pytest.approx(want[w]) for w in want)
 
 
@@ -711,3 +711,40 @@ def test_pipeline_stages(spark, docs):
         rows = spark.createDataFrame(after.collect(), rows.schema)
     packed = pipeline.STAGES[-1][1](spark, rows, "").collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in rows.collect()}
+
+
+def test_pipeline_run(spark, tmp_path):
+    """The whole run against each stage worked out by hand: repeated ids and rows, nulls, empty and long texts, an extra column."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(51)
+    words = {"en": WORDS[:80], "xx": [f"zu{w}ö" for w in WORDS[80:160]]}
+    make = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    texts = {i: make(["en", "xx"][i % 2], 120) for i in range(60)}
+    passage = make("en", 40)
+    rows = [(i, t, ["en", "xx"][i % 2]) for i, t in texts.items()]
+    rows += [(100, texts[4], "en"), (101, texts[6] + " more", "en"), (7, texts[8] + " tail", "xx"), (9, make("xx", 90), "xx"), (9, rows[9][1], "xx")]
+    rows += [(200 + k, f"{make('en', 30)} {passage} {make('en', 30)}", "en") for k in range(3)]
+    rows += [(300, make("en", 60) + " me@home.org " + make("en", 60), "en"), (301, make("en", 20_000), "en"), (400, None, "en"), (401, "", None), (402, "12 34", "xx"), (None, make("xx", 70), None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, bucket int"
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1) for i, t, lang in rows], schema)
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.defaultdict(list)
+    for r in pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id, r.doc_tokens].append(r)
+    # rows without language, copies and near copies are gone; other rows of a shared id stay
+    kept = [(i, t) for i, t, _ in rows if t and i not in (100, 101, 402) and not (i == 7 and t.endswith("tail"))]
+    kept.remove((9, rows[9][1]))  # one of two equal rows
+    want = collections.Counter()
+    coder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, t in kept:
+        out = t.replace(f" {passage} ", " ") if i is not None and 200 <= i < 203 else t.replace("me@home.org", "[EMAIL]")
+        want[i, len(coder.encode(out, add_special_tokens=False).ids) + 1] += 1
+    assert {k[0] for k in got} == {k[0] for k in want}
+    tokens = lambda i: sorted(n for (k, n), c in want.items() if k == i for _ in range(c))
+    for i in {k[0] for k in want}:
+        own = [r for (k, _), rs in got.items() if k == i for r in rs]
+        assert sum(r.length for r in own) == sum(tokens(i)), i
+    df.where("false").write.parquet(str(tmp_path / "empty/documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "empty")).count() == 0
