@@ -111,7 +111,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         import ctypes
 
         yield from run(batches)
-        for empty in tables:
+        for empty in (forget_powers, *tables):
             empty()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -136,6 +136,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers(most: int = 1 << 20) -> None:
+    """Drop powers that only a very long text needed, so that a worker process doesn't keep them."""
+    for base in [b for b, held in _POWERS.items() if len(held) > most]:
+        del _POWERS[base]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every bit of the result depends on every bit of h."""
     h = h ^ (h >> np.uint64(33))

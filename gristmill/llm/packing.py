@@ -129,8 +129,8 @@ def columns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float,
     """Basis patterns (one column each) and their levels of the linear program: fewest sequences over all tails.
 
     Revised simplex. Each round a knapsack dynamic program over the capacity prices a new pattern at the
-    dual values; it ends when no pattern is worth more than one sequence, or when the dual bound is
-    within ``gap`` of the level. Rows: at most ``capacity`` - 1, however many documents there are.
+    dual values; it ends when no pattern is worth more than one sequence, when the dual bound is
+    within ``gap`` of the level, or after ``most_rounds``; any basis gives valid patterns, a later one fewer sequences. Rows: at most ``capacity`` - 1, however many documents there are.
     """
     m = len(lengths)
     basis, level = first_basis(lengths, demand, capacity)
