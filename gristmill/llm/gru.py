@@ -122,22 +122,27 @@ class Network:
         return after, z, r, c, un
 
     @staticmethod
-    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of the targets, and all probabilities. Biases are log shares, so logits stay far from overflow; the clip makes sure."""
+    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, all_of_them: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of the targets, and with ``all_of_them`` all probabilities.
+
+        States are below 1 and biases are log shares, so weights bound the logits; they are clipped only where that isn't enough.
+        """
         logits = h @ w
         logits += b
-        np.clip(logits, -80, 80, out=logits)
+        if logits.size < 20_000 or np.abs(w).sum(axis=0).max() + np.abs(b).max() > 80:
+            np.clip(logits, -80, 80, out=logits)
         found = logits[np.arange(len(at)), at].astype(np.float64)
         e = np.exp(logits, out=logits)
         sums = e @ np.ones(e.shape[1], np.float32)
-        e /= sums[:, None]
+        if all_of_them:
+            e *= (1 / sums)[:, None]
         return found - np.log(sums), e
 
     def outputs(self, p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target's class and place in it (ids from ``words`` on: the rare class), and with ``grads`` the gradient by h."""
         k = np.minimum(y // self.members, self.classes)
         k[y >= self.words] = self.classes
-        found, e = self._softmax(h, p["wc"], p["bc"], k)
+        found, e = self._softmax(h, p["wc"], p["bc"], k, grads is not None)
         dh = None
         if grads is not None:
             e[np.arange(len(y)), k] -= 1
@@ -149,7 +154,7 @@ class Network:
         for c in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             own = order[ends[c] : ends[c + 1]]
             ho, place = h.take(own, 0), y[own] - c * self.members
-            more, e = self._softmax(ho, p["wm"][c], p["bm"][c], place)
+            more, e = self._softmax(ho, p["wm"][c], p["bm"][c], place, grads is not None)
             found[own] += more
             if grads is not None:
                 e[np.arange(len(own)), place] -= 1
