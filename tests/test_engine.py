@@ -148,7 +148,7 @@ def test_doctrine_and_date_gap(spark):
 def test_checklists(spark):
     lists = spark.createDataFrame([("a", "Saignement", ["saigne", "perd du sang"], "presser la plaie"), ("b", "Froid", ["gelure"], "chaud")], "name string, title string, triggers array<string>, body string")
     asked = spark.createDataFrame([(1, "Il saigne, plaie"), (2, "rien")], "qid long, question string")
-    assert rows(rules.checklist_route(asked, lists), "qid", "rank") == [(1, "a", 6 + 1, 1)]
+    assert rows(rules.checklist_route(asked, lists), "qid", "rank") == [(1, "a", 6 + 3 + 1, 1)]
 
 
 def test_citations(spark):
