@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.sources.scratch import small
 
 RRF_K, SEATS, KEPT = 60, 2, 8
 
@@ -36,7 +35,7 @@ def defaults(passages: DataFrame) -> DataFrame:
 
 def boosted(fused: DataFrame, passages: DataFrame, digits: int = 9) -> DataFrame:
     """Fused rows with their passage's factor, ranked; rows without a passage drop out. Ties to the smaller rowid."""
-    wanted = passages.join(small(fused.select("rowid").distinct()), "rowid", "left_semi")
+    wanted = passages.join(fused.select("rowid"), "rowid", "left_semi")
     facts = defaults(wanted).select("rowid", "priority", "lang", "quality")
     scored = fused.join(facts, "rowid").select("qid", "rowid", F.round(F.col("rrf") * boost(), digits).alias("score"), "lex_rank", "vec_rank")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rowid")))

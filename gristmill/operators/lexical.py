@@ -49,8 +49,7 @@ def bm25(terms: DataFrame, index: DataFrame, k: int = 50, k1: float = 1.2, b: fl
     """(qid, rowid, score, rank) of the k best rows of each question; ties to the smaller rowid.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; a repeated term counts each time. Asked keys select the postings
-    before anything is counted; N and the mean length are one row. Questions go to the postings, not the other
-    way round: up to a checked number of asked keys the postings of a common word stay where they are.
+    before anything is counted; N and the mean length are one row.
     """
     asked = terms.groupBy("qid", "kind", "key").agg(F.count("*").alias("times"))
     hit = index.join(small(asked.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
@@ -58,7 +57,7 @@ def bm25(terms: DataFrame, index: DataFrame, k: int = 50, k1: float = 1.2, b: fl
     corpus = document_lengths(index).agg(F.count("*").cast("double").alias("rows_in_all"), F.avg("dl").alias("avgdl"))
     idf = df.crossJoin(F.broadcast(corpus)).select("kind", "key", "avgdl", F.greatest(F.log((F.col("rows_in_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6)).alias("idf"))
     weighted = asked.join(idf, ["kind", "key"])
-    rows = hit.join(small(weighted), ["kind", "key"])
+    rows = hit.join(weighted, ["kind", "key"])
     part = F.col("times") * F.col("idf") * F.col("wtf") * (k1 + 1) / (F.col("wtf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("qid", "rowid").agg(F.round(F.sum(part), digits).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "rowid")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.vectors import decode_probe
 from gristmill.operators import lexical
-from gristmill.sources.scratch import materialised, small
+from gristmill.sources.scratch import materialised
 
 SCHEMA_VERSION = "1"
 
@@ -104,5 +104,5 @@ def passages(chunks: DataFrame, sources: DataFrame, rowids: DataFrame) -> DataFr
     """Chunks of the given rows with their source's facts; chunks of unknown sources drop out."""
     from gristmill.operators.fusion import defaults
 
-    held = defaults(chunks.join(small(rowids.select("rowid").distinct()), "rowid", "left_semi"))
+    held = defaults(chunks.join(rowids.select("rowid"), "rowid", "left_semi"))
     return held.join(sources.select(F.col("id").alias("source_id"), "title", F.coalesce("author", F.lit("")).alias("author"), "date", "licence"), "source_id")
