@@ -216,8 +216,7 @@ def term_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TERMS}, {POSTINGS}, {DF}, {BM25} SELECT qid, rowid, score, rank FROM lex")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    terms = query_terms(spark, d)
-    return lexical.bm25(terms, lexical.postings(corpus(spark, d), terms), digits=DIGITS)
+    return lexical.best_rows(query_terms(spark, d), corpus(spark, d), digits=DIGITS)
 
 
 @query(f"WITH {TERMS}, {POSTINGS}, {DF}, {SIGNALS} SELECT qid, array_to_string(terms, ' ') AS terms, array_to_string(known, ' ') AS known, array_to_string(unknown, ' ') AS unknown, coverage, coverage < 0.2 AS refused FROM signals")
@@ -251,7 +250,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.boosted(fusion.reciprocal_rank(bm25_topk(spark, d), vector_topk(spark, d)), corpus(spark, d))
+    return fusion.boosted(materialised(fusion.reciprocal_rank(bm25_topk(spark, d), vector_topk(spark, d))), corpus(spark, d))
 
 
 @query(f"WITH {TERMS}, {POSTINGS}, {DF}, {BM25}, {VEC}, {RRF}, {BOOST} SELECT qid, rowid, score, lex_rank, vec_rank, rank FROM ranked")
@@ -266,7 +265,7 @@ def guaranteed_seats(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     facts = corpus(spark, d).select("rowid", "source_id", "section", "text", "quality", F.concat(F.lit("T "), "source_id").alias("title"), (1980 + F.col("rowid") % 41).cast("int").alias("date"), F.col("rowid").alias("page_from"), F.col("rowid").alias("page_to"))
-    return fusion.seated(_ranked(spark, d)).join(facts, "rowid")
+    return materialised(fusion.seated(_ranked(spark, d))).join(facts, "rowid")
 
 
 HIT_ROWS = f"hit_rows AS (SELECT h.*, source AS source_id, {SECTION} AS section, text, {QUALITY('text')} AS quality, 'T ' || source AS title, 1980 + doc_id % 41 AS date, doc_id AS page FROM hits h JOIN documents d ON d.doc_id = h.rowid)"
@@ -300,7 +299,7 @@ def used_sources(spark: SparkSession, d: str) -> DataFrame:
 def passages_lookup(spark: SparkSession, d: str) -> DataFrame:
     chunks = corpus(spark, d)
     sources = chunks.select(F.col("source_id").alias("id"), F.col("source_id").alias("title"), F.lit("").alias("author"), F.lit(None).cast("int").alias("date"), F.lit("cc-by").alias("licence")).distinct()
-    rows = index_store.passages(chunks, sources, guaranteed_seats(spark, d)).withColumn("page_from", F.col("rowid"))
+    rows = index_store.passages(chunks, sources, materialised(guaranteed_seats(spark, d))).withColumn("page_from", F.col("rowid"))
     return rows.select("rowid", "source_id", citations.citation().alias("citation"), "quality")
 
 

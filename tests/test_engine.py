@@ -202,3 +202,20 @@ def test_evaluation(spark):
     assert [(r.missing, r.page_hit, r.ok) for r in evaluation.source_control(cases, hits).orderBy("qid").collect()] == [(["b"], True, False), ([], True, True)]
     found = spark.createDataFrame([(2, "x")], "qid long, rule string")
     assert rows(evaluation.doctrine_control(cases, found), "qid") == [(2, [], ["x"])]
+
+
+def test_best_rows_are_those_of_the_joins_without_a_row_for_each_token(spark):
+    odd = ["Ünïcode ½ Straße ŉa ĳssel İstanbul №5 ﬁn ΑΣ'Α ΟΔΟΣ été œuvre x_y a­a ª ét", None, "", "ÀÉÎõÿ Ÿ ǅ ǆ ȷ ɏ μ ÷ª º ¹²³ ¼x", "漢字 Straße", "strasse eau eau potable", "L'eau POTABLE, eau-forte; potables"]
+    chunks = spark.createDataFrame([(i, t, (t or "")[:9] or None) for i, t in enumerate(odd * 7)], "rowid long, text string, section string")
+    questions = spark.createDataFrame([(1, "eau potable potable"), (2, "unicode straße istanbul"), (3, "été œuvre strasse forte"), (4, "absent"), (5, None)], "qid long, question string")
+    terms = lexical.query_terms(questions)
+    keys = sorted({(r.kind, r.key) for r in lexical.postings(chunks).where("kind <> ''").select("kind", "key").collect()})
+    rows = {r.rowid: r for r in lexical.counted_rows(chunks, {k: i for i, k in enumerate(keys)}).collect()}
+    want = {(r.kind, r.key, r.rowid): (r.wtf, r.dl) for r in lexical.postings(chunks).collect()}
+    assert {(*keys[i], r.rowid): (w, r.dl) for r in rows.values() for i, w in zip(r["keys"], r.wtf)} == {x: w for x, w in want.items() if x[0]}
+    assert {i: r.dl for i, r in rows.items()} == {x[2]: w[1] for x, w in want.items() if not x[0]}
+    found = lexical.best_rows(terms, chunks, 5)
+    pairs = lambda df: sorted((r.qid, r.rank, r.rowid, r.score) for r in df.collect())
+    assert pairs(found) == pairs(lexical.bm25(terms, lexical.postings(chunks, terms), 5)) == pairs(lexical.best_rows(terms, chunks, 5, held=2))
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    assert lexical.best_rows(terms, chunks.where("false")).count() == lexical.best_rows(terms.where("false"), chunks).count() == 0
