@@ -84,6 +84,11 @@ class Bounds:
         differ = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in BITS)
         return f"({differ}) * {100 + self.percent} <= {100 - self.percent} * ({a}n + {b}n)"
 
+    def may_hold(self, a: str, b: str) -> str:
+        """SQL: the same of two units of members, by the bits that all members of the one have and none of the other."""
+        differ = " + ".join(f"bit_count(({a}all_{x} & ~{b}any_{x}) | ({b}all_{x} & ~{a}any_{x}))" for x in BITS)
+        return f"({differ}) * {100 + self.percent} <= {100 - self.percent} * ({a}n + {b}n)"
+
 
 BITS = [f"b{i}" for i in range(8)]
 
@@ -357,7 +362,8 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple
     Rounds over the groups: each member against its group's first; then, for each number of ``pivots``, in each list of groups that
     share a prefix element so many pivots against the groups that aren't in their components yet, so a group of copies costs a few
     pairs for each member. What is still apart after that is verified group pair by group pair, each expanded to its
-    members, except pairs verified before: no link between components is lost. Members that size, position or
+    members, except pairs verified before: no link between components is lost. Two groups meet once, at the first element they share
+    among those of lists that are still apart, and only if the bits common to their members leave room. Members that size, position or
     the parity of 512 classes of elements tell apart don't become pairs; those of a list that are almost similar do.
     """
     spark: SparkSession = docs.sparkSession
@@ -395,12 +401,15 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple
             pairs = own.join(other, "element").where(F.col("label") != F.col("p_label")).where(room).select(*pair("gid", "p_gid"))
         else:
             units = written(labelled(members, "node").join(facts, "node"))
-            parts = units.select("gid", "label").distinct()
-            own = lists.join(parts, "gid")
+            parts = units.groupBy("gid", "label").agg(*(f(x).alias(f"{c}_{x}") for x in BITS for c, f in (("all", F.bit_and), ("any", F.bit_or))))
+            own = lists.join(parts.select("gid", "label"), "gid")
             split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
-            own = written(own.join(split, "element", "left_semi"))
-            other = own.select("element", *(F.col(c).alias(f"p_{c}") for c in ("gid", "label", "n", "rest")))
-            met = own.join(other, "element").where("gid < p_gid and label <> p_label").where(room).select("gid", "label", "p_gid", "p_label")
+            left = lists.join(split, "element", "left_semi").groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("rest", "element")), False).alias("es"))
+            each = left.select("gid", "n", F.posexplode("es").alias("at", "e"), F.col("es.element").alias("es")).select("gid", "n", "e.rest", "e.element", F.slice("es", F.lit(1), F.col("at")).alias("before"))
+            own = written(each.join(parts, "gid"))
+            other = own.select("element", *(F.col(c).alias(f"p_{c}") for c in own.columns if c != "element"))
+            met = own.join(other, "element").where("gid < p_gid and label <> p_label").where(room).where(bounds.may_hold("", "p_")).where(~F.arrays_overlap("before", "p_before")).select("gid", "label", "p_gid", "p_label")
+            parts = parts.select("gid", "label")
             apart = parts.join(parts.select("gid", F.col("label").alias("p_label")), "gid").where("label < p_label").select("gid", "label", F.col("gid").alias("p_gid"), "p_label")
             both = met.unionByName(apart).distinct()
             theirs = units.select(*(F.col(c).alias(f"p_{c}") for c in units.columns))

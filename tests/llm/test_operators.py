@@ -530,6 +530,41 @@ def test_sentencepiece_equals_library(spark, docs, corpus):
     assert spm.encode_decode(docs.where("false"), path).count() == 0
 
 
+def test_jaccard_groups_meet_once(spark, monkeypatch):
+    rng = random.Random(41)
+    stem = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):  # near each other, most pairs below the similarity
+        words = list(stem)
+        for at in rng.sample(range(120), rng.choice([1, 3, 5, 7])):
+            words[at] = f"x{i}_{at}" if at % 2 else f"y{at}"
+        texts.append(" ".join(words))
+    met, write = [], jaccard.written
+
+    def seen(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if "p_gid" in plan and "bit_count" in plan:
+            met.append(plan)
+        return write(df)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    got = by_id(jaccard.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5, 80))
+    sets = [set(jaccard.shingle_set(t, 5, jaccard.WordHashes()).tolist()) for t in texts]
+    parent = list(range(90))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert {i: r.component_id for i, r in got.items()} == {i: root(i) for i in range(90)}
+    assert met and all("arrays_overlap" in plan for plan in met)
+
+
 # 8
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_components_equal_brute_force(spark, docs, corpus, size, percent):
