@@ -84,6 +84,11 @@ class Bounds:
         differ = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in BITS)
         return f"({differ}) * {100 + self.percent} <= {100 - self.percent} * ({a}n + {b}n)"
 
+    def may_join(self, a: str, b: str) -> str:
+        """SQL: the same of a member and a unit."""
+        differ = " + ".join(f"bit_count(({a}{x} & ~{b}any_{x}) | ({b}all_{x} & ~{a}{x}))" for x in BITS)
+        return f"({differ}) * {100 + self.percent} <= {100 - self.percent} * ({a}n + {b}n)"
+
     def may_hold(self, a: str, b: str) -> str:
         """SQL: the same of two units of members, by the bits that all members of the one have and none of the other."""
         differ = " + ".join(f"bit_count(({a}all_{x} & ~{b}any_{x}) | ({b}all_{x} & ~{a}any_{x}))" for x in BITS)
@@ -353,7 +358,80 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 #: Pivots of the star rounds.
-PIVOTS = (2, 8, 16)
+PIVOTS = (2, 8)
+#: Nearest others that a unit is verified with in the rounds after these.
+NEAREST = (2, 8)
+#: Rows of a list that meet in one task, rows that a task holds before it compares, and pairs that it compares at once.
+LIST_BLOCK, LIST_ROWS, LIST_PAIRS = 4096, 32_768, 1 << 19
+
+
+def nearest(own: DataFrame, bounds: Bounds, most: int) -> DataFrame:
+    """(a, b): of each unit in each list (node names the unit) the ``most`` units of other components that differ in the fewest bits, of those that leave room.
+
+    Long lists meet block by block. Pairs stay within the task: what it returns grows with the rows of the lists.
+    """
+    words = [f"{c}_{x}" for c in ("all", "any") for x in BITS]
+    size = own.groupBy("element").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")).where("blocks > 1")
+    dealt = own.join(size, "element", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["element", "low", "high"]
+    rows = dealt.select("element", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "rest", *words)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def closest(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: t.column(c).to_numpy() for c in t.column_names}
+        own_bits, any_bits = (np.stack([col[f"{c}_{x}"] for x in BITS], 1) for c in ("all", "any"))
+        new = np.any([col[k][1:] != col[k][:-1] for k in keys], axis=0)
+        ends = np.append(np.flatnonzero(new) + 1, len(t))
+        at = np.arange(len(t))
+        others = np.repeat(ends, np.diff(np.append(0, ends))) - at - 1
+        slack = bounds.sample(col["n"]) - col["n"]
+        sums, start = np.cumsum(others), 0
+        while start < len(t):
+            done = sums[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sums, done + LIST_PAIRS, side="right")))
+            times = others[start:end]
+            i = np.repeat(at[start:end], times)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+            ok = (col["label"][i] != col["label"][j]) & ((col["low"][i] == col["high"][i]) | (col["block"][i] != col["block"][j]))
+            i, j = i[ok], j[ok]
+            both, t_ = col["n"][i] + col["n"][j], bounds.percent
+            ok = 100 * np.minimum(col["n"][i], col["n"][j]) >= t_ * np.maximum(col["n"][i], col["n"][j])
+            ok &= np.minimum(col["rest"][i], col["rest"][j]) >= np.minimum(slack[i], slack[j]) + (t_ * both + 99 + t_) // (100 + t_)
+            i, j, both = i[ok], j[ok], both[ok]
+            differ = np.bitwise_count((own_bits[i] & ~any_bits[j]) | (own_bits[j] & ~any_bits[i])).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + t_) <= (100 - t_) * both
+            i, j, differ = i[ok], j[ok], differ[ok]
+            kept = np.zeros(len(i), bool)
+            for side in (i, j):
+                order = np.lexsort((differ, side))
+                first = np.flatnonzero(np.append(True, side[order][1:] != side[order][:-1])) if len(i) else np.empty(0, np.int64)
+                rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                kept[order[rank < most]] = True
+            a, b = col["node"][i[kept]], col["node"][j[kept]]
+            yield batch_of(schema, [np.minimum(a, b), np.maximum(a, b)])
+            start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count < LIST_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            last = [t.column(k).to_numpy() for k in keys]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in last], axis=0))
+            if not len(cut):  # at most two blocks stand here
+                continue
+            whole = int(cut[-1]) + 1
+            yield from closest(t.slice(0, whole))
+            held = t.slice(whole).to_batches()
+            count = len(t) - whole
+        if count:
+            yield from closest(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), "a long, b long")
 
 
 def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
@@ -361,7 +439,9 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple
 
     Rounds over the groups: each member against its group's first; then, for each number of ``pivots``, in each list of groups that
     share a prefix element so many pivots against the groups that aren't in their components yet, so a group of copies costs a few
-    pairs for each member. What is still apart after that is verified group pair by group pair, each expanded to its
+    pairs for each member; then, for each number in NEAREST, one member of each unit (those of a group that are in one component)
+    against so many of the nearest units of other components, so links that would join the same two components again aren't looked for.
+    What is still apart after that is verified group pair by group pair, each expanded to its
     members, except pairs verified before: no link between components is lost. Two groups meet once, at the first element they share
     among those of lists that are still apart, and only if the bits common to their members leave room. Members that size, position or
     the parity of 512 classes of elements tell apart don't become pairs; those of a list that are almost similar do.
@@ -389,7 +469,7 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     room = bounds.may_reach("", "p_")
     facts = sets.select("node", "n", *BITS)
-    for turn in range(len(pivots) + 2):
+    for turn in range(len(pivots) + len(NEAREST) + 2):
         if not turn:
             pairs = within.select(*pair("gid", "node"))
         elif turn <= len(pivots):
@@ -401,19 +481,26 @@ def linked(docs: DataFrame, size: int, percent: int, names: Names, pivots: tuple
             pairs = own.join(other, "element").where(F.col("label") != F.col("p_label")).where(room).select(*pair("gid", "p_gid"))
         else:
             units = written(labelled(members, "node").join(facts, "node"))
-            parts = units.groupBy("gid", "label").agg(*(f(x).alias(f"{c}_{x}") for x in BITS for c, f in (("all", F.bit_and), ("any", F.bit_or))))
+            parts = units.groupBy("gid", "label").agg(F.min("node").alias("node"), *(f(x).alias(f"{c}_{x}") for x in BITS for c, f in (("all", F.bit_and), ("any", F.bit_or))))
             own = lists.join(parts.select("gid", "label"), "gid")
             split = own.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
+            if turn <= len(pivots) + len(NEAREST):
+                pairs = nearest(lists.join(split, "element", "left_semi").join(parts, "gid"), bounds, NEAREST[turn - len(pivots) - 1])
+        if turn > len(pivots) + len(NEAREST):
+            parts = parts.drop("node")
             left = lists.join(split, "element", "left_semi").groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("rest", "element")), False).alias("es"))
             each = left.select("gid", "n", F.posexplode("es").alias("at", "e"), F.col("es.element").alias("es")).select("gid", "n", "e.rest", "e.element", F.slice("es", F.lit(1), F.col("at")).alias("before"))
             own = written(each.join(parts, "gid"))
             other = own.select("element", *(F.col(c).alias(f"p_{c}") for c in own.columns if c != "element"))
             met = own.join(other, "element").where("gid < p_gid and label <> p_label").where(room).where(bounds.may_hold("", "p_")).where(~F.arrays_overlap("before", "p_before")).select("gid", "label", "p_gid", "p_label")
+            bits = parts.join(units.select("gid", "label", "n").distinct(), ["gid", "label"])
             parts = parts.select("gid", "label")
             apart = parts.join(parts.select("gid", F.col("label").alias("p_label")), "gid").where("label < p_label").select("gid", "label", F.col("gid").alias("p_gid"), "p_label")
             both = met.unionByName(apart).distinct()
             theirs = units.select(*(F.col(c).alias(f"p_{c}") for c in units.columns))
-            pairs = both.join(units, ["gid", "label"]).join(theirs, ["p_gid", "p_label"]).where(bounds.may_match("", "p_")).select(*pair("node", "p_node"))
+            # members that the bits of the whole other unit exclude go before its members come in
+            one = both.join(bits.select(*(F.col(c).alias(f"p_{c}") for c in bits.columns)), ["p_gid", "p_label"]).join(units, ["gid", "label"]).where(bounds.may_join("", "p_"))
+            pairs = one.select("node", "n", *BITS, "p_gid", "p_label").join(theirs, ["p_gid", "p_label"]).where(bounds.may_match("", "p_")).select(*pair("node", "p_node"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

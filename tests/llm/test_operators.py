@@ -565,6 +565,37 @@ def test_jaccard_groups_meet_once(spark, monkeypatch):
     assert met and all("arrays_overlap" in plan for plan in met)
 
 
+def test_jaccard_pairs_grow_with_members(spark, monkeypatch):
+    """A group of near copies around the similarity: components as by brute force, from some pairs for each member and not from all pairs."""
+    rng = random.Random(43)
+    stem = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        words = list(stem)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    tested, verify = [], jaccard.verified
+
+    def counted(pairs, sets, percent):
+        tested.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 100)
+    monkeypatch.setattr(jaccard, "LIST_PAIRS", 1000)
+    got = by_id(jaccard.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5, 80))
+    sets = [set(jaccard.shingle_set(t, 5, jaccard.WordHashes()).tolist()) for t in texts]
+    label = [*range(400)]
+    for i in range(400):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert {i: r.component_id for i, r in got.items()} == dict(enumerate(label))
+    assert sum(tested) < 16 * 400
+
+
 # 8
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_components_equal_brute_force(spark, docs, corpus, size, percent):
