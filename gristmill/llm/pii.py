@@ -205,11 +205,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
     by_text = held.groupBy("digest").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
     first = holders.groupBy("digest").agg(F.min("row").alias("row")).join(by_text, "digest").select("row", "entities")
     texts = written(found.select("row", "near").join(_small(written(first), broadcast_rows), "row").select("near", "entities"))
-    # a term stands in as many texts as it is with any entity in, at least: with n_te at most n_e and n_near, that
-    # bounds its share before pairs are made, and again before the corpus is counted
+    # a term stands in as many texts as it is with any entity in, at least, and in as many as it is in of those that have no
+    # copy: with n_te at most n_e and n_near, these bound its share before pairs are made, and again before all texts are counted
     reach = lambda n_e: F.log2(n / F.greatest(F.col("n_near"), n_e)) >= disclosure * F.log2(n / n_e)
     near_any = texts.select(F.explode("near").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("n_near")).where((F.col("n_near") >= min_texts) & reach(F.lit(float(most))))
     near_any = _small(written(near_any), broadcast_rows)
+    # the digest is a column before the words are spread, so it isn't taken again for each of them
+    whole = docs.select(clean(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
+    copied = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    alone = whole.join(_small(written(copied), broadcast_rows), "digest", "left_anti").select(F.explode(words(F.col("text"))).alias("term"))
+    n_alone = alone.join(near_any, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_alone"))
+    near_any = near_any.join(n_alone, "term", "left").select("term", F.greatest("n_near", F.coalesce("n_alone", F.lit(0))).alias("n_near")).where(reach(F.lit(float(most))))
+    near_any = _small(written(near_any), broadcast_rows)
     share = lambda n_t: F.log2(n * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log2(n / F.col("n_e"))
     known = texts.select("entities", F.explode("near").alias("x")).select("entities", "x.term", "x.inside").join(near_any, "term")
     both = known.select("term", "inside", "n_near", F.explode("entities").alias("e")).select("term", "inside", "n_near", "e.entity", "e.n_e").where((F.col("inside").isNull() | (F.col("inside") != F.col("entity"))) & reach(F.col("n_e")))
@@ -220,9 +227,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = 3, disc
     if not asked:
         return empty, nowhere
     terms = F.broadcast(terms) if asked <= broadcast_rows else terms
-    whole = docs.select(clean(F.col("text")).alias("text"))
-    # the digest is a column before the words are spread, so it isn't taken again for each of them
-    spread = whole.withColumn("digest", digest(F.col("text"))).select("digest", F.explode(words(F.col("text"))).alias("term"))
+    spread = whole.select("digest", F.explode(words(F.col("text"))).alias("term"))
     holds = written(spread.join(terms, "term", "left_semi").distinct().select("digest", "term"))
     with_term = holds.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(with_term, "term").select("term", share("n_t").alias("share")).groupBy("term").agg(F.max("share").alias("share"))

@@ -333,6 +333,23 @@ def test_terms_are_generalised_or_removed_by_their_share(spark):
     assert all(" [TERM] " in out[i].text for i, _ in more)
 
 
+def test_terms_of_all_texts_are_not_asked_for(spark, monkeypatch):
+    """A word of every text, copies or not, can't disclose an entity: its texts aren't listed."""
+    rows = [f"common u{i} v{i}" + (" zork mail a@b.org" if i < 4 else "") for i in range(300)] + ["common again"] * 5
+    listed, write = [], pii.written
+
+    def seen(df):
+        out = write(df)
+        if out.columns == ["digest", "term"]:
+            listed.extend(r.term for r in out.collect())
+        return out
+
+    monkeypatch.setattr(pii, "written", seen)
+    got = by_id(pii.detect(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")))
+    assert collections.Counter(listed) == {"zork": 4, "mail": 4}
+    assert all(("term" in got[i].spans) == (i < 4) for i in got)
+
+
 # 5
 def test_language_model(spark):
     rng = random.Random(6)
