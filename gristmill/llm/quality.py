@@ -27,10 +27,10 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(size)]))
 
     def starts(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         same = let(pairs, lambda s: F.transform(s, lambda x, k: F.when(
             ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))), x["i"])))
-        return F.array_sort(F.filter(same, lambda i: i.isNotNull()))
+        return F.sort_array(F.filter(same, lambda i: i.isNotNull()))
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(size), F.coalesce(F.get(p, k + 1) - x, F.lit(size))))
@@ -55,7 +55,7 @@ def candidate_words(docs: DataFrame, each: int, tracked: int = 8192) -> list[str
 
 def common_histogram(words: Column, bins: list[str]) -> Column:
     """array<struct<w, n>>: those words of the text that are bins, counted."""
-    hits = F.array_sort(F.filter(words, lambda w: w.isin(bins)))
+    hits = F.sort_array(F.filter(words, lambda w: w.isin(bins)))
 
     def counted(s: Column) -> Column:
         distinct = F.array_distinct(s)  # keeps the sorted order
@@ -76,8 +76,8 @@ def features(docs: DataFrame, bins: list[str]) -> DataFrame:
     counted = split.select(
         "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SEPARATOR_RUN, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        without(f"[{SYMBOLS}]+").cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         without("\\p{L}+").cast("long").alias("n_letters"),
