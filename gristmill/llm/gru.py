@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,22 +57,9 @@ class Vocabulary:
         self.rare_distinct = self.distinct - min(self.model, len(self.tokens))
 
 
-class Lookup(dict):
-    """token -> place in the head, or -1; unseen tokens are searched in the sorted head and remembered, ``most`` at a time."""
-
-    def __init__(self, tokens: list[bytes], most: int = 300_000):
-        super().__init__()
-        order = sorted(range(len(tokens)), key=tokens.__getitem__)
-        self.sorted, self.place, self.most = [tokens[i] for i in order], order, most
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        i = bisect_left(self.sorted, token)
-        found = self.place[i] if i < len(self.sorted) and self.sorted[i] == token else -1
-        if len(token) <= LONGEST_KEY:
-            self[token] = found
-        return found
+def places_of(words: list[bytes], table: dict[bytes, int], other: int) -> np.ndarray:
+    """Place of each word in the table; ``other`` for all that it doesn't hold, of which nothing is kept."""
+    return np.fromiter(map(table.get, words, repeat(other)), np.int64, len(words))
 
 
 class Network:
@@ -87,9 +74,11 @@ class Network:
         sizes = [int(np.prod(s)) for s in shapes.values()]
         self.size = sum(sizes)
         self.cuts = [(n, s, e - z, e) for (n, s), z, e in zip(shapes.items(), sizes, np.cumsum(sizes).tolist())]
+        self.dense = sizes[0]  # behind the inputs' rows, of which a window needs its own tokens' alone
 
-    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        return {n: flat[s:e].reshape(shape) for n, shape, s, e in self.cuts}
+    def views(self, flat: np.ndarray, start: int = 0) -> dict[str, np.ndarray]:
+        """The parameters that lie from ``start`` on, of an array that begins there."""
+        return {n: flat[s - start : e - start].reshape(shape) for n, shape, s, e in self.cuts if s >= start}
 
     def first(self, v: Vocabulary) -> np.ndarray:
         """Small random weights, and output biases at the corpus frequencies."""
@@ -104,64 +93,96 @@ class Network:
         return flat
 
     @staticmethod
-    def gates(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = h.shape[1]
-        a, s = p["x"].take(x, 0), h @ p["u"]
-        zr = a[:, : 2 * n] + s[:, : 2 * n]
-        np.negative(zr, out=zr)
-        np.exp(np.minimum(zr, 80, out=zr), out=zr)
+    def split(w: np.ndarray) -> np.ndarray:
+        """(rows, 3 n) as (3, rows, n), so that each gate's values lie together; the first two negated, as ``cell`` needs their exp(-x)."""
+        parts = np.ascontiguousarray(w.reshape(len(w), 3, -1).transpose(1, 0, 2))
+        np.negative(parts[:2], out=parts[:2])
+        return parts
+
+    @staticmethod
+    def cell(a: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step from split inputs and weights: state after it, z (h - c), gates z and r, c, and the state's part of c. exp may overflow: that gate is 0."""
+        s = np.matmul(h, u)
+        zr = s[:2]
+        zr += a[:2]
+        np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, un = zr[:, :n], zr[:, n:], s[:, 2 * n :]
-        c = r * un
-        c += a[:, 2 * n :]
+        c = zr[1] * s[2]
+        c += a[2]
         np.tanh(c, out=c)
-        after = h - c
-        after *= z
-        after += c
-        return after, z, r, c, un
+        part = h - c
+        part *= zr[0]
+        return part + c, part, zr[0], zr[1], c, s[2]
 
-    @staticmethod
-    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, all_of_them: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of the targets, and with ``all_of_them`` all probabilities.
+    @classmethod
+    def gates(cls, p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        with np.errstate(over="ignore"):
+            return cls.cell(cls.split(p["x"].take(x, 0)), cls.split(p["u"]), h)
 
-        States are below 1 and biases are log shares, so weights bound the logits; they are clipped only where that isn't enough.
-        """
-        logits = h @ w
-        logits += b
-        if logits.size < 20_000 or np.abs(w).sum(axis=0).max() + np.abs(b).max() > 80:
+    @staticmethod
+    def _softmax(logits: np.ndarray, at: np.ndarray, clip: bool, all_of_them: bool) -> np.ndarray:
+        """Log probability of the targets; with ``all_of_them`` the logits become probabilities less 1 at the target."""
+        if clip:
             np.clip(logits, -80, 80, out=logits)
-        found = logits[np.arange(len(at)), at].astype(np.float64)
+        own = np.arange(len(at)) * logits.shape[1] + at
+        found = logits.ravel()[own].astype(np.float64)
         e = np.exp(logits, out=logits)
         sums = e @ np.ones(e.shape[1], np.float32)
         if all_of_them:
             e *= (1 / sums)[:, None]
-        return found - np.log(sums), e
+            e.ravel()[own] -= 1
+        return found - np.log(sums)
+
+    def outputs(self, p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None, rows: int = 2048) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probability of each target's class and place in it (ids from ``words`` on: the rare class), and with ``grads`` the gradient by h.
 
-    def outputs(self, p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each target's class and place in it (ids from ``words`` on: the rare class), and with ``grads`` the gradient by h."""
+        Targets are sorted by class and taken ``rows`` at a time, all classes of such a block in one softmax. States get a
+        1 behind them, and weights their biases below them. States are below 1 and biases are log shares, so weights bound
+        the logits; they are clipped only where that isn't enough.
+        """
+        n = h.shape[1]
         k = np.minimum(y // self.members, self.classes)
         k[y >= self.words] = self.classes
-        found, e = self._softmax(h, p["wc"], p["bc"], k, grads is not None)
-        dh = None
-        if grads is not None:
-            e[np.arange(len(y)), k] -= 1
-            grads["wc"] += h.T @ e
-            grads["bc"] += np.ones(len(y), np.float32) @ e
-            dh = e @ p["wc"].T
         order = np.argsort(k.astype(np.int16) if self.classes < 1 << 15 else k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-            own = order[ends[c] : ends[c + 1]]
-            ho, place = h.take(own, 0), y[own] - c * self.members
-            more, e = self._softmax(ho, p["wm"][c], p["bm"][c], place, grads is not None)
-            found[own] += more
+        k, place = k[order], y[order] - k[order] * self.members
+        ends = np.searchsorted(k, np.arange(self.classes + 1))
+        states = np.ones((len(y), n + 1), np.float32)
+        states[:, :n] = h.take(order, 0)
+        wc, wm = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
+        clip = max(np.abs(w).sum(axis=-2).max() for w in (wc, wm)) > 80
+        found, dh = np.empty(len(y)), None
+        if grads is not None:
+            dh, gc, gm = np.empty((len(y), n), np.float32), np.zeros_like(wc), np.zeros_like(wm)
+            backc, backm = np.ascontiguousarray(p["wc"].T), np.ascontiguousarray(p["wm"].transpose(0, 2, 1))
+        for lo in range(0, len(y), rows):
+            own, most = states[lo : lo + rows], min(lo + rows, int(ends[-1])) - lo
+            e = own @ wc
+            found[lo : lo + rows] = self._softmax(e, k[lo : lo + rows], clip, grads is not None)
+            if grads is not None:
+                gc += own.T @ e
+                np.matmul(e, backc, out=dh[lo : lo + rows])
+            if most <= 0:
+                continue
+            spans = [(c, max(0, int(ends[c]) - lo), min(most, int(ends[c + 1]) - lo)) for c in range(int(k[lo]), int(k[lo + most - 1]) + 1)]
+            e = np.empty((most, self.members), np.float32)
+            for c, a, b in spans:
+                np.matmul(own[a:b], wm[c], out=e[a:b])
+            found[lo : lo + most] += self._softmax(e, place[lo : lo + most], clip, grads is not None)
             if grads is not None:
-                e[np.arange(len(own)), place] -= 1
-                grads["wm"][c] += ho.T @ e
-                grads["bm"][c] += np.ones(len(own), np.float32) @ e
-                dh[own] += e @ p["wm"][c].T
-        return found, dh
+                for c, a, b in spans:
+                    gm[c] += own[a:b].T @ e[a:b]
+                    dh[lo + a : lo + b] += e[a:b] @ backm[c]
+        back = np.empty(len(y))
+        back[order] = found
+        if grads is None:
+            return back, None
+        for w, b, g in (("wc", "bc", gc), ("wm", "bm", gm)):
+            grads[w] += g[..., :n, :]
+            grads[b] += g[..., n, :]
+        by = np.empty_like(dh)
+        by[order] = dh
+        return back, by
 
 
 class Trainer:
@@ -169,7 +190,7 @@ class Trainer:
 
     def __init__(self, net: Network, flat: np.ndarray, end: int, streams: int = 512, steps: int = 16, rate: float = 0.05):
         self.net, self.flat, self.end, self.streams, self.steps, self.rate = net, flat.copy(), end, streams, steps, rate
-        self.square, self.room = np.full(net.size, 1e-6, np.float32), np.empty(net.size, np.float32)
+        self.square = np.full(net.size, 1e-6, np.float32)
         self.seen = 0
 
     def fit(self, ids: np.ndarray) -> None:
@@ -181,30 +202,62 @@ class Trainer:
         x = np.concatenate([[self.end], ids, fill])[:-1].reshape(width, length)
         x[x < 0] = self.end
         h = np.zeros((width, self.net.hidden), np.float32)
+        cut = self.net.dense
+        inputs, squares = (self.net.views(w)["x"] for w in (self.flat, self.square))
+        dense, dense_square = self.flat[cut:], self.square[cut:]
         for s in range(0, length, self.steps):
-            grad, n, h = self.gradient(np.ascontiguousarray(x[:, s : s + self.steps].T), np.ascontiguousarray(y[:, s : s + self.steps].T), h)
-            grad *= 1 / max(1, n)
-            norm = float(np.sqrt(grad @ grad))
-            if norm > 1:
-                grad *= 1 / norm
-            self.square += grad * grad
-            np.sqrt(self.square, out=self.room)
-            np.divide(grad, self.room, out=grad)
-            grad *= self.rate
-            self.flat -= grad
+            rows, by_rows, rest, n, h = self.window(np.ascontiguousarray(x[:, s : s + self.steps].T), np.ascontiguousarray(y[:, s : s + self.steps].T), h)
+            scale = 1 / max(1, n)
+            norm = scale * float(np.sqrt(by_rows.ravel() @ by_rows.ravel() + rest @ rest))
+            scale /= max(1, norm)
+            by_rows *= scale
+            rest *= scale
+            square = squares.take(rows, 0)
+            square += by_rows * by_rows
+            squares[rows] = square
+            by_rows *= self.rate
+            inputs[rows] -= np.divide(by_rows, np.sqrt(square, out=square), out=by_rows)
+            dense_square += rest * rest
+            rest *= self.rate
+            dense -= np.divide(rest, np.sqrt(dense_square), out=rest)
             self.seen += n
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-        """Gradient of the negative log likelihood of a window (rows are time steps; targets under 0 don't count), its targets, and the state behind it."""
+        """What window() finds, as one array of all parameters."""
+        rows, by_rows, rest, n, h = self.window(x, y, h)
+        grad = np.concatenate([np.zeros(self.net.dense, np.float32), rest])
+        self.net.views(grad)["x"][rows] = by_rows
+        return grad, n, h
+
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+        """Gradient of the negative log likelihood of a window (rows are time steps; targets under 0 don't count): the window's
+        input ids, the gradient by their rows, that by all other parameters; its targets, and the state behind it."""
         net, n, (count, width) = self.net, self.net.hidden, x.shape
-        p, grad = net.views(self.flat), np.zeros(net.size, np.float32)
-        g, past, hs = net.views(grad), [], np.empty((count, width, n), np.float32)
-        for t in range(count):
-            live = (x[t] != self.end).astype(np.float32)[:, None]
-            before = h * live
-            h, z, r, c, un = net.gates(p, x[t], before)
-            past.append((before, z, r, c, un, live))
-            hs[t] = h
+        p, rest = net.views(self.flat), np.zeros(net.size - net.dense, np.float32)
+        g = net.views(rest, net.dense)
+        flat_x = x.ravel().astype(np.int16 if net.words < (1 << 15) - 1 else np.int64)
+        order = np.argsort(flat_x, kind="stable")
+        new = np.append(True, np.diff(flat_x[order]) != 0)
+        first = np.flatnonzero(new)
+        rows, at = flat_x[order][first].astype(np.int64), np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        a, u = net.split(p["x"].take(rows, 0)).take(at, 1).reshape(3, count, width, n), net.split(p["u"])
+        past, hs, states, ended = [], np.empty((count, width, n), np.float32), np.empty((count, width, n), np.float32), [np.flatnonzero(own == self.end) for own in x]
+        with np.errstate(over="ignore"):
+            for t in range(count):
+                before = states[t]
+                before[:] = h
+                before[ended[t]] = 0
+                h, part, z, r, c, un = net.cell(a[:, t], u, before)
+                hs[t] = h
+                rest_of_z = 1 - z
+                part *= rest_of_z
+                c *= c
+                np.subtract(1, c, out=c)
+                c *= rest_of_z
+                un = un * r
+                un *= 1 - r
+                past.append((part, un, c, r, z))
         real = y.ravel() >= 0
         if real.all():
             dh = net.outputs(p, hs.reshape(-1, n), y.ravel(), g)[1].reshape(count, width, n)
@@ -212,57 +265,54 @@ class Trainer:
             dh = np.zeros((count * width, n), np.float32)
             dh[real] = net.outputs(p, hs.reshape(-1, n)[real], y.ravel()[real], g)[1]
             dh = dh.reshape(count, width, n)
-        inputs, sums, states = np.empty((count, width, 3 * n), np.float32), np.empty((count, width, 3 * n), np.float32), np.empty((count, width, n), np.float32)
-        carry, back = 0, np.ascontiguousarray(p["u"].T)
+        # by the sums of z and r, of the state's part of c, and of the input's part of c
+        by = np.empty((4, count, width, n), np.float32)
+        carry, back = 0, np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 2, 0))
         for t in reversed(range(count)):
-            before, z, r, c, un, live = past[t]
+            for_z, for_r, for_c, r, z = past[t]
             d = dh[t]
             d += carry
-            da, ds = inputs[t], sums[t]
-            hold = d * z
-            dc = (d - hold) * (1 - c * c)
-            da[:, 2 * n :] = dc
-            da[:, n : 2 * n] = dc * un * r * (1 - r)
-            da[:, :n] = (before - c) * hold * (1 - z)
-            ds[:, : 2 * n] = da[:, : 2 * n]
-            ds[:, 2 * n :] = dc * r
-            states[t] = before
-            carry = ds @ back
-            carry += hold
-            carry *= live
-        g["u"][:] = states.reshape(-1, n).T @ sums.reshape(-1, 3 * n)
-        order = np.argsort(x.ravel(), kind="stable")
-        at = x.ravel()[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        g["x"][at[first]] = np.add.reduceat(inputs.reshape(-1, 3 * n).take(order, 0), first)
-        return grad, int(real.sum()), h
-
-
-def score_documents(net: Network, flat: np.ndarray, docs: list[np.ndarray], end: int, rows: int = 16_384) -> np.ndarray:
-    """Natural log probability of each document's model ids; all documents advance together, and the state goes from window to window."""
-    p, total = net.views(flat), np.zeros(len(docs))
-    if not docs:
-        return total
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    lengths = np.array([len(docs[i]) for i in order])
-    ids = np.concatenate([docs[i] for i in order])
-    starts = np.cumsum(lengths) - lengths
-    alive = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
-    h, x = np.zeros((len(docs), net.hidden), np.float32), np.full(len(docs), end, np.int64)
-    hs, ys, ms, held = [], [], [], 0
-    for t, m in enumerate(alive):
-        h = net.gates(p, x[:m], h[:m])[0]
-        x = ids[starts[:m] + t].astype(np.int64)
-        hs.append(h)
-        ys.append(x)
-        ms.append(m)
-        held += m
-        if held >= rows or t + 1 == len(alive):
-            found, _ = net.outputs(p, np.concatenate(hs), np.concatenate(ys))
-            total[: ms[0]] += np.bincount(np.concatenate([np.arange(k) for k in ms]), found, ms[0])
-            hs, ys, ms, held = [], [], [], 0
-    back = np.empty(len(docs))
-    back[order] = total
+            dc = np.multiply(d, for_c, out=by[3, t])
+            np.multiply(d, for_z, out=by[0, t])
+            np.multiply(dc, for_r, out=by[1, t])
+            np.multiply(dc, r, out=by[2, t])
+            carry = d * z
+            for more in np.matmul(by[:3, t], back):
+                carry += more
+            carry[ended[t]] = 0
+        by = by.reshape(4, -1, n)
+        g["u"][:] = np.matmul(states.reshape(-1, n).T, by[:3]).transpose(1, 0, 2).reshape(n, 3 * n)
+        by_rows = np.concatenate([np.add.reduceat(by[i].take(order, 0), first) for i in (0, 1, 3)], axis=1)
+        return rows, by_rows, rest, int(real.sum()), h
+
+
+def score_documents(net: Network, flat: np.ndarray, docs: list[np.ndarray], end: int, rows: int = 16_384, width: int = 1024) -> np.ndarray:
+    """Natural log probability of each document's model ids; ``width`` documents of about one length advance together, and the state goes from window to window."""
+    p, back = net.views(flat), np.zeros(len(docs))
+    inputs, u = net.split(p["x"]), net.split(p["u"])
+    by_length = np.argsort([-len(d) for d in docs], kind="stable")
+    for s in range(0, len(docs), width):
+        order = by_length[s : s + width]
+        total = np.zeros(len(order))
+        lengths = np.array([len(docs[i]) for i in order])
+        ids = np.concatenate([docs[i] for i in order])
+        starts = np.cumsum(lengths) - lengths
+        alive = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
+        h, x = np.zeros((len(order), net.hidden), np.float32), np.full(len(order), end, np.int64)
+        hs, ys, ms, held = [], [], [], 0
+        for t, m in enumerate(alive):
+            with np.errstate(over="ignore"):
+                h = net.cell(inputs.take(x[:m], 1), u, h[:m])[0]
+            x = ids[starts[:m] + t].astype(np.int64)
+            hs.append(h)
+            ys.append(x)
+            ms.append(m)
+            held += m
+            if held >= rows or t + 1 == len(alive):
+                found, _ = net.outputs(p, np.concatenate(hs), np.concatenate(ys))
+                total[: ms[0]] += np.bincount(np.concatenate([np.arange(k) for k in ms]), found, ms[0])
+                hs, ys, ms, held = [], [], [], 0
+        back[order] = total
     return back
 
 
@@ -280,11 +330,11 @@ def averaged(training: DataFrame, net: Network, flat: np.ndarray, v: Vocabulary,
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lookup, trainer = Lookup(v.tokens[: v.model]), Trainer(net, flat, end)
+        table, trainer = {w: i for i, w in enumerate(v.tokens[: v.model])}, Trainer(net, flat, end)
         held, size = [], 0
         for b in batches:
             for t in b.column(0):
-                ids = model_ids(tokens_of(t.as_py()), lookup, v.model, end)
+                ids = model_ids(tokens_of(t.as_py()), table, v.model, end)
                 held.append(ids)
                 size += len(ids)
                 if size >= run_tokens:
@@ -315,11 +365,9 @@ def averaged(training: DataFrame, net: Network, flat: np.ndarray, v: Vocabulary,
     return after
 
 
-def model_ids(words: list[bytes], lookup: Lookup, model: int, end: int) -> np.ndarray:
-    """Ids of words and the end; -1 and places beyond the model are the rare id."""
-    ids = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
-    ids[(ids < 0) | (ids >= model)] = model
-    return np.append(ids, end)
+def model_ids(words: list[bytes], table: dict[bytes, int], model: int, end: int) -> np.ndarray:
+    """Ids of words and the end; words that the table of the model's words doesn't hold are the rare id."""
+    return np.append(places_of(words, table, model), end)
 
 
 def model_size(distinct: int) -> int:
@@ -385,8 +433,8 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
         share = 2.0 * warm_rows / max(1, int(v.counts[end]) if end < len(v.tokens) else 1)
         low = training.where(F.length("text") <= warm_chars).select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.col("h") / 2.0**64 + 0.5 <= share)
         sample = sorted(low.dropDuplicates(["h"]).collect(), key=lambda r: r.h)[:warm_rows]
-        lookup, trainer = Lookup(v.tokens[:model]), Trainer(net, flat, end, streams=32)
-        runs = [model_ids(tokens_of(r.text), lookup, model, end) for r in sample]
+        table, trainer = {w: i for i, w in enumerate(v.tokens[:model])}, Trainer(net, flat, end, streams=32)
+        runs = [model_ids(tokens_of(r.text), table, model, end) for r in sample]
         if runs:
             trainer.fit(np.concatenate(runs))
         flat = averaged(training, net, trainer.flat, v, end)
@@ -397,7 +445,7 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lookup, task, made = Lookup(v.tokens), TaskContext.get().partitionId() << 40, 0
+        table, task, made = {w: i for i, w in enumerate(v.tokens)}, TaskContext.get().partitionId() << 40, 0
         held: list[tuple] = []
         size = 0
 
@@ -411,7 +459,7 @@ def likelihoods(docs: DataFrame, is_held_out: Column, hidden: int = 24, model: i
         for b in batches:
             for doc, out_, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
                 words = tokens_of(t.as_py())
-                places = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
+                places = places_of(words, table, -1)
                 known, tail = places[places >= 0], [words[i] for i in np.flatnonzero(places < 0).tolist()]
                 end_known = end < len(v.tokens)
                 base = float(logs[known].sum()) + (float(logs[end]) if end_known else 0.0) - (len(words) + 1) * base_floor

@@ -456,6 +456,55 @@ def test_every_training_token_is_trained_on(small_net):
         assert trainer.seen == n
 
 
+def test_a_window_visits_its_own_tokens_rows_and_no_others(small_net):
+    net, flat = small_net
+    trainer = gru.Trainer(net, flat, 2)
+    net.views(trainer.square)["x"][[4, 6, 7]] = np.nan  # tokens that don't occur: a pass over all rows would spread this
+    trainer.fit(np.array([0, 1, 3, 5, 2] * 20))
+    was, now = net.views(flat)["x"], net.views(trainer.flat)["x"]
+    assert np.isfinite(trainer.flat).all() and (was[[4, 6, 7]] == now[[4, 6, 7]]).all() and (was[[0, 1, 3, 5, 2]] != now[[0, 1, 3, 5, 2]]).any(axis=1).all()
+
+
+def test_training_equals_plain_steps_on_all_parameters(small_net):
+    net, flat = small_net
+    ids = np.random.default_rng(4).integers(0, 8, 67)
+    trainer, plain = gru.Trainer(net, flat, 2, streams=1, steps=8), gru.Trainer(net, flat, 2, streams=1, steps=8)
+    trainer.fit(ids)
+    h, square = np.zeros((1, 4), np.float32), np.full(net.size, 1e-6)
+    for s in range(0, 67, 8):
+        x, y = np.append(2, ids)[s : min(s + 8, 67)], ids[s : s + 8]
+        grad, n, h = plain.gradient(x[:, None], y[:, None], h)
+        grad = grad.astype(float) / n
+        grad /= max(1, np.sqrt((grad**2).sum()))
+        square += grad**2
+        plain.flat -= (0.05 * grad / np.sqrt(square)).astype(np.float32)
+    assert np.allclose(trainer.flat, plain.flat, atol=1e-4) and not np.allclose(trainer.flat, flat, atol=1e-2)
+
+
+def test_classes_share_softmaxes(monkeypatch):
+    net = gru.Network(600, 15, 4)
+    v = gru.Vocabulary([b"%d" % i for i in range(600)], np.arange(700, 100, -1), 300_000, 900, 600)
+    p = net.views(net.first(v))
+    rng, calls, one = np.random.default_rng(5), [], gru.Network._softmax
+    h, y = np.tanh(rng.standard_normal((2000, 4))).astype(np.float32), rng.integers(0, 601, 2000)
+    parts = lambda: net.views(np.zeros(net.size, np.float32))
+    ga, gb = parts(), parts()
+    by_one = [net.outputs(p, h[i : i + 1], y[i : i + 1], ga) for i in range(2000)]
+    monkeypatch.setattr(gru.Network, "_softmax", staticmethod(lambda *a: calls.append(1) or one(*a)))
+    found, dh = net.outputs(p, h, y, gb)
+    assert len(calls) == 2  # 40 classes
+    assert np.allclose(found, [x[0][0] for x in by_one], atol=1e-5) and np.allclose(dh, np.concatenate([x[1] for x in by_one]), atol=1e-5)
+    assert all(np.allclose(ga[k], gb[k], atol=1e-3) for k in ga) and np.abs(gb["wm"]).max() > 0.1
+    cut = parts()
+    assert np.allclose(net.outputs(p, h, y, cut, rows=77)[0], found, atol=1e-5) and all(np.allclose(cut[k], gb[k], atol=1e-3) for k in cut)
+
+
+def test_scores_do_not_depend_on_how_many_documents_advance_together(small_net):
+    net, flat = small_net
+    docs = [np.append(np.arange(n) * 3 % 7, 2) for n in (0, 3, 50, 8, 3, 21)]
+    assert all(np.allclose(gru.score_documents(net, flat, docs, 2, width=w), gru.score_documents(net, flat, docs, 2), rtol=1e-5) for w in (1, 2, 5))
+
+
 # 6
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "On Monday, A wrote:\n> Hello  THERE.\nFine"), (1, 2, "user", "> Fine\n> > hello there.\nGood"), (1, 3, "user", "> unknown\nx"), (1, 4, "user", None), (1, 5, "user", "> How are you?\n> Good\nyes"), (2, 0, "user", "> Hello there."), (None, 1, "user", "> a"), (3, 0, "user", "same"), (3, 0, "user", "same"), (3, 1, "user", "> same\nok")]
