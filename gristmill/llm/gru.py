@@ -153,15 +153,16 @@ class Network:
         clip = max(np.abs(w).sum(axis=-2).max() for w in (wc, wm)) > 80
         found, dh = np.empty(len(y)), None
         if grads is not None:
-            dh, gc, gm = np.empty((len(y), n), np.float32), np.zeros_like(wc), np.zeros_like(wm)
-            backc, backm = np.ascontiguousarray(p["wc"].T), np.ascontiguousarray(p["wm"].transpose(0, 2, 1))
+            dh = np.empty((len(y), n), np.float32)
         for lo in range(0, len(y), rows):
             own, most = states[lo : lo + rows], min(lo + rows, int(ends[-1])) - lo
             e = own @ wc
             found[lo : lo + rows] = self._softmax(e, k[lo : lo + rows], clip, grads is not None)
             if grads is not None:
-                gc += own.T @ e
-                np.matmul(e, backc, out=dh[lo : lo + rows])
+                g = own.T @ e
+                grads["wc"] += g[:n]
+                grads["bc"] += g[n]
+                np.matmul(e, p["wc"].T, out=dh[lo : lo + rows])
             if most <= 0:
                 continue
             spans = [(c, max(0, int(ends[c]) - lo), min(most, int(ends[c + 1]) - lo)) for c in range(int(k[lo]), int(k[lo + most - 1]) + 1)]
@@ -171,15 +172,14 @@ class Network:
             found[lo : lo + most] += self._softmax(e, place[lo : lo + most], clip, grads is not None)
             if grads is not None:
                 for c, a, b in spans:
-                    gm[c] += own[a:b].T @ e[a:b]
-                    dh[lo + a : lo + b] += e[a:b] @ backm[c]
+                    g = own[a:b].T @ e[a:b]
+                    grads["wm"][c] += g[:n]
+                    grads["bm"][c] += g[n]
+                    dh[lo + a : lo + b] += e[a:b] @ p["wm"][c].T
         back = np.empty(len(y))
         back[order] = found
         if grads is None:
             return back, None
-        for w, b, g in (("wc", "bc", gc), ("wm", "bm", gm)):
-            grads[w] += g[..., :n, :]
-            grads[b] += g[..., n, :]
         by = np.empty_like(dh)
         by[order] = dh
         return back, by
